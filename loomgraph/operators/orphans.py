@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import key
+from loomgraph.operators.skew import salted_join
 
 MATCHES = ("simple", "partial", "full")
 
@@ -79,31 +80,10 @@ def orphan_references(
 def _absent(refs, side, used, at, timed, hot_share, salts) -> DataFrame:
     names = [p for _, p in used]
     lives = side.dropna(subset=names).select(*names, *(["__from", "__to"] if timed else [])).distinct()
-    code = F.xxhash64(*[F.col(c) for c, _ in used])
-    counts = refs.groupBy(code.alias("__code")).agg(F.count(F.lit(1)).alias("__n"))
-    # More than hot_share of all rows: at most 1 / hot_share codes, whatever the size.
-    total = counts.agg(F.sum("__n").alias("__all"))
-    hot = (
-        counts.where(F.col("__n") >= 100_000)
-        .crossJoin(F.broadcast(total))
-        .where(F.col("__n") > hot_share * F.col("__all"))
-        .select("__code", F.lit(True).alias("__hot"))
-    )
-    spread = F.when(F.col("__hot"), F.floor(F.rand(17) * salts).cast("int")).otherwise(F.lit(0))
-    left = refs.withColumn("__code", code).join(F.broadcast(hot), "__code", "left").withColumn("__salt", spread)
-    all_salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = (
-        lives.withColumn("__code", F.xxhash64(*names))
-        .join(F.broadcast(hot), "__code", "left")
-        .withColumn("__psalt", F.explode(all_salts))
-        .drop("__code", "__hot")
-    )
-    cond = F.col("__salt") == F.col("__psalt")
-    for c, p in used:
-        cond = cond & (F.col(c) == F.col(p))
+    alive = None
     if timed:
-        cond = cond & (F.col("__from") <= F.col(at)) & (F.col("__to").isNull() | (F.col("__to") > F.col(at)))
-    return left.join(right, cond, "left_anti").drop("__code", "__hot", "__salt")
+        alive = (F.col("__from") <= F.col(at)) & (F.col("__to").isNull() | (F.col("__to") > F.col(at)))
+    return salted_join(refs, lives, used, "left_anti", alive, hot_share, salts=salts)
 
 
 def found_orphans(
