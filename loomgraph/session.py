@@ -45,7 +45,7 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """The planner's size of ``df`` in bytes (files read, no job)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def shuffle_width(spark: SparkSession) -> int:
