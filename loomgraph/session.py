@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,20 @@ def build_session(app: str = "loomgraph", cores: str = "*", **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of all executors, once for a session."""
+    context = spark.sparkContext
+    if getattr(context, "_loomgraph_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="loomgraph-code-"), "loomgraph")
+    context.addPyFile(shutil.make_archive(base, "zip", root, "loomgraph"))
+    context._loomgraph_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
+    ship_package(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
