@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, components, splitting
+from loomgraph.llm import bpe, components, neardup, splitting
 from loomgraph.session import table
 
 QUERIES: dict = {}
@@ -60,3 +60,13 @@ UNION ALL
 SELECT DISTINCT 'chunk', chunk_id FROM chunks
 WHERE length(regexp_replace(text, '^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$', '', 'g')) > 600
 """
+
+
+@query
+def p2_found(spark, d):
+    return neardup.similar_pairs(table(spark, d, "chunks"), table(spark, d, "relationships"))
+
+
+@query
+def p2_classes(spark, d):
+    return neardup.similar_classes(table(spark, d, "chunks"), table(spark, d, "relationships"))
