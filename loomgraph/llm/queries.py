@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, components, neardup, splitting
+from loomgraph.llm import bpe, components, neardup, packing, splitting
 from loomgraph.session import table
 
 QUERIES: dict = {}
@@ -70,3 +70,8 @@ def p2_found(spark, d):
 @query
 def p2_classes(spark, d):
     return neardup.similar_classes(table(spark, d, "chunks"), table(spark, d, "relationships"))
+
+
+@query
+def p7_containers(spark, d):
+    return packing.packed_documents(table(spark, d, "documents"))
