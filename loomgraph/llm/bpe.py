@@ -255,7 +255,7 @@ def encode_corpus(
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = part_count(docs.select(id_col, text_col))
+    parts = part_count(docs)
     parted = own.withColumn("part", F.pmod(F.xxhash64("id", F.length("text")), F.lit(parts)).cast("int"))
     found = corpus_words(parted.select("part", "text"))
     # One row per word of the corpus, with the parts that hold it.
@@ -314,7 +314,7 @@ def encode_corpus(
             out.append(pa.table({"id": some.column("id"), "out": result}))
         return pa.concat_tables(out) if out else pa.table({"id": texts.column("id"), "out": pa.array([], pa.int32() if lengths_only else pa.list_(pa.int32()))})
 
-    width = max(shuffle_width(spark), parts // 4)
+    width = max(shuffle_width(spark), 2 * parts)
     return (
         parted.repartition(width, "part")
         .groupBy("part")
