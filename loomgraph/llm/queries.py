@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, components, neardup, packing, splitting
+from loomgraph.llm import bpe, components, neardup, packing, splitting, subjects
 from loomgraph.session import table
 
 QUERIES: dict = {}
@@ -75,3 +75,15 @@ def p2_classes(spark, d):
 @query
 def p7_containers(spark, d):
     return packing.packed_documents(table(spark, d, "documents"))
+
+
+@query
+def p8_found(spark, d):
+    return subjects.document_subjects(
+        table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects")
+    )
+
+
+@query
+def p8_shares(spark, d):
+    return subjects.subject_shares(p8_found(spark, d))
