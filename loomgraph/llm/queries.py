@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, components, neardup, packing, splitting, subjects
+from loomgraph.llm import bpe, components, names, neardup, packing, splitting, subjects
 from loomgraph.session import table
 
 QUERIES: dict = {}
@@ -87,3 +87,8 @@ def p8_found(spark, d):
 @query
 def p8_shares(spark, d):
     return subjects.subject_shares(p8_found(spark, d))
+
+
+@query
+def p3_found(spark, d):
+    return names.found_mentions(table(spark, d, "entity_mentions"), table(spark, d, "entities"))
