@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.operators import orphans
+from pyspark.sql import functions as F
+
+from loomgraph.operators import chunking, graph, orphans, traversal
 from loomgraph.session import table
 
 QUERIES: dict = {}
@@ -45,3 +47,240 @@ WITH refs AS (
 """
 ORACLE["p1_found"] = P1_FOUND_SQL + "SELECT * FROM found"
 ORACLE["p1_report"] = P1_FOUND_SQL + "SELECT ref_table, ref_field, period, count(*) AS orphans FROM found GROUP BY ALL"
+
+# ---- the graph -----------------------------------------------------------------------------
+
+
+def _relations(spark, d):
+    """Relation mentions, each once."""
+    return table(spark, d, "relationships").dropDuplicates(["rel_seq"])
+
+
+def _entities(spark, d):
+    """Stored entities in their last state, and the lexicon."""
+    own = graph.latest(table(spark, d, "entities").drop("metadata"), ["canonical_id"], ["ingested_at"])
+    lex = table(spark, d, "lexicon")
+    return own.select("canonical_id", "canonical_name", "primary_type", "aliases").unionByName(
+        lex.select("canonical_id", "canonical_name", F.col("type").alias("primary_type"), "aliases")
+    )
+
+
+def _edges(spark, d):
+    return graph.edges(_relations(spark, d))
+
+
+def _neighbours(spark, d):
+    e = _edges(spark, d)
+    return graph.neighbours(e, graph.nodes(_entities(spark, d), e))
+
+
+def _paths(spark, d, max_hops, max_paths):
+    """Paths of every lexicon entity."""
+    lex = table(spark, d, "lexicon")
+    seeds = lex.select(F.col("canonical_id").alias("seed"), "canonical_id", "canonical_name")
+    return traversal.find_paths(seeds, traversal.outgoing(_neighbours(spark, d)), max_hops, max_paths)
+
+
+@query
+def graph_entities(spark, d):
+    return graph.latest(table(spark, d, "entities").drop("metadata"), ["canonical_id"], ["ingested_at"]).select(
+        "canonical_id", "canonical_name", "primary_type", "description", F.size("aliases").alias("n_aliases")
+    )
+
+
+@query
+def graph_documents(spark, d):
+    docs = graph.latest(table(spark, d, "loaded_documents").drop("metadata", "content"), ["document_id"], ["ingested_at", "doc_seq"])
+    return docs.select("document_id", "title", "department", chunking.access_tier(F.col("access_tier")).alias("access_tier"), "version")
+
+
+@query
+def graph_part_of_chunks(spark, d):
+    return graph.part_of(table(spark, d, "chunks"), table(spark, d, "loaded_documents"))
+
+
+@query
+def graph_edges(spark, d):
+    return _edges(spark, d).select(
+        "source_id", "target_id", "type", F.round("weight", 6).alias("weight"), "edge_seq", F.array_join(F.transform("evidence", lambda e: e["chunk_id"]), "|", "-").alias("chunks")
+    )
+
+
+@query
+def graph_edges_idempotent(spark, d):
+    twice = _relations(spark, d)
+    return graph.edges(twice, accumulate=False).select("source_id", "target_id", "type", F.round("weight", 6).alias("weight"))
+
+
+@query
+def graph_stub_entities(spark, d):
+    return graph.stub_entities(_edges(spark, d), _entities(spark, d))
+
+
+@query
+def graph_neighbors_capped(spark, d):
+    return _neighbours(spark, d).select("node_id", "ordinal", "direction", "source_id", "source_name", "relation", "target_id", "target_name")
+
+
+@query
+def graph_stats(spark, d):
+    return graph.stats(_entities(spark, d), table(spark, d, "loaded_documents"), table(spark, d, "chunks"), _edges(spark, d))
+
+
+@query
+def entity_lookup(spark, d):
+    lex = table(spark, d, "lexicon")
+    names = table(spark, d, "graph_facts").select(F.col("source_name").alias("identifier")).unionByName(lex.select(F.upper("canonical_name").alias("identifier")))
+    return graph.find_entities(names.dropna().distinct(), _entities(spark, d))
+
+
+@query
+def chunk_lookup(spark, d):
+    wanted = table(spark, d, "citations").select("chunk_id").dropna().distinct()
+    return table(spark, d, "chunks").dropDuplicates(["chunk_id"]).join(wanted, "chunk_id", "left_semi").select("chunk_id", "document_id", F.length("text").alias("chars"))
+
+
+@query
+def graph_paths_1hop(spark, d):
+    return _flat_paths(_paths(spark, d, 1, 20))
+
+
+@query
+def graph_paths_2hop(spark, d):
+    return _flat_paths(_paths(spark, d, 2, 60))
+
+
+@query
+def graph_paths_3hop(spark, d):
+    return _flat_paths(_paths(spark, d, 3, 200))
+
+
+def _flat_paths(paths):
+    return paths.select(
+        "seed", "path_rank", F.array_join("entities", "|").alias("entities"), F.array_join("relationships", "|").alias("relationships"), "length", "score", F.array_join("evidence_chunk_ids", "|").alias("evidence_chunk_ids")
+    )
+
+
+@query
+def graph_path_render(spark, d):
+    return traversal.render(_paths(spark, d, 2, 20)).select("seed", "path_rank", "pattern", "explanation")
+
+
+@query
+def graph_facts(spark, d):
+    return traversal.find_facts(_paths(spark, d, 2, 60), 30)
+
+
+@query
+def graph_evidence_chunks(spark, d):
+    return traversal.evidence_chunks(_paths(spark, d, 2, 20), table(spark, d, "chunks"), 20).select("seed", "rank", "chunk_id", "document_id", F.length("text").alias("chars"), "score")
+
+
+@query
+def mentions_link(spark, d):
+    return graph.link_mentions(table(spark, d, "chunks").dropDuplicates(["chunk_id"]), table(spark, d, "lexicon"))
+
+
+def _weights_sql(weight: str) -> str:
+    return f"""
+rel AS (SELECT rel_seq, any_value(source_id) AS source_id, any_value(target_id) AS target_id, any_value(type) AS type, any_value(description) AS description,
+        any_value(weight) AS weight, any_value(evidence) AS evidence FROM relationships GROUP BY rel_seq),
+keyed AS (SELECT * FROM rel WHERE source_id IS NOT NULL AND target_id IS NOT NULL AND type IS NOT NULL),
+heads AS (SELECT source_id, target_id, type, {weight} AS weight, min(rel_seq) AS edge_seq FROM keyed GROUP BY ALL)"""
+
+
+EDGES_SQL = (
+    "WITH RECURSIVE"
+    + _weights_sql("round(sum(weight), 6)")
+    + """,
+items AS (SELECT source_id, target_id, type, rel_seq, n, evidence[n] AS e FROM (SELECT *, unnest(range(1, len(evidence) + 1)) AS n FROM keyed)),
+picked AS (SELECT * FROM (SELECT i.*, h.edge_seq, row_number() OVER (PARTITION BY i.source_id, i.target_id, i.type, e.chunk_id ORDER BY rel_seq, n) AS nth
+  FROM items i JOIN heads h USING (source_id, target_id, type)) WHERE nth = 1 OR rel_seq = edge_seq),
+ev AS (SELECT source_id, target_id, type, list(e.chunk_id ORDER BY rel_seq, n) AS chunk_ids FROM picked GROUP BY ALL),
+edges AS (SELECT h.*, ev.chunk_ids FROM heads h LEFT JOIN ev USING (source_id, target_id, type)),
+stored AS (SELECT canonical_id, arg_max(canonical_name, ingested_at) AS canonical_name, arg_max(primary_type, ingested_at) AS primary_type FROM entities WHERE canonical_id IS NOT NULL GROUP BY 1),
+ents AS (SELECT * FROM stored UNION ALL SELECT canonical_id, canonical_name, type FROM lexicon),
+ends AS (SELECT source_id AS canonical_id FROM edges UNION SELECT target_id FROM edges),
+stubs AS (SELECT canonical_id, array_to_string(list_transform(regexp_extract_all(lower(replace(string_split(canonical_id, ':')[-1], '_', ' ')), '[a-z]+|[^a-z]+'),
+  lambda p: upper(p[1]) || p[2:]), '') AS canonical_name, 'OTHER' AS primary_type FROM ends WHERE canonical_id NOT IN (SELECT canonical_id FROM ents)),
+nodes AS (SELECT * FROM ents UNION ALL SELECT * FROM stubs),
+rels AS (SELECT *, min(edge_seq) OVER (PARTITION BY source_id, target_id) AS pair_seq FROM edges WHERE type NOT IN ('PART_OF', 'MENTIONS')),
+near AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY direction DESC, pair_seq, edge_seq) AS ordinal FROM (
+  SELECT source_id AS node_id, 'OUTGOING' AS direction, * FROM rels UNION ALL SELECT target_id, 'INCOMING', * FROM rels)),
+neighbors AS (SELECT n.node_id, n.ordinal::INT AS ordinal, n.direction, n.source_id, coalesce(nullif(s.canonical_name, ''), n.source_id) AS source_name, n.type AS relation, n.target_id,
+  coalesce(nullif(t.canonical_name, ''), n.target_id) AS target_name, n.chunk_ids FROM near n LEFT JOIN nodes s ON s.canonical_id = n.source_id LEFT JOIN nodes t ON t.canonical_id = n.target_id WHERE n.ordinal <= 50),
+hops AS (SELECT *, list_filter(chunk_ids, lambda c: c IS NOT NULL AND c <> '') AS ev FROM neighbors WHERE direction = 'OUTGOING')"""
+)
+
+
+def _paths_sql(max_hops: int, max_paths: int) -> str:
+    """Paths of lexicon entities; ``uniq`` lists keep the first place of each value."""
+    uniq = "list_filter({0}, lambda c, i: list_position({0}, c) = i)"
+    return EDGES_SQL + f""",
+walk AS (
+  SELECT canonical_id AS seed, canonical_id AS at, [canonical_name] AS entities, []::VARCHAR[] AS rels, []::INT[] AS ords, []::VARCHAR[] AS ev FROM lexicon
+  UNION ALL
+  SELECT w.seed, h.target_id, list_append(w.entities, h.target_name), list_append(w.rels, h.relation), list_append(w.ords, h.ordinal), list_concat(w.ev, h.ev)
+  FROM walk w JOIN hops h ON h.node_id = w.at
+  WHERE len(w.rels) < {max_hops} AND NOT list_contains(w.entities, h.target_name) AND NOT list_contains(w.entities, h.target_id)
+),
+paths AS (SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY len(rels), ords)::INT AS path_rank, entities, rels, len(rels)::INT AS length,
+  round(1.0 / (1.0 + 0.25 * (len(rels) - 1)), 3) AS score, {uniq.format("ev")} AS ev FROM walk WHERE len(rels) > 0 QUALIFY path_rank <= {max_paths})"""
+
+
+FLAT_PATHS = """ SELECT seed, path_rank, array_to_string(entities, '|') AS entities, array_to_string(rels, '|') AS relationships, length, score::DOUBLE AS score,
+ array_to_string(ev, '|') AS evidence_chunk_ids FROM paths"""
+
+ORACLE["graph_entities"] = """SELECT canonical_id, arg_max(canonical_name, ingested_at) AS canonical_name, arg_max(primary_type, ingested_at) AS primary_type,
+ (arg_max({'d': description}, ingested_at)).d AS description, (arg_max({'d': len(aliases)::INT}, ingested_at)).d AS n_aliases FROM entities WHERE canonical_id IS NOT NULL GROUP BY 1"""
+ORACLE["graph_documents"] = """SELECT document_id, title, department, CASE lower(trim(access_tier)) WHEN 'public' THEN 'Public' WHEN 'confidential' THEN 'Confidential'
+ WHEN 'restricted' THEN 'Restricted' ELSE 'Internal' END AS access_tier, version FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ingested_at DESC, doc_seq DESC) AS n
+ FROM loaded_documents WHERE document_id IS NOT NULL) WHERE n = 1"""
+ORACLE["graph_part_of_chunks"] = "SELECT DISTINCT chunk_id, document_id FROM chunks WHERE document_id IN (SELECT document_id FROM loaded_documents)"
+ORACLE["graph_edges"] = EDGES_SQL + " SELECT source_id, target_id, type, weight, edge_seq, array_to_string(list_transform(chunk_ids, lambda c: coalesce(c, '-')), '|') AS chunks FROM edges"
+ORACLE["graph_edges_idempotent"] = "WITH" + _weights_sql("round(arg_min(weight, rel_seq) + 0.5 * (count(*) - 1), 6)") + " SELECT source_id, target_id, type, weight FROM heads"
+ORACLE["graph_stub_entities"] = EDGES_SQL + " SELECT * FROM stubs"
+ORACLE["graph_neighbors_capped"] = EDGES_SQL + " SELECT node_id, ordinal, direction, source_id, source_name, relation, target_id, target_name FROM neighbors"
+ORACLE["graph_stats"] = (
+    EDGES_SQL
+    + """ SELECT (SELECT count(DISTINCT canonical_id) FROM nodes) AS entity_count, (SELECT count(DISTINCT document_id) FROM loaded_documents) AS document_count,
+ (SELECT count(DISTINCT chunk_id) FROM chunks) AS chunk_count, (SELECT count(*) FROM rels) AS relationship_count"""
+)
+ORACLE["entity_lookup"] = (
+    EDGES_SQL
+    + """, named AS (SELECT DISTINCT source_name AS identifier FROM graph_facts WHERE source_name IS NOT NULL UNION SELECT upper(canonical_name) FROM lexicon),
+ last_alias AS (SELECT canonical_id, (arg_max({'a': aliases}, ingested_at)).a AS aliases FROM entities GROUP BY 1 UNION ALL SELECT canonical_id, aliases FROM lexicon),
+ keys AS (SELECT lower(canonical_name) AS k, canonical_id FROM ents UNION ALL SELECT lower(a), canonical_id FROM (SELECT canonical_id, unnest(aliases) AS a FROM last_alias) WHERE a IS NOT NULL),
+ hit AS (SELECT identifier, canonical_id, 0 AS way FROM named JOIN ents ON identifier = canonical_id UNION ALL
+  SELECT identifier, m, 1 FROM named JOIN (SELECT k, max(canonical_id) AS m FROM keys GROUP BY k) ON k = lower(identifier))
+ SELECT identifier, arg_min(canonical_id, way) AS canonical_id FROM hit GROUP BY 1"""
+)
+ORACLE["chunk_lookup"] = "SELECT chunk_id, any_value(document_id) AS document_id, any_value(length(text))::INT AS chars FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM citations) GROUP BY 1"
+ORACLE["graph_paths_1hop"] = _paths_sql(1, 20) + FLAT_PATHS
+ORACLE["graph_paths_2hop"] = _paths_sql(2, 60) + FLAT_PATHS
+ORACLE["graph_paths_3hop"] = _paths_sql(3, 200) + FLAT_PATHS
+ORACLE["graph_path_render"] = (
+    _paths_sql(2, 20)
+    + """ SELECT seed, path_rank, '(' || entities[1] || ')' || array_to_string(list_transform(rels, lambda r, i: '-[:' || r || ']->(' || entities[i + 1] || ')'), '') AS pattern,
+ array_to_string(entities, ' -> ') AS explanation FROM paths"""
+)
+ORACLE["graph_facts"] = (
+    _paths_sql(2, 60)
+    + """, hop AS (SELECT seed, path_rank, i, entities[i] AS source_name, rels[i] AS relation, entities[i + 1] AS target_name, coalesce(ev[1], '') AS evidence_chunk_id, score::DOUBLE AS confidence
+  FROM (SELECT *, unnest(range(1, length + 1)) AS i FROM paths)),
+ once AS (SELECT * FROM hop QUALIFY row_number() OVER (PARTITION BY seed, lower(source_name), lower(relation), lower(target_name) ORDER BY path_rank, i) = 1)
+ SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY path_rank, i)::INT AS fact_rank, source_name, relation, target_name, evidence_chunk_id, confidence FROM once QUALIFY fact_rank <= 30"""
+)
+ORACLE["graph_evidence_chunks"] = (
+    _paths_sql(2, 20)
+    + """, ids AS (SELECT seed, path_rank, i, ev[i] AS chunk_id FROM (SELECT *, unnest(range(1, len(ev) + 1)) AS i FROM paths)),
+ firsts AS (SELECT seed, chunk_id, min((path_rank, i)) AS place FROM ids GROUP BY ALL),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY place)::INT AS rank FROM firsts),
+ body AS (SELECT chunk_id, any_value(document_id) AS document_id, any_value(length(text))::INT AS chars FROM chunks GROUP BY 1)
+ SELECT seed, rank, chunk_id, document_id, chars, 1.0::DOUBLE AS score FROM ranked JOIN body USING (chunk_id)"""
+)
+ORACLE["mentions_link"] = r"""
+WITH names AS (SELECT DISTINCT canonical_id, lower(n) AS n FROM (SELECT canonical_id, unnest(list_append(aliases, canonical_name)) AS n FROM lexicon) WHERE n <> ''),
+c AS (SELECT chunk_id, any_value(lower(text)) AS t FROM chunks GROUP BY 1)
+SELECT DISTINCT chunk_id, canonical_id FROM c JOIN names ON regexp_matches(t, '(^|[^a-zA-Z0-9])' || regexp_escape(n) || '([^a-zA-Z0-9]|$)')
+"""
