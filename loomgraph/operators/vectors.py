@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +60,24 @@ def hash_embeddings(texts: DataFrame, id_col: str, text_col: str, dimension: int
     Lists of one text hold at most ``dimension`` entries.
     """
     w = hash_weights(texts, id_col, text_col, dimension)
-    packed = w.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("idx", F.col("weight").cast("double")))).alias("m"), F.sqrt(F.sum(F.col("weight").cast("double") * F.col("weight"))).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)) / F.col("norm")).cast("float"))
-    return packed.select(id_col, dense.alias("vector"))
+    packed = w.groupBy(id_col).agg(F.collect_list("idx").alias("idx"), F.collect_list("weight").alias("weight"))
+    id_type = texts.schema[id_col].dataType.simpleString()
+
+    def dense(batches):
+        # Built-in expressions can only fill an array by searching it once for each place.
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                idx, weight = some.column("idx"), some.column("weight")
+                row = pc.list_parent_indices(idx).to_numpy()
+                out = np.zeros((some.num_rows, dimension))
+                out[row, idx.flatten().to_numpy()] = weight.flatten().to_numpy()
+                out /= np.sqrt((out * out).sum(axis=1, keepdims=True))
+                flat = pa.array(out.astype(np.float32).ravel())
+                ends = pa.array(np.arange(some.num_rows + 1, dtype=np.int32) * dimension)
+                yield pa.RecordBatch.from_arrays([some.column(id_col), pa.ListArray.from_arrays(ends, flat)], [id_col, "vector"])
+
+    return packed.mapInArrow(dense, f"`{id_col}` {id_type}, vector array<float>")
 
 
 def point_id(col: Column) -> Column:

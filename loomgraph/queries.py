@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import chunking, graph, orphans, traversal
+from loomgraph.functions import text
+from loomgraph.functions.text import quote
+from loomgraph.operators import chunking, extraction, fusion, graph, orphans, questions, resolution, traversal, vectors
+from loomgraph.sources import markdown
 from loomgraph.session import table
 
 QUERIES: dict = {}
@@ -284,3 +287,363 @@ WITH names AS (SELECT DISTINCT canonical_id, lower(n) AS n FROM (SELECT canonica
 c AS (SELECT chunk_id, any_value(lower(text)) AS t FROM chunks GROUP BY 1)
 SELECT DISTINCT chunk_id, canonical_id FROM c JOIN names ON regexp_matches(t, '(^|[^a-zA-Z0-9])' || regexp_escape(n) || '([^a-zA-Z0-9]|$)')
 """
+
+# ---- resolution ----------------------------------------------------------------------------
+
+
+def _canonical(spark, d):
+    mentions = table(spark, d, "entity_mentions").dropDuplicates(["mention_seq"])
+    return resolution.canonical_entities(mentions, table(spark, d, "lexicon"))
+
+
+@query
+def entity_resolve(spark, d):
+    return _canonical(spark, d).select(
+        "canonical_id", "canonical_name", "primary_type", "description", "first_seq", F.array_join("source_mentions", "|").alias("source_mentions"), F.array_join("aliases", "|").alias("aliases")
+    )
+
+
+@query
+def relations_resolve(spark, d):
+    stored = graph.latest(table(spark, d, "entities").drop("metadata"), ["canonical_id"], ["ingested_at"])
+    out = resolution.resolve_relations(_relations(spark, d), table(spark, d, "lexicon"), stored)
+    return out.select("id", "source_id", "target_id", "type", F.round("weight", 6).alias("weight"), "first_seq", F.size("evidence").alias("n_evidence"))
+
+
+# ---- text and chunks -----------------------------------------------------------------------
+
+
+def _alternation(names):
+    return "|".join(quote(n) for n in names)
+
+
+def _lexicon_rules(spark, d):
+    """Extraction rules from the curated entities (a fixed table of 40 rows)."""
+    rows = table(spark, d, "lexicon").select("type", "canonical_name").orderBy("canonical_id").limit(1000).collect()
+    kinds = list(dict.fromkeys(r["type"] for r in rows))
+    return tuple((rf"\b(?:{_alternation([r['canonical_name'] for r in rows if r['type'] == k])})\b", k, "curated entity") for k in kinds)
+
+
+@query
+def text_word_stats(spark, d):
+    c = table(spark, d, "chunks").where("text is not null").dropDuplicates(["chunk_id"])
+    stats = chunking.enriched(F.col("text"))
+    return c.select("chunk_id", *[stats[k].alias(k) for k in ("char_count", "word_count", "estimated_tokens")])
+
+
+@query
+def text_sentences(spark, d):
+    c = table(spark, d, "chunks").where("text is not null").dropDuplicates(["chunk_id"])
+    s = c.select("chunk_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
+    return s.select("chunk_id", "pos", "sentence")
+
+
+@query
+def access_tier_norm(spark, d):
+    return table(spark, d, "documents").select("doc_id", chunking.access_tier(F.col("access_tier")).alias("access_tier"))
+
+
+@query
+def entity_hints(spark, d):
+    patterns = tuple(r[0] for r in _lexicon_rules(spark, d))
+    c = table(spark, d, "chunks").where("text is not null").dropDuplicates(["chunk_id"])
+    return c.select("chunk_id", F.array_join(chunking.entity_hints(F.col("text"), patterns), "|").alias("hints"))
+
+
+def _documents(spark, d):
+    """Loaded documents with their sections, in their last state."""
+    docs = graph.latest(table(spark, d, "loaded_documents").drop("metadata"), ["document_id"], ["ingested_at", "doc_seq"])
+    body = F.coalesce("content", F.lit(""))
+    title = F.coalesce("title", F.lit(""))
+    return docs.select(
+        "document_id", title.alias("title"), "department", F.coalesce("access_tier", F.lit("Internal")).alias("access_tier"), "version", "content",
+        markdown.sections_of(body, title).alias("sections"), F.create_map().cast("map<string,string>").alias("metadata"),
+    )
+
+
+@query
+def section_parse(spark, d):
+    return _documents(spark, d).select("document_id", F.posexplode("sections").alias("pos", "s")).select("document_id", "pos", "s.level", "s.title", "s.path", F.length("s.content").alias("chars"))
+
+
+@query
+def chunk_documents(spark, d):
+    return chunking.chunk_documents(_documents(spark, d)).select("chunk_id", "document_id", "index", "text", "metadata.section_path")
+
+
+@query
+def frontmatter_parse(spark, d):
+    t = table(spark, d, "loaded_documents")
+    raw = t.select(
+        F.concat(F.lit("/in/"), "document_id", F.lit(".md")).alias("file_path"),
+        F.concat(F.lit("---\ntitle: "), F.coalesce("title", F.lit("")), F.lit("\nversion: "), F.coalesce("version", F.lit("")), F.lit("\n---\n"), F.coalesce("content", F.lit(""))).alias("raw_text"),
+    ).distinct()
+    return markdown.parse_documents(raw).select("document_id", "title", "version", F.length("content").alias("chars"))
+
+
+@query
+def entity_mentions_extracted(spark, d):
+    c = table(spark, d, "chunks").dropDuplicates(["chunk_id"])
+    return extraction.extract_entities(c, _lexicon_rules(spark, d)).select("chunk_id", "pos", "id", "name", "type", "description")
+
+
+@query
+def relation_mentions_extracted(spark, d):
+    c = table(spark, d, "chunks").dropDuplicates(["chunk_id"])
+    return extraction.extract_relations(c, _lexicon_rules(spark, d)).select("chunk_id", "pos", "id", "type", F.col("evidence")[0]["text"].alias("sentence"))
+
+
+# ---- vectors -------------------------------------------------------------------------------
+
+
+def _query_vector(spark, d):
+    return table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+
+
+@query
+def vector_topk(spark, d):
+    return vectors.search(table(spark, d, "embeddings"), _query_vector(spark, d), "vec_id", "embedding", 10).select("vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_topk_filtered(spark, d):
+    return vectors.search(table(spark, d, "embeddings"), _query_vector(spark, d), "vec_id", "embedding", 5, {"label": 3}).select("vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_topk_batch(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return vectors.search_batch(q, "query_id", "v", e, "vec_id", "embedding", 5).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_count_by_payload(spark, d):
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("points"))
+
+
+@query
+def embed_hash_buckets(spark, d):
+    c = table(spark, d, "chunks").dropDuplicates(["chunk_id"])
+    return vectors.hash_weights(c, "chunk_id", "text")
+
+
+@query
+def embed_hash_norm(spark, d):
+    c = table(spark, d, "chunks").dropDuplicates(["chunk_id"])
+    w = vectors.hash_weights(c, "chunk_id", "text")
+    return w.groupBy("chunk_id").agg(F.round(F.sqrt(F.sum(F.col("weight").cast("double") * F.col("weight"))) / 100, 6).alias("norm"))
+
+
+@query
+def point_uuid5(spark, d):
+    return table(spark, d, "chunks").select("chunk_id").distinct().select("chunk_id", vectors.point_id(F.col("chunk_id")).alias("point_id"))
+
+
+@query
+def semantic_search(spark, d):
+    """The five chunks nearest to each of three questions, by hash embeddings."""
+    c = table(spark, d, "chunks").dropDuplicates(["chunk_id"])
+    q = spark.createDataFrame([(0, "Which patch level was escalated?"), (1, "Who renewed the licence grant?"), (2, "")], "query_id int, query string")
+    w = vectors.hash_embeddings(c.select("chunk_id", "text"), "chunk_id", "text", 256)
+    v = vectors.hash_embeddings(q, "query_id", "query", 256).withColumnRenamed("vector", "v")
+    return vectors.search_batch(v, "query_id", "v", w, "chunk_id", "vector", 5).select("query_id", "rank", "chunk_id", F.round("score", 5).alias("score"))
+
+
+@query
+def vector_points(spark, d):
+    """Payloads of the points of all chunks."""
+    c = table(spark, d, "chunks").dropDuplicates(["chunk_id"])
+    unit = c.select("chunk_id", F.array(F.lit(1.0)).alias("vector"))
+    return vectors.points(c, unit).drop("vector", "text", "entity_hints")
+
+
+@query
+def vector_upsert(spark, d):
+    """Points after all chunks are delivered twice."""
+    c = table(spark, d, "chunks")
+    p = c.select(vectors.point_id(F.col("chunk_id")).alias("point_id"), "chunk_id")
+    return vectors.upsert_points(p.distinct(), p).select("point_id", "chunk_id")
+
+
+# ---- questions -----------------------------------------------------------------------------
+
+
+def _questions(spark, d):
+    """One question for each retrieval query of the fact table."""
+    f = table(spark, d, "graph_facts").dropDuplicates(["fact_seq"])
+    said = f.groupBy("query_id").agg(F.min_by(F.struct("source_name", "target_name", "relation"), F.struct("fact_rank", "fact_seq")).alias("x"))
+    a, b = F.coalesce("x.source_name", F.lit("it")), F.coalesce("x.target_name", F.lit("it"))
+    r = F.lower(F.coalesce("x.relation", F.lit("compare")))
+    start = F.when(r == "uses", "Compare the service ").when(r == "affects", "What is the impact of ").when(r == "part_of", "List all products of ").when(r == "supports", "Describe ").otherwise("How much storage links ")
+    return said.select("query_id", F.concat(start, a, F.lit(" and "), b, F.lit(" on the platform?")).alias("query"))
+
+
+@query
+def classify_intents(spark, d):
+    q = _questions(spark, d)
+    n = F.size(F.filter(F.array(F.col("query").contains("Gateway"), F.col("query").contains("Ledger")), lambda x: x))
+    return q.select("query_id", "query", n.alias("entities"), questions.intent(F.col("query"), n).alias("intent"), questions.strategy(questions.intent(F.col("query"), n), n).alias("strategy"))
+
+
+@query
+def link_questions(spark, d):
+    linked = questions.link_entities(_questions(spark, d), questions.phrase_table(table(spark, d, "lexicon")))
+    return linked.select("query_id", F.posexplode("linked").alias("pos", "e")).select("query_id", "pos", "e.*")
+
+
+@query
+def plan_questions(spark, d):
+    p = questions.analyze(_questions(spark, d), table(spark, d, "lexicon"))
+    return p.select(
+        "query_id", "intent", "strategy", F.size("seed_entities").alias("seeds"), F.array_join("target_entity_types", "|").alias("targets"), "max_hops", "require_paths", "top_k",
+        F.to_json("filters").alias("filters"),
+    )
+
+
+# ---- extensions ----------------------------------------------------------------------------
+
+
+@query
+def rrf_fusion(spark, d):
+    e = table(spark, d, "embeddings")
+    near = vectors.search(e, _query_vector(spark, d), "vec_id", "embedding", 50).select("vec_id", "rank")
+    other = e.where("vec_id = 20").select("embedding").first()[0]
+    far = vectors.search(e, other, "vec_id", "embedding", 50).select("vec_id", "rank")
+    out = fusion.reciprocal_rank_fusion({"vector": near, "graph": far}, ["vec_id"])
+    return out.select("vec_id", "vector_rank", "graph_rank", F.round("rrf_score", 9).alias("rrf_score"))
+
+
+@query
+def graph_communities(spark, d):
+    return fusion.communities(_edges(spark, d), 2)
+
+
+LEX_SQL = r"""
+alias_keys AS (
+  SELECT canonical_id AS seq, n, k, canonical_id, canonical_name, type, description, aliases FROM (
+    SELECT *, unnest(range(len(ks))) AS n, unnest(ks) AS k FROM (
+      SELECT *, list_concat(list_concat([lower(trim(canonical_id)), string_split(lower(trim(canonical_id)), ':')[-1], 'entity:' || string_split(lower(trim(canonical_id)), ':')[-1]],
+        list_transform(aliases, lambda a: lower(trim(a)))), [lower(trim(canonical_name))]) AS ks FROM lexicon)) WHERE k <> ''),
+idx AS (SELECT k, arg_max(struct_pack(canonical_id, canonical_name, type, description, aliases), (seq, n)) AS record, min((seq, n)) AS place FROM alias_keys GROUP BY k)"""
+
+ORACLE["entity_resolve"] = (
+    r"WITH "
+    + LEX_SQL
+    + r""",
+m AS (SELECT mention_seq, any_value(name) AS name, coalesce(any_value(type), 'OTHER') AS type, any_value(description) AS description, any_value(aliases) AS aliases FROM entity_mentions GROUP BY 1),
+low AS (SELECT *, lower(regexp_replace(name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS low FROM m WHERE name IS NOT NULL),
+exact AS (SELECT low.*, idx.record AS exact FROM low LEFT JOIN idx ON idx.k = low.low),
+held AS (SELECT low, arg_min(record, (-len(k), place)) AS held FROM (SELECT DISTINCT low FROM exact WHERE exact IS NULL) x JOIN idx
+  ON len(k) >= 3 AND regexp_matches(low, '(^|[^a-zA-Z0-9])' || regexp_escape(k) || '([^a-zA-Z0-9]|$)') GROUP BY low),
+r AS (SELECT mention_seq, name, coalesce(exact, held, struct_pack(
+   canonical_id := 'entity:' || lower(type) || ':' || regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'),
+   canonical_name := regexp_replace(name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), type := type, description := description, aliases := coalesce(aliases, []))) AS rec FROM exact LEFT JOIN held USING (low)),
+head AS (SELECT rec.canonical_id AS canonical_id, arg_min(rec.canonical_name, mention_seq) AS canonical_name, arg_min(rec.type, mention_seq) AS primary_type,
+   (arg_max({'d': rec.description}, (len(coalesce(rec.description, '')), -mention_seq))).d AS description, min(mention_seq) AS first_seq FROM r GROUP BY 1),
+said AS (SELECT canonical_id, string_agg(name, '|' ORDER BY s) AS source_mentions FROM (SELECT rec.canonical_id AS canonical_id, name, min(mention_seq) AS s FROM r GROUP BY ALL) GROUP BY 1),
+al AS (SELECT canonical_id, string_agg(a, '|' ORDER BY s) AS aliases FROM (SELECT canonical_id, a, min((mention_seq, n)) AS s FROM (
+   SELECT rec.canonical_id AS canonical_id, mention_seq, unnest(range(len(rec.aliases))) AS n, unnest(rec.aliases) AS a FROM r) WHERE a IS NOT NULL GROUP BY ALL) GROUP BY 1)
+SELECT head.*, source_mentions, coalesce(aliases, '') AS aliases FROM head JOIN said USING (canonical_id) LEFT JOIN al USING (canonical_id)
+"""
+)
+
+ORACLE["relations_resolve"] = (
+    r"WITH "
+    + LEX_SQL
+    + r""",
+rel AS (SELECT rel_seq, any_value(source_id) AS source_id, any_value(target_id) AS target_id, any_value(type) AS type, any_value(weight) AS weight, any_value(evidence) AS evidence FROM relationships GROUP BY 1),
+named AS (SELECT 0 AS level, canonical_id, list_concat([canonical_name], aliases) AS names FROM lexicon UNION ALL
+  SELECT 1, canonical_id, list_concat(list_concat([arg_max(canonical_name, ingested_at)], coalesce((arg_max({'a': aliases}, ingested_at)).a, [])), coalesce((arg_max({'a': source_mentions}, ingested_at)).a, [])) FROM entities GROUP BY canonical_id),
+one AS (SELECT level, canonical_id, lower(regexp_replace(v, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS v FROM (SELECT level, canonical_id, unnest(names) AS v FROM named) WHERE v IS NOT NULL),
+forms AS (SELECT level, canonical_id, canonical_id AS k FROM named UNION ALL SELECT level, canonical_id, string_split(canonical_id, ':')[-1] FROM named UNION ALL SELECT level, canonical_id, 'entity:' || string_split(canonical_id, ':')[-1] FROM named
+  UNION ALL SELECT level, canonical_id, v FROM one
+  UNION ALL SELECT level, canonical_id, trim(regexp_replace(v, '[^a-z0-9]+', ' ', 'g')) FROM one
+  UNION ALL SELECT level, canonical_id, regexp_replace(regexp_replace(v, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') FROM one
+  UNION ALL SELECT level, canonical_id, 'entity:' || regexp_replace(regexp_replace(v, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') FROM one),
+ends AS (SELECT k, arg_max(canonical_id, (level, canonical_id)) AS cid FROM forms WHERE k <> '' GROUP BY k),
+raws AS (SELECT source_id AS raw FROM rel UNION SELECT target_id FROM rel),
+bound AS (SELECT raw, lower(regexp_replace(raw, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS clean FROM raws WHERE raw IS NOT NULL),
+prep AS (SELECT raw, lower(replace(replace(raw, 'entity:', ''), '_', ' ')) AS spaced, clean,
+   trim(replace(regexp_replace(clean, '^entity:(?:[a-z]+:)?', ''), '_', ' ')) AS bare,
+   'entity:' || regexp_replace(regexp_replace(regexp_replace(clean, '^entity:(?:[a-z]+:)?', ''), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS own FROM bound),
+res AS (SELECT raw, coalesce(e1.cid, e2.cid, i1.record.canonical_id, i2.record.canonical_id, own) AS cid FROM prep LEFT JOIN ends e1 ON e1.k = raw LEFT JOIN ends e2 ON e2.k = spaced
+   LEFT JOIN idx i1 ON i1.k = clean LEFT JOIN idx i2 ON i2.k = bare),
+r AS (SELECT rel_seq, s.cid AS source_id, t.cid AS target_id, type, weight, evidence,
+   'rel:' || replace(replace(s.cid, 'entity:', ''), ':', '_') || ':' || lower(type) || ':' || replace(replace(t.cid, 'entity:', ''), ':', '_') AS id
+   FROM rel JOIN res s ON s.raw = source_id JOIN res t ON t.raw = target_id WHERE s.cid <> t.cid AND type IS NOT NULL),
+head AS (SELECT id, arg_min(source_id, rel_seq) AS source_id, arg_min(target_id, rel_seq) AS target_id, arg_min(type, rel_seq) AS type, round(arg_min(weight, rel_seq) + 0.5 * (count(*) - 1), 6) AS weight, min(rel_seq) AS first_seq FROM r GROUP BY id),
+items AS (SELECT id, rel_seq, n, evidence[n].chunk_id AS c FROM (SELECT *, unnest(range(1, len(evidence) + 1)) AS n FROM r)),
+ev AS (SELECT id, count(*)::INT AS n_evidence FROM (SELECT i.id FROM items i JOIN head h USING (id) QUALIFY row_number() OVER (PARTITION BY i.id, c ORDER BY rel_seq, n) = 1 OR rel_seq = first_seq) GROUP BY id)
+SELECT head.*, coalesce(n_evidence, 0) AS n_evidence FROM head LEFT JOIN ev USING (id)
+"""
+)
+
+ONE_CHUNK = "(SELECT chunk_id, any_value(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY 1)"
+WS = r"[\s\p{Z}\x1c-\x1f\x85]"
+ORACLE["text_word_stats"] = rf"""SELECT chunk_id, length(text)::INT AS char_count, len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> ''))::INT AS word_count,
+ greatest(1, length(text) // 4)::INT AS estimated_tokens FROM {ONE_CHUNK}"""
+ORACLE["text_sentences"] = rf"""SELECT chunk_id, (i - 1)::INT AS pos, s[i] AS sentence FROM (SELECT chunk_id, s, unnest(range(1, len(s) + 1)) AS i FROM (
+ SELECT chunk_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){WS}+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')), lambda x: x <> '') AS s FROM {ONE_CHUNK}))"""
+ORACLE["access_tier_norm"] = "SELECT doc_id, CASE lower(trim(access_tier)) WHEN 'public' THEN 'Public' WHEN 'confidential' THEN 'Confidential' WHEN 'restricted' THEN 'Restricted' ELSE 'Internal' END AS access_tier FROM documents"
+ORACLE["entity_hints"] = rf"""SELECT chunk_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, (SELECT '(?i)\b(?:' || string_agg(regexp_escape(canonical_name), '|') || ')\b' FROM lexicon)),
+ lambda h: regexp_replace(h, '{WS}+', ' ', 'g')))), '|') AS hints FROM {ONE_CHUNK}"""
+COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+ORACLE["vector_topk"] = f"SELECT vec_id, row_number() OVER (ORDER BY s DESC, vec_id)::INT AS rank, round(s, 6) AS score FROM (SELECT e.vec_id, {COS} AS s FROM embeddings e, embeddings q WHERE q.vec_id = 0) QUALIFY rank <= 10"
+ORACLE["vector_topk_filtered"] = f"SELECT vec_id, row_number() OVER (ORDER BY s DESC, vec_id)::INT AS rank, round(s, 6) AS score FROM (SELECT e.vec_id, {COS} AS s FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.label = 3) QUALIFY rank <= 5"
+ORACLE["vector_topk_batch"] = f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank, round(s, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {COS} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) QUALIFY rank <= 5"
+ORACLE["vector_count_by_payload"] = "SELECT label, count(*) AS points FROM embeddings GROUP BY 1"
+HASH_SQL = rf"""WITH c AS {ONE_CHUNK.replace(" WHERE text IS NOT NULL", "")},
+low AS (SELECT chunk_id, lower(text) AS t FROM c WHERE regexp_replace(coalesce(text, ''), '^{WS}+', '') <> ''),
+p AS (SELECT chunk_id, w AS piece, CASE WHEN length(w) > 5 THEN 200 ELSE 100 END AS x FROM (SELECT chunk_id, unnest(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+')) AS w FROM low)
+  UNION ALL SELECT chunk_id, substring(t, i, 3), 35 FROM (SELECT chunk_id, t, unnest(range(1, length(t) - 1)) AS i FROM low WHERE length(t) >= 3)),
+g AS (SELECT chunk_id, piece, sum(x) AS x FROM p GROUP BY ALL),
+h AS (SELECT chunk_id, x, ((('0x' || substr(md5(piece), 1, 16))::UBIGINT::HUGEINT % 3072) * (18446744073709551616::HUGEINT % 3072) + ('0x' || substr(md5(piece), 17, 16))::UBIGINT::HUGEINT % 3072) % 3072 AS k FROM g),
+w AS (SELECT chunk_id, (k % 1536)::INT AS idx, sum(CASE WHEN k % 2 = 0 THEN x ELSE -x END)::BIGINT AS weight FROM h GROUP BY ALL UNION ALL SELECT chunk_id, 0, 100 FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM low))"""
+ORACLE["embed_hash_buckets"] = HASH_SQL + " SELECT * FROM w WHERE weight <> 0"
+ORACLE["embed_hash_norm"] = HASH_SQL + " SELECT chunk_id, round(sqrt(sum(weight::DOUBLE * weight)) / 100, 6) AS norm FROM w GROUP BY 1"
+ORACLE["point_uuid5"] = """SELECT chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][(('0x' || substr(h, 17, 1))::INT & 3) + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
+ FROM (SELECT DISTINCT chunk_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(chunk_id)) AS h FROM chunks)"""
+ORACLE["vector_upsert"] = ORACLE["point_uuid5"]
+ORACLE["frontmatter_parse"] = rf"""SELECT DISTINCT document_id, coalesce(nullif(regexp_replace(coalesce(title, ''), '^{WS}+|{WS}+$', '', 'g'), ''),
+ nullif(regexp_replace(regexp_extract(coalesce(content, ''), '(?m)^#[\s\p{{Z}}]+(.+)$', 1), '^{WS}+|{WS}+$', '', 'g'), ''),
+ array_to_string(list_transform(regexp_extract_all(lower(replace(document_id, '_', ' ')), '[a-z]+|[^a-z]+'), lambda p: upper(p[1]) || p[2:]), '')) AS title,
+ regexp_replace(coalesce(version, ''), '^{WS}+|{WS}+$', '', 'g') AS version, length(regexp_replace(coalesce(content, ''), '^{WS}+|{WS}+$', '', 'g'))::INT AS chars FROM loaded_documents"""
+ORACLE["rrf_fusion"] = f"""WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY s DESC, vec_id)::INT AS r FROM (SELECT e.vec_id, {COS} AS s FROM embeddings e, embeddings q WHERE q.vec_id = 0) QUALIFY r <= 50),
+ b AS (SELECT vec_id, row_number() OVER (ORDER BY s DESC, vec_id)::INT AS r FROM (SELECT e.vec_id, {COS} AS s FROM embeddings e, embeddings q WHERE q.vec_id = 20) QUALIFY r <= 50)
+ SELECT coalesce(a.vec_id, b.vec_id) AS vec_id, a.r AS vector_rank, b.r AS graph_rank, round(coalesce(0.5 / (60 + a.r), 0) + coalesce(0.3 / (60 + b.r), 0), 9) AS rrf_score FROM a FULL JOIN b ON a.vec_id = b.vec_id"""
+
+
+def _vote_sql(source: str, target: str) -> str:
+    return f"""{target} AS (SELECT x AS canonical_id, arg_min(community_id, (-w, community_id)) AS community_id FROM (
+  SELECT x, community_id, round(sum(coalesce(weight, 1.0)), 6) AS w FROM both_ways JOIN {source} l ON l.canonical_id = y GROUP BY ALL) GROUP BY 1)"""
+
+
+ORACLE["graph_communities"] = (
+    EDGES_SQL
+    + """, both_ways AS (SELECT source_id AS x, target_id AS y, weight FROM edges WHERE source_id <> target_id UNION ALL SELECT target_id, source_id, weight FROM edges WHERE source_id <> target_id),
+ l0 AS (SELECT DISTINCT x AS canonical_id, x AS community_id FROM both_ways), """
+    + _vote_sql("l0", "l1")
+    + ", "
+    + _vote_sql("l1", "l2")
+    + " SELECT * FROM l2"
+)
+
+
+def _any_sql(patterns: tuple[str, ...]) -> str:
+    return "regexp_matches(low, '" + "|".join(patterns) + "')"
+
+
+ORACLE["classify_intents"] = rf"""
+WITH f AS (SELECT query_id, arg_min(struct_pack(s := source_name, t := target_name, r := relation), (fact_rank, fact_seq)) AS x FROM graph_facts GROUP BY 1),
+q AS (SELECT query_id, CASE lower(coalesce(x.r, 'compare')) WHEN 'uses' THEN 'Compare the service ' WHEN 'affects' THEN 'What is the impact of ' WHEN 'part_of' THEN 'List all products of '
+  WHEN 'supports' THEN 'Describe ' ELSE 'How much storage links ' END || coalesce(x.s, 'it') || ' and ' || coalesce(x.t, 'it') || ' on the platform?' AS query FROM f),
+n AS (SELECT *, lower(trim(query)) AS low, (contains(query, 'Gateway')::INT + contains(query, 'Ledger')::INT) AS entities FROM q),
+i AS (SELECT *, CASE WHEN low = '' THEN 'NO_ANSWER'
+  WHEN entities = 0 AND NOT list_has_any(regexp_extract_all(low, '[a-z0-9_-]+'), {list(questions.DOMAIN_WORDS)!r}) THEN 'NO_ANSWER'
+  WHEN {_any_sql(questions.COMPARISON)} OR (entities >= 2 AND regexp_matches(low, '\b(?:or|versus|difference)\b')) THEN 'COMPARISON'
+  WHEN {_any_sql(questions.GLOBAL)} THEN 'GLOBAL' WHEN {_any_sql(questions.MULTI_HOP)} THEN 'MULTI_HOP' WHEN {_any_sql(questions.FACT)} THEN 'DIRECT_FACT'
+  WHEN {_any_sql(questions.RELATIONSHIP)} OR entities >= 2 THEN 'RELATIONSHIP' WHEN {_any_sql(questions.ENTITY_LOOKUP)} OR entities = 1 THEN 'ENTITY_LOOKUP' ELSE 'DIRECT_FACT' END AS intent FROM n)
+SELECT query_id, query, entities, intent, CASE WHEN intent = 'GLOBAL' THEN 'global' WHEN intent IN ('MULTI_HOP', 'RELATIONSHIP') THEN 'multi_hop' WHEN intent IN ('COMPARISON', 'ENTITY_LOOKUP') THEN 'hybrid'
+  WHEN intent = 'DIRECT_FACT' AND entities > 0 THEN 'hybrid' ELSE 'vector' END AS strategy FROM i
+"""
