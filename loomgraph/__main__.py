@@ -37,7 +37,7 @@ def main(argv: list[str] | None = None) -> None:
     spark.sparkContext.setLogLevel("ERROR")
     store = Store(spark, a.store)
     if a.command == "ingest":
-        pipeline.summary(pipeline.save(pipeline.ingest(load_directory(spark, a.folder)), store)).show(truncate=False)
+        pipeline.summary(pipeline.ingest(load_directory(spark, a.folder), store=store)).show(truncate=False)
     elif a.command == "search":
         asked = spark.createDataFrame([(0, a.query)], "id int, query string")
         vector = vectors.hash_embeddings(asked, "id", "query", get_settings().embedding_dimension).first()["vector"]

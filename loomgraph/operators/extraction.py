@@ -52,10 +52,11 @@ def mention_array(text: Column, rules=ENTITY_RULES) -> Column:
         hits = F.regexp_extract_all(text, F.lit("(?iU)" + pattern), F.lit(0))
         typed = F.struct(F.lit(kind).alias("type"), F.lit(fallback).alias("fallback"))
         found.append(F.transform(hits, _tagger(typed)))
-    named = F.transform(F.concat(*found), lambda m: F.struct(m["raw"].alias("raw"), m["type"].alias("type"), m["fallback"].alias("fallback"), standard_name(m["raw"], m["type"]).alias("name")))
-    return F.filter(
-        F.transform(named, lambda m, i: F.struct(m["raw"].alias("raw"), m["type"].alias("type"), m["fallback"].alias("fallback"), m["name"].alias("name"), F.exists(F.slice(named, 1, i), lambda n: F.lower(n["name"]) == F.lower(m["name"])).alias("seen"))),
-        lambda m: ~m["seen"],
+    named = F.transform(F.concat(*found), lambda m: m.withField("name", standard_name(m["raw"], m["type"])))
+    none = F.array().cast("array<struct<raw:string,type:string,fallback:string,name:string>>")
+    # A fold, so that the list is built once and not for each comparison.
+    return F.aggregate(
+        named, none, lambda out, m: F.when(F.exists(out, lambda n: F.lower(n["name"]) == F.lower(m["name"])), out).otherwise(F.array_append(out, m))
     )
 
 

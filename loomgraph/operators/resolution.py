@@ -99,7 +99,7 @@ def canonical_entities(mentions: DataFrame, lexicon: DataFrame) -> DataFrame:
     cid = F.col("record.canonical_id").alias("canonical_id")
     head = r.groupBy(cid).agg(
         F.min_by(F.struct("record.canonical_name", "record.type"), "mention_seq").alias("head"),
-        F.max_by("record.description", F.struct(F.length(F.coalesce("record.description", F.lit(""))), F.negative("mention_seq"))).alias("description"),
+        F.min_by("record.description", F.struct(F.negative(F.length(F.coalesce("record.description", F.lit("")))), "mention_seq")).alias("description"),
         F.min("mention_seq").alias("first_seq"),
     )
     once = r.groupBy(cid, "name").agg(F.min("mention_seq").alias("s"))

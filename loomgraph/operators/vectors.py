@@ -22,9 +22,12 @@ SHORT_WORD, LONG_WORD, TRIPLE = 100, 200, 35
 
 def md5_mod(col: Column, modulus: int) -> Column:
     """MD5 of a string as a 128-bit number, modulo a small number."""
-    half = lambda a: F.conv(F.substring(F.md5(col), a, 16), 16, 10).cast("decimal(20,0)")
-    left = (half(1) % modulus).cast("bigint") * F.lit(2**64 % modulus)
-    return ((left + (half(17) % modulus).cast("bigint")) % modulus).cast("int")
+    digest = F.md5(col)
+    out = F.lit(0).cast("bigint")
+    for at in (1, 9, 17, 25):
+        word = F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
+        out = (out * F.lit(2**32 % modulus) + word) % modulus
+    return out.cast("int")
 
 
 def _pieces(low: Column) -> Column:

@@ -29,32 +29,37 @@ class Graph:
     points: DataFrame
 
 
-def ingest(docs: DataFrame, lexicon: DataFrame | None = None, settings: Settings | None = None, rules=ENTITY_RULES, cues=RELATION_CUES, extractor=None, dimension: int | None = None) -> Graph:
-    """Tables of parsed documents (see ``sources.markdown``), as one lazy plan.
+def ingest(docs: DataFrame, lexicon: DataFrame | None = None, settings: Settings | None = None, rules=ENTITY_RULES, cues=RELATION_CUES, extractor=None, dimension: int | None = None, store: Store | None = None) -> Graph:
+    """Tables of parsed documents (see ``sources.markdown``).
+
+    With a store each table is written as soon as it is made, and the next ones read it; without
+    one, all tables are parts of one lazy plan, for small inputs.
 
     extractor: replaces the entity rules by a function of the chunks that gives the columns of
     ``extraction.extract_entities``.
     """
     s = settings or get_settings()
     lex = lexicon if lexicon is not None else default_lexicon(docs.sparkSession)
-    chunks = chunking.chunk_documents(docs, s)
+    keep = store.write if store else lambda name, df: df
+    docs = keep("documents", docs)
+    chunks = keep("chunks", chunking.chunk_documents(docs, s))
     found = extractor(chunks) if extractor else extraction.extract_entities(chunks, rules)
-    # Order of mentions: chunk, then place; packed into one sortable number is not needed.
+    # Mentions are ordered by document, chunk and place.
     seq = F.concat_ws("#", "document_id", "chunk_id", F.format_string("%09d", "pos"))
-    mentions = found.withColumn("mention_seq", seq)
-    entities = resolution.canonical_entities(mentions.withColumn("mention_seq", F.xxhash64("mention_seq")), lex)
+    mentions = keep("entity_mentions", found.withColumn("mention_seq", seq))
+    entities = keep("entities", resolution.canonical_entities(mentions, lex))
     raw = extraction.extract_relations(chunks, rules, cues)
     raw = raw.withColumn("rel_seq", F.concat_ws("#", "chunk_id", F.format_string("%09d", "pos")))
-    relationships = resolution.resolve_relations(raw, lex, entities)
-    edges = graph.edges(relationships.withColumn("rel_seq", F.col("first_seq")), accumulate=False)
-    linked = graph.link_mentions(chunks, entities)
+    relationships = keep("relationships", resolution.resolve_relations(raw, lex, entities))
+    edges = keep("edges", graph.edges(relationships.withColumn("rel_seq", F.col("first_seq")), accumulate=False))
+    linked = keep("mentions", graph.link_mentions(chunks, entities))
     vec = vectors.hash_embeddings(chunks.select("chunk_id", "text"), "chunk_id", "text", dimension or s.embedding_dimension)
-    return Graph(docs, chunks, mentions, entities, relationships, edges, linked, vectors.points(chunks, vec))
+    return Graph(docs, chunks, mentions, entities, relationships, edges, linked, keep("points", vectors.points(chunks, vec)))
 
 
-def save(g: Graph, store: Store) -> Graph:
-    """Write all tables and give them back as read from the store."""
-    return Graph(**{name: store.write(name, getattr(g, name)) for name in TABLES})
+def load(store: Store) -> Graph:
+    """The tables of an earlier ingest."""
+    return Graph(**{name: store.read(name) for name in TABLES})
 
 
 def summary(g: Graph) -> DataFrame:
