@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +57,33 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+class Scratch:
+    """Tables in the shared checkpoint folder that cut the lineage of iterations.
+
+    Unlike a checkpoint, which keeps the planner's guess of its size, a table read back has its
+    true size; guesses would multiply with every join of a loop.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.root = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def put(self, df: DataFrame, *replaced: DataFrame | None) -> DataFrame:
+        """Write ``df`` and read it back; tables it replaces are deleted."""
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path
+        for old in replaced:
+            if getattr(old, "_scratch_path", None):
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(old._scratch_path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        return out
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The planner's size of ``df`` in bytes (files read, no job)."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
