@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import key
 from loomgraph.operators.skew import salted_join
-from loomgraph.session import cut
+from loomgraph.session import Scratch
 
 #: A frontier is broadcast up to this many rows, and joined by shuffle beyond it.
 BROADCAST_ROWS = 20_000
@@ -31,84 +31,71 @@ def connected_groups(pairs: DataFrame, left: str = "a", right: str = "b", hub_sh
     Pairs with a null end or with one id twice link nothing; repeated and reversed pairs count
     once; other columns are ignored. An empty input gives an empty result.
     """
+    scratch = Scratch(pairs.sparkSession)
     kept = pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).where(F.col("a") != F.col("b"))
     both = kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = cut(both.distinct())
-    groups = None
+    edges = scratch.put(both.distinct())
+    parts: list[DataFrame] = []
     total = edges.count()
-    peel = total > 0
-    while peel:
+    while total:
         degrees = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         hub, degree = degrees.orderBy(F.desc("n"), "a").first()
-        if groups is not None and (degree < hub_degree or degree < hub_share * total):
+        if parts and (degree < hub_degree or degree < hub_share * total):
             break
-        seen, finished = _reach(edges, hub, max_hops)
+        seen, finished = _reach(scratch, edges, hub, max_hops)
         if not finished:
             # Contract what was reached to the hub and let the labels travel on from there.
-            rest, labels = _contract(edges, seen.withColumn("label", F.lit(hub)))
-            small = _propagate(rest, labels)
-            return _named(small if groups is None else groups.unionByName(small))
+            ends = edges.select(F.col("a").alias("id")).distinct()
+            reached = seen.withColumn("label", F.lit(hub))
+            labels = scratch.put(ends.join(reached, "id", "left").select("id", F.coalesce("label", "id").alias("label")), seen)
+            parts.append(_propagate(scratch, _relabel(scratch, edges, labels), labels))
+            break
         least = seen.agg(F.min("id").alias("label"))
-        part = seen.join(F.broadcast(least))
-        groups = part if groups is None else groups.unionByName(part)
-        edges = cut(edges.join(seen.withColumnRenamed("id", "a"), "a", "left_anti"))
+        parts.append(seen.join(F.broadcast(least)))
+        edges = scratch.put(edges.join(seen.withColumnRenamed("id", "a"), "a", "left_anti"), edges)
         total = edges.count()
-        peel = total > 0
-    if total:
-        small = _propagate(edges, None)
-        groups = small if groups is None else groups.unionByName(small)
-    if groups is None:
-        return kept.select(F.col("a").alias("id"), F.col("b").alias("group_id"))
-    return _named(groups)
-
-
-def _named(groups: DataFrame) -> DataFrame:
-    return groups.select("id", F.col("label").alias("group_id"))
-
-
-def _reach(edges: DataFrame, hub: str, max_hops: int) -> tuple[DataFrame, bool]:
-    spark = edges.sparkSession
-    frontier = spark.createDataFrame([(hub,)], "id string")
+    else:
+        finished = True
+    if total and finished:
+        parts.append(_propagate(scratch, edges, edges.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))))
+    out = parts[0] if parts else kept.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("id", F.col("label").alias("group_id"))
+
+
+def _reach(scratch: Scratch, edges: DataFrame, hub: str, max_hops: int) -> tuple[DataFrame, bool]:
+    """All vertices within ``max_hops`` of the hub, and whether these are its whole component."""
+    frontier = scratch.spark.createDataFrame([(hub,)], "id string")
     seen, size = frontier, 1
     for _ in range(max_hops):
         near = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
         nxt = edges.join(near, F.col("a") == F.col("id")).select(F.col("b").alias("id")).distinct()
-        frontier = cut(nxt.join(seen, "id", "left_anti"))
+        frontier = scratch.put(nxt.join(seen, "id", "left_anti"), frontier)
         size = frontier.count()
         if not size:
             return seen, True
-        seen = cut(seen.unionByName(frontier))
+        seen = scratch.put(seen.unionByName(frontier), seen)
     return seen, False
 
 
-def _contract(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges between labels, and the label of every vertex; ``labels`` may lack vertices."""
-    ends = edges.select(F.col("a").alias("id")).distinct()
-    full = cut(ends.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label")))
-    return _relabel(edges, full), full
-
-
-def _relabel(edges: DataFrame, full: DataFrame) -> DataFrame:
-    x = full.select(F.col("id").alias("a"), F.col("label").alias("la"))
-    y = full.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+def _relabel(scratch: Scratch, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges between the labels of their ends, without loops."""
+    x = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
+    y = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
     moved = edges.join(x, "a").join(y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    return cut(moved.where(F.col("a") != F.col("b")).distinct())
+    return scratch.put(moved.where(F.col("a") != F.col("b")).distinct())
 
 
-def _propagate(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _propagate(scratch: Scratch, edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, label) with the least id of each component as label."""
-    if labels is None:
-        labels = edges.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
     while not edges.isEmpty():
         least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
         up = least.select(F.col("v").alias("m"), F.col("m").alias("top"))
-        parent = cut(least.join(up, "m", "left").select(F.col("v").alias("id"), F.coalesce("top", "m").alias("to")))
-        labels = cut(
-            labels.join(parent.select(F.col("id").alias("label"), "to"), "label", "left").select(
-                "id", F.coalesce("to", "label").alias("label")
-            )
-        )
-        edges = _relabel(edges, parent.withColumnRenamed("to", "label"))
+        parent = scratch.put(least.join(up, "m", "left").select(F.col("v").alias("id"), F.coalesce("top", "m").alias("label")))
+        moved = parent.select(F.col("id").alias("label"), F.col("label").alias("to"))
+        labels = scratch.put(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), labels)
+        edges = _relabel(scratch, edges, parent)
     low = labels.groupBy("label").agg(F.min("id").alias("least"))
     return labels.join(low, "label").select("id", F.col("least").alias("label"))
 
