@@ -235,7 +235,9 @@ def corpus_words(parted: DataFrame) -> DataFrame:
 
 
 def part_count(docs: DataFrame, part_bytes: int = PART_BYTES) -> int:
-    return max(4, -(-planned_bytes(docs) // part_bytes))
+    """Parts by the planner's size; no more than 16 for each partition of the input, as sizes of
+    anything but files may be mere guesses."""
+    return max(4, min(-(-planned_bytes(docs) // part_bytes), 16 * docs.rdd.getNumPartitions()))
 
 
 def encode_corpus(
