@@ -137,11 +137,12 @@ def link_mentions(chunks: DataFrame, entities: DataFrame, longest: int = 8) -> D
     sizes = phrases.select(F.size(F.split("words", " ")).alias("n")).where(f"n <= {longest}").distinct()
     # At most ``longest`` lengths.
     lengths = [r["n"] for r in sizes.collect()]
-    tokens = F.split(phrase_key(F.col("text")), " ")
+    # A column of its own: inside a lambda it would be computed for each element.
+    tokens = F.col("tokens")
     runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), _runner(tokens, n)) for n in sorted(lengths)]
     if not runs:
         return chunks.select("chunk_id").join(entities.select("canonical_id").limit(0), how="inner")
-    texts = chunks.where("text is not null").select("chunk_id", "text")
+    texts = chunks.where("text is not null").select("chunk_id", "text", F.split(phrase_key(F.col("text")), " ").alias("tokens"))
     spoken = texts.select("chunk_id", "text", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("run"))
     met = spoken.join(phrases, F.col("run") == F.col("words"))
     low, name = F.lower("text"), F.lower(F.col("name"))

@@ -46,9 +46,14 @@ def alias_index(lexicon: DataFrame) -> DataFrame:
     return rows.where("alias_key <> ''").groupBy("alias_key").agg(F.max_by("record", F.struct("seq", "n")).alias("record"), F.min(F.struct("seq", "n")).alias("place"))
 
 
-def _grams(text: Column, longest: int) -> Column:
-    """All runs of 1 to ``longest`` alphanumeric tokens, as the text between their ends."""
-    parts = F.regexp_extract_all(text, F.lit("[a-zA-Z0-9]+|[^a-zA-Z0-9]+"), F.lit(0))
+def _parts(text: Column) -> Column:
+    """Alphanumeric tokens and what lies between them, in order."""
+    return F.regexp_extract_all(text, F.lit("[a-zA-Z0-9]+|[^a-zA-Z0-9]+"), F.lit(0))
+
+
+def _grams(parts: Column, longest: int) -> Column:
+    """All runs of 1 to ``longest`` alphanumeric tokens, as the text between their ends. ``parts``
+    should be a plain column: inside a lambda an expression is computed for each element."""
     odd = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.coalesce(F.try_element_at(parts, i), F.lit("")).rlike("^[a-zA-Z0-9]"))
     spans = F.flatten(F.transform(odd, lambda i: F.transform(F.sequence(F.lit(0), F.lit(longest - 1)), lambda k: F.array_join(F.slice(parts, i, 2 * k + 1), ""))))
     return F.array_distinct(spans)
@@ -70,7 +75,8 @@ def resolve_mentions(mentions: DataFrame, lexicon: DataFrame, longest: int = 6)
     hit = named.join(small(exact), F.col("low") == F.col("k1"), "left").drop("k1")
     # Containment by equality of word runs, over the distinct names that are left.
     left = hit.where("exact is null and low is not null").select("low").distinct()
-    runs = left.select("low", F.explode(_grams(F.col("low"), longest)).alias("k2"))
+    parted = left.select("low", _parts(F.col("low")).alias("parts"))
+    runs = parted.select("low", F.explode(_grams(F.col("parts"), longest)).alias("k2"))
     held = runs.join(small(index.where(F.length("alias_key") >= 3)), F.col("k2") == F.col("alias_key"))
     sized = held.withColumn("len", F.length("k2"))
     longest_key = sized.groupBy("low").agg(F.max("len").alias("len"))

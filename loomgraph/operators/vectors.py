@@ -45,9 +45,9 @@ def hash_weights(texts: DataFrame, id_col: str, text_col: str, dimension: int =
     of a text are counted before they are hashed. A blank or null text is the unit vector
     (idx 0, weight 100). Repeated ids must be dropped before.
     """
-    low = F.lower(F.col(text_col))
     blank = strip(F.coalesce(F.col(text_col), F.lit(""))) == ""
-    rows = texts.where(~blank).select(F.col(id_col), F.explode(_pieces(low)).alias("p"))
+    lowered = texts.where(~blank).select(F.col(id_col), F.lower(F.col(text_col)).alias("__low"))
+    rows = lowered.select(F.col(id_col), F.explode(_pieces(F.col("__low"))).alias("p"))
     counted = rows.groupBy(id_col, "p.piece").agg(F.sum("p.w").alias("w"))
     # One digest gives bucket and parity.
     code = md5_mod(F.col("piece"), 2 * dimension)
@@ -123,11 +123,19 @@ def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     return latest(old.unionByName(new), ["chunk_id"], ["ingested_at"])
 
 
+def dot(x: Column, y: Column) -> Column:
+    """Sum of products of two arrays in double precision."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(x: Column) -> Column:
+    return F.sqrt(dot(x, x))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays, summed in double precision; null if one is a null vector."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
+    """Cosine of two arrays; null if one is a null vector."""
+    size = norm(a) * norm(b)
+    return F.when(size > 0, dot(a, b) / size)
 
 
 def filtered(point_table: DataFrame, filters: dict) -> DataFrame:
@@ -158,13 +166,13 @@ def search_batch(queries: DataFrame, query_id: str, query_vector: str, point_tab
     once. Blocks are broadcast while there are few queries (they are counted first) and joined
     without a broadcast beyond. A partial top-k goes before the shuffle of scores.
     """
-    numbered = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).where("v is not null")
+    numbered = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).where("v is not null").withColumn("nv", norm(F.col("v")))
     count = numbered.count()
     blocks = max(1, -(-count // block))
-    packed = numbered.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))).groupBy("b").agg(F.collect_list(F.struct("q", "v")).alias("qs"))
+    packed = numbered.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))).groupBy("b").agg(F.collect_list(F.struct("q", "v", "nv")).alias("qs"))
     packed = F.broadcast(packed) if count <= BROADCAST_QUERIES else packed
-    rows = point_table.select(F.col(id_col).alias("p"), F.col(vector_col).alias("w")).where("w is not null")
-    met = rows.join(packed).select("p", F.explode(F.transform("qs", lambda x: F.struct(x["q"].alias("q"), cosine(F.col("w"), x["v"]).alias("score")))).alias("x"))
+    rows = point_table.select(F.col(id_col).alias("p"), F.col(vector_col).alias("w")).where("w is not null").withColumn("nw", norm(F.col("w"))).where("nw > 0")
+    met = rows.join(packed).select("p", F.explode(F.transform("qs", lambda x: F.struct(x["q"].alias("q"), F.when(x["nv"] > 0, dot(F.col("w"), x["v"]) / (F.col("nw") * x["nv"])).alias("score")))).alias("x"))
     scored = met.select("x.q", "p", "x.score").where("score is not null")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "p"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select(F.col("q").alias(query_id), "rank", F.col("p").alias(id_col), "score")
