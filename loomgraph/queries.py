@@ -319,7 +319,9 @@ def _alternation(names):
 
 def _lexicon_rules(spark, d):
     """Extraction rules from the curated entities (a fixed table of 40 rows)."""
-    rows = table(spark, d, "lexicon").select("type", "canonical_name").orderBy("canonical_id").limit(1000).collect()
+    rows = table(spark, d, "lexicon").select("type", "canonical_name").orderBy("canonical_id").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("more than 1,000 curated entities; use link_mentions instead of literal patterns")
     kinds = list(dict.fromkeys(r["type"] for r in rows))
     return tuple((rf"\b(?:{_alternation([r['canonical_name'] for r in rows if r['type'] == k])})\b", k, "curated entity") for k in kinds)
 
