@@ -9,13 +9,14 @@ with probability 1 - J; the signature distance is the number of differing symbol
   By pigeonhole every pair of distance 15 or less shares an entry (16 errors are needed to put 2
   into each chunk). Pairs beyond that share one with a probability of 1 - (1 - (J^4 + 4 J^3
   (1 - J)))^8: 99.4 % at J = 0.6, 99.98 % at J = 0.7.
-* Entries carry 96 one-bit minhashes; partners in a bucket that differ in more than 30 of
-  them (at J = 0.6 one pair in 500) are dropped at once. What is left is compared exactly.
+* Entries carry 160 one-bit minhashes; partners in a bucket that differ in more than 54 of
+  them (at J = 0.6 one pair in 60,000) are dropped at once, so what pigeonhole guarantees
+  is a shared entry, not a result. What is left is compared exactly.
 * Equal sets are collapsed to one representative before any bucket is formed, so copies never
   meet each other; members are joined on again at the end.
-* A bucket of more than ``HOT`` representatives is not paired up but entered again under each of
-  the other entries of its members, twice if need be; what still is hot then shares 9 symbols
-  in three chunks, and its pairs are nearly all results. No bucket is ever collected.
+* A bucket of more than ``HOT`` representatives is split into blocks of about ``BLOCK``, and each
+  block meets itself and every other block in a task of its own. So all members of a bucket meet,
+  whatever its size; no bucket is ever collected.
 
 Words are the longest runs of Unicode letters and numbers, lower-cased. The exact check compares
 sets of 32-bit hashes of word pairs: two texts of 100 pairs have a common false element with a
@@ -36,10 +37,12 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import cut
 
-CHUNKS, CHUNK, BITS = 8, 4, 96
+CHUNKS, CHUNK, BITS = 8, 4, 160
 SYMBOLS = CHUNKS * CHUNK
-MAX_BITS = 30
-HOT = 4096
+MAX_BITS = 54
+HOT, BLOCK = 4096, 2048
+#: Rows of a block compared at once with the other block.
+SLAB = 256
 #: Up to this many representatives in candidate pairs are broadcast to thin out the sets.
 BROADCAST_ROWS = 1_000_000
 
@@ -99,7 +102,7 @@ def word_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(pair: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols (n x 32, 32 bits each) and one-bit minhashes (n x 96) of sets laid end to end."""
+    """Symbols (n x 32, 32 bits each) and one-bit minhashes (n x 160) of sets laid end to end."""
     xor, mul = _seeds()
     n = len(heads)
     symbols, bits = np.empty((n, SYMBOLS), np.uint32), np.empty((n, BITS), np.uint8)
@@ -126,7 +129,7 @@ def _entries(symbols: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return out
 
 
-SHAPE = "kind string, key string, fp long, n int, bits long, entries array<long>, pairs array<int>"
+SHAPE = "kind string, key string, fp long, n int, bits long, further long, entries array<long>, pairs array<int>"
 
 
 def sketches(items: DataFrame) -> DataFrame:
@@ -150,7 +153,8 @@ def sketches(items: DataFrame) -> DataFrame:
             symbols, bits = signatures(pair, heads)
             packed = np.packbits(bits, axis=1)
             wide = np.ascontiguousarray(packed[:, :8]).view(np.int64)[:, 0]
-            more = np.ascontiguousarray(packed[:, 8:]).view(np.uint32)[:, 0].astype(np.uint64)
+            more = np.ascontiguousarray(packed[:, 8:12]).view(np.uint32)[:, 0].astype(np.uint64)
+            further = np.ascontiguousarray(packed[:, 12:]).view(np.int64)[:, 0]
             entries = (_entries(symbols, kind) << np.uint64(32) | more[:, None]).view(np.int64)
             fresh = np.zeros(len(fp), bool)
             fresh[np.unique(fp, return_index=True)[1]] = True
@@ -163,16 +167,17 @@ def sketches(items: DataFrame) -> DataFrame:
                     pa.array(fp),
                     pa.array(sizes.astype(np.int32)),
                     pa.array(wide),
+                    pa.array(further),
                     pa.ListArray.from_arrays(pa.array(upto), pa.array(entries[fresh].ravel()), mask=pa.array(~fresh)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array((pair >> np.uint64(32)).astype(np.uint32).view(np.int32))),
                 ],
-                ["kind", "key", "fp", "n", "bits", "entries", "pairs"],
+                ["kind", "key", "fp", "n", "bits", "further", "entries", "pairs"],
             )
 
     return items.select("kind", "key", "text").where("text is not null").mapInArrow(batches, SHAPE)
 
 
-def _pairs_in(entry: np.ndarray, fp: np.ndarray, bits: np.ndarray):
+def _pairs_in(entry: np.ndarray, fp: np.ndarray, bits: np.ndarray, further: np.ndarray):
     """Partners in buckets of sorted rows that agree in enough one-bit minhashes."""
     bucket = entry >> 32
     low = (entry & 0xFFFFFFFF).astype(np.uint64)
@@ -186,6 +191,7 @@ def _pairs_in(entry: np.ndarray, fp: np.ndarray, bits: np.ndarray):
             break
         off = np.bitwise_count(bits[at].view(np.uint64) ^ bits[at + d].view(np.uint64)).astype(np.int16)
         off += np.bitwise_count(low[at] ^ low[at + d])
+        off += np.bitwise_count(further[at].view(np.uint64) ^ further[at + d].view(np.uint64))
         hit = at[(off <= MAX_BITS) & (fp[at] != fp[at + d])]
         a.append(fp[hit])
         b.append(fp[hit + d])
@@ -194,10 +200,10 @@ def _pairs_in(entry: np.ndarray, fp: np.ndarray, bits: np.ndarray):
 
 
 def _meet(rows: DataFrame, last: bool) -> DataFrame:
-    """Rows (entry, fp, bits) -> (a, b, entry): pairs, or with a null b the members of a hot bucket."""
+    """Rows (entry, fp, bits, further or none) -> (a, b, entry): pairs, or with a null b the members of a hot bucket."""
 
     def find(source):
-        e, f, w = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        e, f, w, v = (np.empty(0, np.int64) for _ in range(4))
         hot = None
 
         def out(a, b, entry=None):
@@ -211,7 +217,7 @@ def _meet(rows: DataFrame, last: bool) -> DataFrame:
                 ["a", "b", "entry"],
             )
 
-        def whole(e, f, w):
+        def whole(e, f, w, v):
             """Complete buckets: pairs of the small ones, members of the hot ones."""
             bucket = e >> 32
             first = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
@@ -219,20 +225,21 @@ def _meet(rows: DataFrame, last: bool) -> DataFrame:
             big = np.repeat(size > HOT, size) if not last else np.zeros(len(e), bool)
             if big.any():
                 yield out(f[big], None, e[big])
-            a, b = _pairs_in(e[~big], f[~big], w[~big])
+            a, b = _pairs_in(e[~big], f[~big], w[~big], v[~big])
             if len(a):
                 yield out(np.minimum(a, b), np.maximum(a, b))
 
         for batch in source:
-            x = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            e, f, w = np.concatenate((e, x[0])), np.concatenate((f, x[1])), np.concatenate((w, x[2]))
+            x = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            x = x if len(x) > 3 else [*x, np.zeros(batch.num_rows, np.int64)]
+            e, f, w, v = (np.concatenate(y) for y in zip((e, f, w, v), x))
             if not len(e):
                 continue
             if hot is not None:
                 own = int(np.searchsorted(e >> 32, hot, side="right"))
                 if own:
                     yield out(f[:own], None, e[:own])
-                    e, f, w = e[own:], f[own:], w[own:]
+                    e, f, w, v = e[own:], f[own:], w[own:], v[own:]
                 if len(e):
                     hot = None
                 else:
@@ -240,17 +247,17 @@ def _meet(rows: DataFrame, last: bool) -> DataFrame:
             # Copies of one representative stand side by side.
             keep = np.ones(len(e), bool)
             keep[1:] = (e[1:] != e[:-1]) | (f[1:] != f[:-1])
-            e, f, w = e[keep], f[keep], w[keep]
+            e, f, w, v = e[keep], f[keep], w[keep], v[keep]
             tail = int(np.searchsorted(e >> 32, e[-1] >> 32))
             if tail:
-                yield from whole(e[:tail], f[:tail], w[:tail])
-                e, f, w = e[tail:], f[tail:], w[tail:]
+                yield from whole(e[:tail], f[:tail], w[:tail], v[:tail])
+                e, f, w, v = e[tail:], f[tail:], w[tail:], v[tail:]
             if not last and len(e) > HOT:
                 hot = e[-1] >> 32
                 yield out(f, None, e)
-                e, f, w = e[:0], f[:0], w[:0]
+                e, f, w, v = e[:0], f[:0], w[:0], v[:0]
         if len(e):
-            yield from whole(e, f, w)
+            yield from whole(e, f, w, v)
 
     return (
         rows.repartition(F.shiftright("entry", 32))
@@ -259,25 +266,68 @@ def _meet(rows: DataFrame, last: bool) -> DataFrame:
     )
 
 
+def _cross(f: np.ndarray, low: np.ndarray, w: np.ndarray, v: np.ndarray, split: int | None):
+    """Partners, first ``split`` rows against the others, or if None all rows against each other."""
+    low = low.astype(np.uint32)
+    w, v = w.view(np.uint64), v.view(np.uint64)
+    for at in range(0, len(f) if split is None else split, SLAB):
+        upto = min(at + SLAB, len(f) if split is None else split)
+        base = at + 1 if split is None else split
+        off = np.bitwise_count(w[at:upto, None] ^ w[None, base:]).astype(np.int16)
+        off += np.bitwise_count(low[at:upto, None] ^ low[None, base:])
+        off += np.bitwise_count(v[at:upto, None] ^ v[None, base:])
+        hit = (off <= MAX_BITS) & (f[at:upto, None] != f[None, base:])
+        if split is None:
+            hit &= np.arange(base, len(f))[None, :] > np.arange(at, upto)[:, None]
+        i, j = np.nonzero(hit)
+        if len(i):
+            yield f[i + at], f[j + base]
+
+
+def _meet_hot(hot: DataFrame) -> DataFrame:
+    """Members (bucket, low, fp, bits, further) of hot buckets -> (a, b): pairs, block against block."""
+    blocks = hot.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = hot.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "low", "fp", "bits", "further")
+
+    def find(source):
+        held = None
+
+        def cells(x):
+            edge = np.flatnonzero((np.diff(x[:3], axis=1) != 0).any(0)) + 1
+            for own in np.split(x, edge, axis=1):
+                split = None if own[1, 0] == own[2, 0] else int(np.searchsorted(own[3], 1))
+                for a, b in _cross(own[5], own[4], own[6], own[7], split):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in source:
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)])
+            x = x if held is None else np.concatenate((held, x), axis=1)
+            if not x.shape[1]:
+                continue
+            # The last cell may go on in the next batch.
+            other = np.flatnonzero((x[:3] != x[:3, -1:]).any(0))
+            tail = int(other[-1]) + 1 if len(other) else 0
+            if tail:
+                yield from cells(x[:, :tail])
+            held = x[:, tail:]
+        if held is not None and held.shape[1]:
+            yield from cells(held)
+
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "fp").mapInArrow(find, "a long, b long")
+
+
 def candidate_pairs(sketched: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of representatives that share an entry and pass the one-bit check."""
-    own = sketched.where("entries is not null").select("fp", "bits", "entries")
-    rows = own.select(F.explode("entries").alias("entry"), "fp", "bits")
-    found = None
-    for level in range(3):
-        met = cut(_meet(rows, last=level == 2))
-        pairs = met.where("b is not null").select("a", "b")
-        found = pairs if found is None else found.unionByName(pairs)
-        if level == 2 or met.where("b is null").isEmpty():
-            break
-        hot = met.where("b is null").select(F.col("a").alias("fp"), F.col("entry").alias("outer")).distinct()
-        # Entry the members again, under each of their other entries within the hot bucket.
-        again = hot.join(own.dropDuplicates(["fp"]), "fp").withColumn("inner", F.explode("entries"))
-        inner = F.shiftright("inner", 32)
-        outer = F.shiftright("outer", 32)
-        rows = again.where(inner != outer).select(
-            (F.shiftleft(F.xxhash64(outer, inner), 32) + F.col("inner").bitwiseAND(0xFFFFFFFF)).alias("entry"), "fp", "bits"
-        )
+    own = sketched.where("entries is not null").select("fp", "bits", "further", "entries")
+    met = cut(_meet(own.select(F.explode("entries").alias("entry"), "fp", "bits", "further"), last=False))
+    found = met.where("b is not null").select("a", "b")
+    hot = met.where("b is null").select(F.col("a").alias("fp"), "entry").distinct()
+    if not hot.isEmpty():
+        bits = own.select("fp", "bits", "further").dropDuplicates(["fp"])
+        members = hot.join(bits, "fp").select(F.shiftright("entry", 32).alias("bucket"), F.col("entry").bitwiseAND(0xFFFFFFFF).alias("low"), "fp", "bits", "further")
+        found = found.unionByName(_meet_hot(cut(members)))
     return cut(found.distinct())
 
 

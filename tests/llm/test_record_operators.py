@@ -94,6 +94,17 @@ def test_hot_buckets_are_refined(spark):
     assert sizes(4096).where("b is not null").count() == 40 * 39 // 2 + 1
 
 
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_members_that_share_only_a_hot_entry_meet(spark, hot, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(neardup, "SLAB", 2, raising=False)
+    # One common bucket and a bucket for each alone; text 0 differs in 64 one-bit minhashes.
+    rows = [(f, 0 if f else -1, 0, [7 << 32, (100 + f) << 32]) for f in range(40)]
+    got = neardup.candidate_pairs(spark.createDataFrame(rows, "fp long, bits long, further long, entries array<long>")).collect()
+    assert sorted(map(tuple, got)) == list(combinations(range(1, 40), 2))
+
+
 def damerau(a, b):
     """Unrestricted Damerau-Levenshtein, by the definition."""
     last: dict[str, int] = {}
