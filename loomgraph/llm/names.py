@@ -217,19 +217,20 @@ def branch_of(token: str) -> str | None:
     return next((b for b in BRANCHES if token[:4] == b[:4] and len(token) > 4), None)
 
 
-def record_parts(name: str) -> dict | None:
-    """Parts of a record's name: (a, b, branch) of an organisation or (first, middle, last)."""
+def record_parts(name: str, org: bool = False) -> dict | None:
+    """Parts of a record's name: (a, b, branch) of an organisation or (first, middle, last), and
+    ``more``: its other words. org: whether a name without legal form and branch is one too."""
     tokens = [t for t in name_tokens(name) if t not in TITLES and t not in FILLERS]
     body = [t for t in tokens if t not in LEGAL]
     branch = next((b for t in reversed(body) if (b := t if t in BRANCHES else None)), None)
-    if branch or len(body) != len(tokens):
+    if org or branch or len(body) != len(tokens):
         words = [t for t in body if t != branch]
         if not words:
             return None
-        return {"kind": "org", "a": words[0], "b": words[1] if len(words) > 1 else "", "c": branch or ""}
+        return {"kind": "org", "a": words[0], "b": words[1] if len(words) > 1 else "", "c": branch or "", "more": words[2:]}
     if len(body) < 2:
         return None
-    return {"kind": "person", "a": body[0], "b": body[1] if len(body) > 2 else "", "c": body[-1]}
+    return {"kind": "person", "a": body[0], "b": body[1] if len(body) > 2 else "", "c": body[-1], "more": body[2:-1]}
 
 
 def _first_fits(token: str, first: str) -> float:
@@ -251,12 +252,22 @@ def _word_fits(token: str, word: str) -> float:
     return 1.0 if x == y else 0.8 if len(y) >= MIN_LETTERS and _within_one(x, y) else 0.0
 
 
-def fits(tokens: list[str], kind: str, a: str, b: str, c: str) -> float:
-    """How well the words of a string name the record, from 0 (not at all) to about 4."""
+def _take(token: str, left: list[str]) -> float:
+    """How well a word fits one of those left of a record's other words, which is used up."""
+    score, word = max(((_word_fits(token, w), w) for w in left), default=(0.0, ""))
+    if score:
+        left.remove(word)
+    return score
+
+
+def fits(tokens: list[str], kind: str, a: str, b: str, c: str, more: list[str] | tuple = ()) -> float:
+    """How well the words of a string name the record, from 0 (not at all) to about 4, and up to
+    1 more for each of the record's other words."""
     if kind == "person":
-        return _person_fits(tokens, a, b, c)
+        return _person_fits(tokens, a, b, c, more)
     rest = [t for t in tokens if t not in LEGAL and t not in FILLERS and t not in TITLES]
-    got_a = got_b = got_c = 0.0
+    got_a = got_b = got_c = got_more = 0.0
+    left = list(more)
     for t in rest:
         if not got_a and (s := _word_fits(t, a)):
             got_a = s
@@ -266,21 +277,24 @@ def fits(tokens: list[str], kind: str, a: str, b: str, c: str) -> float:
             got_a = got_b = max(s, r)
         elif b and not got_b and len(t) == 1 and t == b[0]:
             got_b = 0.4
+        elif s := _take(t, left):
+            got_more += s
         elif not got_c and (n := branch_of(t)):
             if c and n != c:
                 return 0.0
             got_c = 1.0 if c else 0.0
         else:
             return 0.0
-    if not got_a or (b and got_b < 0.5 and not got_c):
+    if not got_a or (b and got_b < 0.5 and not got_c and not got_more):
         return 0.0
-    return got_a + got_b + got_c
+    return got_a + got_b + got_c + got_more
 
 
-def _person_fits(tokens: list[str], first: str, middle: str, last: str) -> float:
+def _person_fits(tokens: list[str], first: str, middle: str, last: str, more: list[str] | tuple = ()) -> float:
     # Two letters at the end are initials, even where they spell a title.
     rest = [t for i, t in enumerate(tokens) if t not in TITLES or (i and i == len(tokens) - 1 and len(t) == 2)]
-    got_f = got_m = got_l = 0.0
+    got_f = got_m = got_l = got_more = 0.0
+    left = list(more)
     for t in sorted(rest, key=lambda t: -_word_fits(t, last)):
         if not got_l and (s := _word_fits(t, last)):
             got_l = s
@@ -288,6 +302,8 @@ def _person_fits(tokens: list[str], first: str, middle: str, last: str) -> float
             got_f = s
         elif middle and not got_m and (s := max(_word_fits(t, middle), 0.6 * (t == middle[0]))):
             got_m = s
+        elif s := _take(t, left):
+            got_more += s
         elif not got_f and len(t) == 2 and t[0] == first[0] and (not middle or t[1] == middle[0]):
             got_f, got_m = 0.7, 0.5 if middle else 0.0
         elif not middle and not got_m and len(t) != 2 and branch_of(t) is None:
@@ -296,7 +312,7 @@ def _person_fits(tokens: list[str], first: str, middle: str, last: str) -> float
             return 0.0
     if not got_l or not got_f:
         return 0.0
-    return got_l + got_f + got_m
+    return got_l + got_f + got_m + got_more
 
 
 def found_mentions(entity_mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -307,29 +323,33 @@ def found_mentions(entity_mentions: DataFrame, entities: DataFrame) -> DataFrame
     that fit equally well, gives no row.
     """
     own = entities.where(F.upper("primary_type").isin("CUSTOMER", "ORGANIZATION", "OTHER"))
-    records = own.select("canonical_id", "canonical_name").dropna().dropDuplicates(["canonical_id"])
+    # A record that was ingested anew under another name has both.
+    records = own.select("canonical_id", "canonical_name", F.upper("primary_type").alias("type")).dropna().distinct()
 
     def parsed(batches):
         for batch in batches:
-            ids, cols, words, roles = [], {k: [] for k in ("kind", "a", "b", "c")}, [], []
-            for cid, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, cols, words = [], {k: [] for k in ("kind", "a", "b", "c", "more")}, []
+            for cid, name, kind in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 p = record_parts(name)
-                if not p:
-                    continue
-                ids.append(cid)
-                for k in cols:
-                    cols[k].append(p[k])
-                if p["kind"] == "org":
-                    own_words = [p["a"], p["b"], *([p["a"] + p["b"], p["b"] + p["a"]] if p["b"] else [])]
-                else:
-                    own_words = [p["c"]]
-                words.append([skeleton(w) for w in own_words if w])
+                found = [p] if p else []
+                if kind != "OTHER" and not (p and p["kind"] == "org") and (q := record_parts(name, org=True)):
+                    found.append(q)
+                for p in found:
+                    ids.append(cid)
+                    for k in cols:
+                        cols[k].append(p[k])
+                    if p["kind"] == "org":
+                        own_words = [p["a"], p["b"], *([p["a"] + p["b"], p["b"] + p["a"]] if p["b"] else [])]
+                    else:
+                        own_words = [p["c"]]
+                    words.append([skeleton(w) for w in own_words if w])
+            shapes = [pa.list_(pa.string()) if k == "more" else pa.string() for k in cols]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), *(pa.array(cols[k], pa.string()) for k in cols), pa.array(words, pa.list_(pa.string()))],
+                [pa.array(ids, pa.string()), *(pa.array(cols[k], t) for k, t in zip(cols, shapes)), pa.array(words, pa.list_(pa.string()))],
                 ["canonical_id", *cols, "words"],
             )
 
-    parts = records.mapInArrow(parsed, "canonical_id string, kind string, a string, b string, c string, words array<string>")
+    parts = records.mapInArrow(parsed, "canonical_id string, kind string, a string, b string, c string, more array<string>, words array<string>").distinct()
 
     said = entity_mentions.select("mention_seq", F.concat(F.array(F.struct(F.lit(1.5).alias("weight"), F.col("name").alias("s"))), F.coalesce(F.transform("aliases", lambda x: F.struct(F.lit(1.0).alias("weight"), x.alias("s"))), F.array().cast("array<struct<weight:double,s:string>>"))).alias("all"))
     said = said.select("mention_seq", F.explode("all").alias("x")).select("mention_seq", "x.weight", "x.s").where(key(F.col("s")).isNotNull()).groupBy("mention_seq", "s").agg(F.max("weight").alias("weight"))
@@ -342,24 +362,25 @@ def found_mentions(entity_mentions: DataFrame, entities: DataFrame) -> DataFrame
 
     tokens = strings.mapInArrow(tokenized, "s string, tokens array<string>")
     spoken = tokens.select("s", "tokens", F.explode("tokens").alias("t")).where(F.length("t") >= MIN_LETTERS - 1).withColumn("word", F.translate(F.regexp_replace("t", "rn", "m"), "l", "i"))
-    posts = parts.select("canonical_id", "kind", "a", "b", "c", F.explode("words").alias("word"))
+    posts = parts.select("canonical_id", "kind", "a", "b", "c", "more", F.explode("words").alias("word"))
     matches = radius_join(spoken, posts)
     pairs = (
         spoken.join(matches, F.col("word") == F.col("w"))
         .select("s", "tokens", "v")
         .distinct()
         .join(posts.withColumnRenamed("word", "v"), "v")
-        .select("s", "tokens", "canonical_id", "kind", "a", "b", "c")
-        .dropDuplicates(["s", "canonical_id"])
+        .select("s", "tokens", "canonical_id", "kind", "a", "b", "c", "more")
+        .distinct()
     )
 
     def judged(batches):
         for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in ("tokens", "kind", "a", "b", "c")}
-            scores = [fits(*x) for x in zip(c["tokens"], c["kind"], c["a"], c["b"], c["c"])]
+            c = {n: batch.column(n).to_pylist() for n in ("tokens", "kind", "a", "b", "c", "more")}
+            scores = [fits(*x) for x in zip(*c.values())]
             yield pa.RecordBatch.from_arrays([batch.column("s"), batch.column("canonical_id"), pa.array(scores, pa.float64())], ["s", "canonical_id", "score"]).filter(pa.array([x > 0 for x in scores]))
 
     good = pairs.mapInArrow(judged, "s string, canonical_id string, score double")
+    good = good.groupBy("s", "canonical_id").agg(F.max("score").alias("score"))
     votes = said.join(good, "s").groupBy("mention_seq", "canonical_id").agg(F.round(F.sum(F.col("weight") * F.col("score")), 6).alias("score"))
     best = votes.groupBy("mention_seq").agg(F.max("score").alias("score"))
     top = votes.join(best, ["mention_seq", "score"]).groupBy("mention_seq").agg(F.count(F.lit(1)).alias("n"), F.min("canonical_id").alias("canonical_id"))

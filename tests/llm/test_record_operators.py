@@ -160,3 +160,23 @@ def test_mentions_find_their_record(spark):
     rows = [(i, n, a) for i, (n, a, _) in said.items()] * 2
     got = {r.mention_seq: r.canonical_id for r in names.found_mentions(spark.createDataFrame(rows, "mention_seq long, name string, aliases array<string>"), ents).collect()}
     assert got == {i: want for i, (_, _, want) in said.items() if want}
+
+
+def linked(spark, records, said):
+    shape = "canonical_id string, canonical_name string, primary_type string, aliases array<string>, source_mentions array<string>"
+    ents = spark.createDataFrame([(*r, None, None)[:5] if len(r) == 3 else r for r in records], shape)
+    rows = spark.createDataFrame([(i, n, None) for i, (n, _) in enumerate(said)], "mention_seq long, name string, aliases array<string>")
+    got = {r.mention_seq: r.canonical_id for r in names.found_mentions(rows, ents).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(said) if want}
+
+
+def test_all_words_of_a_record_count(spark):
+    records = [
+        ("o1", "Foobarius Bartholin Consulting GmbH", "CUSTOMER"), ("o2", "Siemensis", "ORGANIZATION"), ("o3", "Quentlin Harbouria Shipping", "ORGANIZATION"),
+        ("p1", "Maria del Carmen Lopezino", "OTHER"),
+    ]
+    said = [
+        ("Foobarius Bartholin Consulting GmbH", "o1"), ("Foobarius Bartholin Consultng", "o1"), ("Foobarius Consulting", "o1"), ("Foobarius Bartholin Zeppelin", None), ("Siemensis AG", "o2"),
+        ("Quentlin Harbouria", "o3"), ("Maria del Carmen Lopezino", "p1"), ("Lopezino, Maria Carmn", "p1"), ("Maria Ignatia Lopezino", None),
+    ]
+    linked(spark, records, said)
