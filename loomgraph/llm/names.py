@@ -361,7 +361,7 @@ def found_mentions(entity_mentions: DataFrame, entities: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.string()))], ["s", "tokens"])
 
     tokens = strings.mapInArrow(tokenized, "s string, tokens array<string>")
-    spoken = tokens.select("s", "tokens", F.explode("tokens").alias("t")).where(F.length("t") >= MIN_LETTERS - 1).withColumn("word", F.translate(F.regexp_replace("t", "rn", "m"), "l", "i"))
+    spoken = tokens.select("s", "tokens", F.explode("tokens").alias("t")).withColumn("word", F.translate(F.regexp_replace("t", "rn", "m"), "l", "i"))
     posts = parts.select("canonical_id", "kind", "a", "b", "c", "more", F.explode("words").alias("word"))
     matches = radius_join(spoken, posts)
     pairs = (

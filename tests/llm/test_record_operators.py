@@ -180,3 +180,9 @@ def test_all_words_of_a_record_count(spark):
         ("Quentlin Harbouria", "o3"), ("Maria del Carmen Lopezino", "p1"), ("Lopezino, Maria Carmn", "p1"), ("Maria Ignatia Lopezino", None),
     ]
     linked(spark, records, said)
+
+
+def test_short_names_are_found(spark):
+    records = [("p1", "William Fox", "OTHER"), ("p2", "Anna Lee", "OTHER"), ("o1", "Bay Oak Foods Ltd", "CUSTOMER")]
+    said = [("William Fox", "p1"), ("Lee, Anna", "p2"), ("Bay Oak Foods", "o1"), ("BayOak Foods", "o1"), ("Anna Lea", None), ("Bob Fox", None)]
+    linked(spark, records, said)
