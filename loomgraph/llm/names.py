@@ -315,12 +315,20 @@ def _person_fits(tokens: list[str], first: str, middle: str, last: str, more: li
     return got_l + got_f + got_m + got_more
 
 
+def spelled_alike(said: list[str], known: list[str]) -> float:
+    """How well two spellings agree: 3 as a whole, 1.6 word by word with errors in long words."""
+    if "".join(map(skeleton, said)) == "".join(map(skeleton, known)):
+        return 3.0
+    return 1.6 if len(said) == len(known) and all(_word_fits(t, w) for t, w in zip(said, known)) else 0.0
+
+
 def found_mentions(entity_mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """mention_seq, canonical_id: the organisation or person a mention means.
 
     Names and aliases vote, whatever the mention's type says. Null, blank and empty names say
     nothing; rows delivered again count once; a mention without a fitting record, or with two
-    that fit equally well, gives no row.
+    that fit equally well, gives no row. Names, aliases and source mentions recorded for a record
+    are spellings of it where the parts of its name do not fit.
     """
     own = entities.where(F.upper("primary_type").isin("CUSTOMER", "ORGANIZATION", "OTHER"))
     # A record that was ingested anew under another name has both.
@@ -354,13 +362,27 @@ def found_mentions(entity_mentions: DataFrame, entities: DataFrame) -> DataFrame
     said = entity_mentions.select("mention_seq", F.concat(F.array(F.struct(F.lit(1.5).alias("weight"), F.col("name").alias("s"))), F.coalesce(F.transform("aliases", lambda x: F.struct(F.lit(1.0).alias("weight"), x.alias("s"))), F.array().cast("array<struct<weight:double,s:string>>"))).alias("all"))
     said = said.select("mention_seq", F.explode("all").alias("x")).select("mention_seq", "x.weight", "x.s").where(key(F.col("s")).isNotNull()).groupBy("mention_seq", "s").agg(F.max("weight").alias("weight"))
     strings = said.select("s").distinct()
+    # Names count in full, other recorded spellings for less.
+    listed = [F.transform(c, lambda x: F.struct(x.alias("k"), F.lit(2.0).alias("most"))) for c in ("aliases", "source_mentions") if c in own.columns]
+    names_of = F.array(F.struct(F.col("canonical_name").alias("k"), F.lit(3.0).alias("most")))
+    every = F.concat(names_of, *[F.coalesce(x, F.array().cast("array<struct<k:string,most:double>>")) for x in listed])
+    recorded = own.select("canonical_id", F.explode(every).alias("x")).select("canonical_id", "x.k", "x.most").dropna().where(key(F.col("k")).isNotNull())
+    recorded = recorded.groupBy("canonical_id", "k").agg(F.max("most").alias("most"))
+
+    def tokenized(text: str, words: str):
+        def rows(batches):
+            for batch in batches:
+                tokens = [name_tokens(s) for s in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.string()))], [text, words])
 
-    def tokenized(batches):
-        for batch in batches:
-            tokens = [name_tokens(s) for s in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.string()))], ["s", "tokens"])
+        return rows
+
+    tokens = strings.mapInArrow(tokenized("s", "tokens"), "s string, tokens array<string>")
+    known = recorded.select(F.col("k").alias("s")).distinct().mapInArrow(tokenized("k", "known"), "k string, known array<string>")
+
+    def whole(col: str):
+        return F.translate(F.array_join(F.transform(col, lambda t: F.regexp_replace(t, "rn", "m")), ""), "l", "i")
 
-    tokens = strings.mapInArrow(tokenized, "s string, tokens array<string>")
     spoken = tokens.select("s", "tokens", F.explode("tokens").alias("t")).withColumn("word", F.translate(F.regexp_replace("t", "rn", "m"), "l", "i"))
     posts = parts.select("canonical_id", "kind", "a", "b", "c", "more", F.explode("words").alias("word"))
     matches = radius_join(spoken, posts)
@@ -381,6 +403,20 @@ def found_mentions(entity_mentions: DataFrame, entities: DataFrame) -> DataFrame
 
     good = pairs.mapInArrow(judged, "s string, canonical_id string, score double")
     good = good.groupBy("s", "canonical_id").agg(F.max("score").alias("score"))
+
+    # Whole spellings meet under the same radius, with the blanks left out.
+    uttered = tokens.withColumn("word", whole("tokens")).where("word <> ''")
+    written = known.withColumn("word", whole("known")).where("word <> ''").join(recorded, "k")
+    alike = uttered.join(radius_join(uttered, written), F.col("word") == F.col("w")).select("s", "tokens", "v").join(written.withColumnRenamed("word", "v"), "v").select("s", "tokens", "canonical_id", "known", "most").distinct()
+
+    def compared(batches):
+        for batch in batches:
+            c = {n: batch.column(n).to_pylist() for n in ("tokens", "known", "most")}
+            scores = [min(spelled_alike(t, k), most) for t, k, most in zip(*c.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("s"), batch.column("canonical_id"), pa.array(scores, pa.float64())], ["s", "canonical_id", "score"]).filter(pa.array([x > 0 for x in scores], pa.bool_()))
+
+    spelled = alike.mapInArrow(compared, "s string, canonical_id string, score double").groupBy("s", "canonical_id").agg(F.max("score").alias("score"))
+    good = good.unionByName(spelled.join(good, ["s", "canonical_id"], "left_anti"))
     votes = said.join(good, "s").groupBy("mention_seq", "canonical_id").agg(F.round(F.sum(F.col("weight") * F.col("score")), 6).alias("score"))
     best = votes.groupBy("mention_seq").agg(F.max("score").alias("score"))
     top = votes.join(best, ["mention_seq", "score"]).groupBy("mention_seq").agg(F.count(F.lit(1)).alias("n"), F.min("canonical_id").alias("canonical_id"))

@@ -186,3 +186,15 @@ def test_short_names_are_found(spark):
     records = [("p1", "William Fox", "OTHER"), ("p2", "Anna Lee", "OTHER"), ("o1", "Bay Oak Foods Ltd", "CUSTOMER")]
     said = [("William Fox", "p1"), ("Lee, Anna", "p2"), ("Bay Oak Foods", "o1"), ("BayOak Foods", "o1"), ("Anna Lea", None), ("Bob Fox", None)]
     linked(spark, records, said)
+
+
+def test_recorded_spellings_count(spark):
+    records = [
+        ("o1", "Riltpindror Saimsut Foods BV", "CUSTOMER", ["RSF"], ["Oldenburger Keksfabrik", None, " "]), ("o2", "Kedtirzeish Teltnap Insurance Ltd", "CUSTOMER", None, ["Shared Former Name"]),
+        ("o3", "Zistaixbit Peidsol Foods AG", "CUSTOMER", [], ["Shared Former Name"]), ("o3", "Neuenhauser Werkstatt AG", "CUSTOMER", [], []), ("o4", "Services Group", "ORGANIZATION", None, None),
+    ]
+    said = [
+        ("rsf", "o1"), ("Oldenburger Keksfabrik", "o1"), ("Oldenburger Keksfabrk", "o1"), ("Shared Former Name", None), ("Zistaixbit Peidsol Foods", "o3"), ("Neuenhauser Werkstatt", "o3"),
+        ("RSG", None), ("Services Group", "o4"),
+    ]
+    linked(spark, records, said)
