@@ -76,11 +76,21 @@ def summary(g: Graph) -> DataFrame:
 
 
 def _vector_list(plans: DataFrame, g: Graph, dimension: int) -> DataFrame:
-    """(query_id, chunk_id, rank, score) of the plans' questions, within each plan's top_k."""
-    asked = plans.select("query_id", "query")
-    vec = vectors.hash_embeddings(asked, "query_id", "query", dimension).withColumnRenamed("vector", "v")
+    """(query_id, chunk_id, rank, score) of the plans' questions, within each plan's top_k.
+
+    Plans of equal filters share one search, of the points that the filters leave.
+    """
+    own = plans.select("query_id", "query", F.array_sort(F.map_entries(F.coalesce("filters", F.create_map().cast("map<string,string>")))).alias("filters"))
     widest = max(p[0] for p in questions.INTENT_PLAN.values())
-    best = vectors.search_batch(vec, "query_id", "v", g.points, "chunk_id", "vector", widest)
+    best = None
+    # Bounded by the values that questions can ask for; one of no filters stands for no plans.
+    for entries in [r["filters"] for r in own.select("filters").distinct().collect()] or [[]]:
+        wanted = F.array(*[F.struct(F.lit(e["key"]).alias("key"), F.lit(e["value"]).alias("value")) for e in entries])
+        asked = own.where(F.col("filters") == wanted if entries else F.size("filters") == 0)
+        vec = vectors.hash_embeddings(asked.select("query_id", "query"), "query_id", "query", dimension).withColumnRenamed("vector", "v")
+        left = vectors.filtered(g.points, {e["key"]: e["value"] for e in entries})
+        found = vectors.search_batch(vec, "query_id", "v", left, "chunk_id", "vector", widest)
+        best = found if best is None else best.unionByName(found)
     return best.join(plans.select("query_id", "top_k"), "query_id").where(F.col("rank") <= F.col("top_k")).drop("top_k")
 
 
@@ -88,14 +98,19 @@ def execute(plans: DataFrame, g: Graph, settings: Settings | None = None, dimens
     """Results of retrieval plans: query_id, chunk_id, vector_rank, graph_rank, rrf_score.
 
     vector plans use the vector list only, multi_hop and global ones the graph list too, and all
-    lists are fused by reciprocal rank. Seeds of a plan share one search of the deepest plan.
+    lists are fused by reciprocal rank. Plans of equal max_hops share one search of that depth.
     """
     s = settings or get_settings()
     vector = _vector_list(plans, g, dimension or s.embedding_dimension)
-    own = plans.where(F.col("strategy") != "vector").select("query_id", F.explode("seed_entities").alias("e"))
-    seeds = own.select(F.concat_ws("\x01", "query_id", "e.canonical_id").alias("seed"), F.col("e.canonical_id").alias("canonical_id"), F.col("e.canonical_name").alias("canonical_name"))
+    own = plans.where(F.col("strategy") != "vector").select("query_id", "max_hops", F.explode("seed_entities").alias("e"))
+    seeds = own.select("max_hops", F.concat_ws("\x01", "query_id", "e.canonical_id").alias("seed"), F.col("e.canonical_id").alias("canonical_id"), F.col("e.canonical_name").alias("canonical_name"))
     near = graph.neighbours(g.edges, graph.nodes(g.entities, g.edges), s.fan_out)
-    paths = traversal.find_paths(seeds, traversal.outgoing(near), s.max_hops, s.max_paths)
+    paths = None
+    # Plans without a depth of their own take that of the settings; at most five depths.
+    deep = seeds.withColumn("max_hops", F.coalesce("max_hops", F.lit(s.max_hops)))
+    for depth in sorted(r["max_hops"] for r in deep.select("max_hops").distinct().collect()) or [s.max_hops]:
+        found = traversal.find_paths(deep.where(F.col("max_hops") == depth), traversal.outgoing(near), depth, s.max_paths)
+        paths = found if paths is None else paths.unionByName(found)
     ev = traversal.evidence_chunks(paths, g.chunks, s.max_paths)
     id_type = plans.schema["query_id"].dataType
     by_graph = ev.select(F.substring_index("seed", "\x01", 1).cast(id_type).alias("query_id"), "chunk_id", "rank").groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))

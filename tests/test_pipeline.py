@@ -1,7 +1,7 @@
 import __spark_entry__ as entry
 from loomgraph import queries
 from loomgraph.lexicon import default_lexicon
-from loomgraph.operators import questions
+from loomgraph.operators import questions, vectors
 from loomgraph.plans import pipeline
 from loomgraph.sources import markdown
 from loomgraph.sources.store import Store
@@ -30,6 +30,27 @@ def test_ingest_and_execute(spark, tmp_path):
     assert any(r.graph_rank for r in out if r.query_id == "q1") and not any(r.graph_rank for r in out if r.query_id == "q2")
 
 
+def test_plans_keep_their_depth_and_filters(spark):
+    def chunk(i):
+        meta = {"title": "", "department": "Engineering" if i == 9 else "Legal", "version": "3.2", "section_title": "", "section_path": "", "access_tier": "Internal", "entity_hints": []}
+        return (f"c{i}", "d", "rate limit report" + " more" * i, i, meta)
+
+    shape = "title string, department string, version string, section_title string, section_path string, access_tier string, entity_hints array<string>"
+    chunks = spark.createDataFrame([chunk(i) for i in range(10)], f"chunk_id string, document_id string, text string, index int, metadata struct<{shape}>")
+    edge = "edge_seq long, source_id string, type string, target_id string, description string, weight double, evidence array<struct<chunk_id:string>>"
+    edges = spark.createDataFrame([(n, a, "USES", b, None, 1.0, [(f"c{n}",)]) for n, (a, b) in enumerate(("AB", "BC", "CD"), 1)], edge)
+    entities = spark.createDataFrame([(x, x, "OTHER", None) for x in "ABCD"], "canonical_id string, canonical_name string, primary_type string, description string")
+    points = vectors.points(chunks, vectors.hash_embeddings(chunks, "chunk_id", "text", 64))
+    g = pipeline.Graph(None, chunks, None, entities, None, edges, None, points)
+    seed = [("A", "A", "A", "OTHER", 1.0)]
+    rows = [(1, "x", "multi_hop", seed, 1, 1, {}), (2, "x", "multi_hop", seed, 2, 1, {}), (3, "x", "multi_hop", seed, 3, 1, {}), (4, "rate limit report", "vector", [], 1, 3, {"department": "Engineering"})]
+    plan = "query_id int, query string, strategy string, seed_entities array<struct<raw_mention:string,canonical_id:string,canonical_name:string,entity_type:string,confidence:double>>, max_hops int, top_k int, filters map<string,string>"
+    out = pipeline.execute(spark.createDataFrame(rows, plan), g, dimension=64).collect()
+    by_graph = {q: {r.chunk_id for r in out if r.query_id == q and r.graph_rank} for q in (1, 2, 3)}
+    assert by_graph == {1: {"c1"}, 2: {"c1", "c2"}, 3: {"c1", "c2", "c3"}}
+    assert [r.chunk_id for r in out if r.query_id == 4] == ["c9"]
+
+
 def test_stream_upserts_are_idempotent(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     one = spark.createDataFrame([("c1", "old", 1), ("c2", "x", 1)], "chunk_id string, text string, v int")
