@@ -124,18 +124,18 @@ def phrase_key(col: Column) -> Column:
     return slug(col, " ")
 
 
-def link_mentions(chunks: DataFrame, entities: DataFrame, longest: int = 8) -> DataFrame:
+def link_mentions(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """(chunk_id, canonical_id): chunks whose text holds a name or alias of an entity between
     non-alphanumeric characters, in any case.
 
     Word runs of texts meet word runs of names by equality (no pairwise matching); each
-    meeting is then checked on the characters. Names of more than ``longest`` words and names
-    without a letter or digit match nothing; null texts neither.
+    meeting is then checked on the characters. Names without a letter or digit match nothing;
+    null texts neither.
     """
     names = F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
     phrases = entities.select("canonical_id", F.explode(names).alias("name")).where("name <> ''").withColumn("words", phrase_key(F.col("name"))).where("words <> ''").distinct()
-    sizes = phrases.select(F.size(F.split("words", " ")).alias("n")).where(f"n <= {longest}").distinct()
-    # At most ``longest`` lengths.
+    sizes = phrases.select(F.size(F.split("words", " ")).alias("n")).distinct()
+    # Bounded by the words of the longest name.
     lengths = [r["n"] for r in sizes.collect()]
     # A column of its own: inside a lambda it would be computed for each element.
     tokens = F.col("tokens")

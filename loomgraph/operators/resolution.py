@@ -51,22 +51,21 @@ def _parts(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[a-zA-Z0-9]+|[^a-zA-Z0-9]+"), F.lit(0))
 
 
-def _grams(parts: Column, longest: int) -> Column:
-    """All runs of 1 to ``longest`` alphanumeric tokens, as the text between their ends. ``parts``
+def _grams(parts: Column, lengths: list[int]) -> Column:
+    """All runs of so many alphanumeric tokens, as the text between their ends. ``parts``
     should be a plain column: inside a lambda an expression is computed for each element."""
     odd = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.coalesce(F.try_element_at(parts, i), F.lit("")).rlike("^[a-zA-Z0-9]"))
-    spans = F.flatten(F.transform(odd, lambda i: F.transform(F.sequence(F.lit(0), F.lit(longest - 1)), lambda k: F.array_join(F.slice(parts, i, 2 * k + 1), ""))))
+    spans = F.flatten(F.transform(odd, lambda i: F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.array_join(F.slice(parts, i, 2 * n - 1), ""))))
     return F.array_distinct(spans)
 
 
-def resolve_mentions(mentions: DataFrame, lexicon: DataFrame, longest: int = 6) -> DataFrame:
+def resolve_mentions(mentions: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Each mention with its canonical record: the lexicon's by the whole name, else by the
     longest key (of three letters or more) that stands in the name between non-alphanumeric
     characters, else one of its own, ``entity:{type}:{slug}``.
 
-    mentions: mention_seq, name, type, description, aliases, metadata. Keys of more than ``longest``
-    words are found by the whole name only; keys must begin and end with a letter or digit. Null
-    names give a null record; a null type counts as OTHER.
+    mentions: mention_seq, name, type, description, aliases, metadata. Keys must begin and
+    end with a letter or digit. Null names give a null record; a null type counts as OTHER.
     """
     index = alias_index(lexicon)
     exact = index.select(F.col("alias_key").alias("k1"), F.col("record").alias("exact"))
@@ -75,9 +74,13 @@ def resolve_mentions(mentions: DataFrame, lexicon: DataFrame, longest: int = 6)
     hit = named.join(small(exact), F.col("low") == F.col("k1"), "left").drop("k1")
     # Containment by equality of word runs, over the distinct names that are left.
     left = hit.where("exact is null and low is not null").select("low").distinct()
+    keys = index.where(F.length("alias_key") >= 3)
+    # The numbers of words that keys have, bounded by the longest key.
+    sizes = keys.select(F.size(F.regexp_extract_all("alias_key", F.lit("[a-zA-Z0-9]+"), F.lit(0))).alias("n")).where("n > 0").distinct()
+    lengths = sorted(r["n"] for r in sizes.collect()) or [1]
     parted = left.select("low", _parts(F.col("low")).alias("parts"))
-    runs = parted.select("low", F.explode(_grams(F.col("parts"), longest)).alias("k2"))
-    held = runs.join(small(index.where(F.length("alias_key") >= 3)), F.col("k2") == F.col("alias_key"))
+    runs = parted.select("low", F.explode(_grams(F.col("parts"), lengths)).alias("k2"))
+    held = runs.join(small(keys), F.col("k2") == F.col("alias_key"))
     sized = held.withColumn("len", F.length("k2"))
     longest_key = sized.groupBy("low").agg(F.max("len").alias("len"))
     best = sized.join(longest_key, ["low", "len"]).groupBy("low").agg(F.min_by("record", "place").alias("held"))
