@@ -9,9 +9,11 @@ with probability 1 - J; the signature distance is the number of differing symbol
   By pigeonhole every pair of distance 15 or less shares an entry (16 errors are needed to put 2
   into each chunk). Pairs beyond that share one with a probability of 1 - (1 - (J^4 + 4 J^3
   (1 - J)))^8: 99.4 % at J = 0.6, 99.98 % at J = 0.7.
-* Entries carry 160 one-bit minhashes; partners in a bucket that differ in more than 54 of
-  them (at J = 0.6 one pair in 60,000) are dropped at once, so what pigeonhole guarantees
-  is a shared entry, not a result. What is left is compared exactly.
+* Entries carry 5 bits of every symbol. Partners in a bucket whose signatures are seen to differ in
+  more than ``RADIUS`` = 23 of the 32 symbols are dropped at once. What is seen never exceeds the
+  true distance (equal symbols have equal bits), so no pair within distance 23 that shares an
+  entry is dropped, and all pairs within 15 are kept for certain. A pair of J = 0.6 lies beyond 23
+  with a probability of 5e-5. What is left is compared exactly.
 * Equal sets are collapsed to one representative before any bucket is formed, so copies never
   meet each other; members are joined on again at the end.
 * A bucket of more than ``HOT`` representatives is split into blocks of about ``BLOCK``, and each
@@ -20,7 +22,7 @@ with probability 1 - J; the signature distance is the number of differing symbol
 
 Words are the longest runs of Unicode letters and numbers, lower-cased. The exact check compares
 sets of 32-bit hashes of word pairs: two texts of 100 pairs have a common false element with a
-probability of 2e-6. Null texts and texts of fewer than two words are similar to nothing.
+probability of 2e-6. Equal sets are told by a 64-bit fingerprint of their pairs and their number. Null texts and texts of fewer than two words are similar to nothing.
 """
 
 from __future__ import annotations
@@ -35,14 +37,18 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.skew import salted_join
 from loomgraph.session import cut
 
-CHUNKS, CHUNK, BITS = 8, 4, 160
+CHUNKS, CHUNK = 8, 4
 SYMBOLS = CHUNKS * CHUNK
-MAX_BITS = 54
+#: Bits of each symbol that entries carry, and in how many symbols partners may be seen to differ.
+SHOWN, RADIUS = 5, 23
 HOT, BLOCK = 4096, 2048
 #: Rows of a block compared at once with the other block.
 SLAB = 256
+#: Members of one class from which on joins with it are salted.
+HOT_MEMBERS = 10_000
 #: Up to this many representatives in candidate pairs are broadcast to thin out the sets.
 BROADCAST_ROWS = 1_000_000
 
@@ -62,7 +68,7 @@ def _word_points() -> np.ndarray:
 @lru_cache(maxsize=1)
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
     own = np.random.Generator(np.random.PCG64(20240601))
-    draw = own.integers(0, 2**63, size=(2, SYMBOLS + BITS), dtype=np.uint64)
+    draw = own.integers(0, 2**63, size=(2, SYMBOLS), dtype=np.uint64)
     return draw[0], draw[1] | np.uint64(1)
 
 
@@ -101,22 +107,31 @@ def word_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return text[keep], pair[keep]
 
 
-def signatures(pair: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols (n x 32, 32 bits each) and one-bit minhashes (n x 160) of sets laid end to end."""
+def signatures(pair: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Symbols (n x 32, 32 bits each) of sets laid end to end."""
     xor, mul = _seeds()
-    n = len(heads)
-    symbols, bits = np.empty((n, SYMBOLS), np.uint32), np.empty((n, BITS), np.uint8)
-    for j in range(SYMBOLS + BITS):
-        low = np.minimum.reduceat(((pair ^ xor[j]) * mul[j]) >> np.uint64(32), heads)
-        if j < SYMBOLS:
-            symbols[:, j] = low
-        else:
-            bits[:, j - SYMBOLS] = low & np.uint64(1)
-    return symbols, bits
+    symbols = np.empty((len(heads), SYMBOLS), np.uint32)
+    for j in range(SYMBOLS):
+        symbols[:, j] = np.minimum.reduceat(((pair ^ xor[j]) * mul[j]) >> np.uint64(32), heads)
+    return symbols
+
+
+def shown_bits(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The low bits of all symbols as planes of 32: two planes in each of the first two columns
+    (64 bits), the last one in a third (32 bits)."""
+    planes = [np.packbits((symbols >> k) & 1, axis=1).view(np.uint32)[:, 0].astype(np.uint64) for k in range(SHOWN)]
+    high = np.uint64(32)
+    return (planes[0] << high | planes[1]).view(np.int64), (planes[2] << high | planes[3]).view(np.int64), planes[4].astype(np.uint32).view(np.int32)
+
+
+def seen_distance(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Symbols whose shown bits differ, from the XOR of two texts' planes."""
+    wide = a.view(np.uint64) | b.view(np.uint64)
+    return np.bitwise_count((wide >> np.uint64(32)).astype(np.uint32) | wide.astype(np.uint32) | c.view(np.uint32))
 
 
 def _entries(symbols: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """32-bit bucket of each chunk and error position, n x 32."""
+    """64-bit bucket of each chunk and error position, n x 32."""
     out = np.empty((len(symbols), SYMBOLS), np.uint64)
     wide = symbols.astype(np.uint64)
     for c in range(CHUNKS):
@@ -125,16 +140,16 @@ def _entries(symbols: np.ndarray, kind: np.ndarray) -> np.ndarray:
             for s in range(CHUNK):
                 if s != e:
                     acc = _mix(acc * M1 + wide[:, c * CHUNK + s])
-            out[:, c * CHUNK + e] = acc >> np.uint64(32)
+            out[:, c * CHUNK + e] = acc
     return out
 
 
-SHAPE = "kind string, key string, fp long, n int, bits long, further long, entries array<long>, pairs array<int>"
+SHAPE = "kind string, key string, fp long, n int, p1 long, p2 long, p3 int, entries array<long>, pairs array<int>"
 
 
 def sketches(items: DataFrame) -> DataFrame:
-    """Sets and signatures of (kind, key, text). ``entries`` is null for a text that a batch has
-    already given: bucket << 32 | 32 more one-bit minhashes."""
+    """Sets, shown bits and buckets of (kind, key, text). ``entries``, the buckets, is null for a text
+    that a batch has already given."""
 
     def batches(source):
         for batch in source:
@@ -150,12 +165,9 @@ def sketches(items: DataFrame) -> DataFrame:
             kinds = batch.column("kind").take(pa.array(rows))
             kind = pd.util.hash_array(np.array(kinds.to_pylist(), dtype=object), categorize=False)
             fp = _mix((np.add.reduceat(_mix(pair * M1), heads) ^ kind) * M1 + sizes.astype(np.uint64)).view(np.int64)
-            symbols, bits = signatures(pair, heads)
-            packed = np.packbits(bits, axis=1)
-            wide = np.ascontiguousarray(packed[:, :8]).view(np.int64)[:, 0]
-            more = np.ascontiguousarray(packed[:, 8:12]).view(np.uint32)[:, 0].astype(np.uint64)
-            further = np.ascontiguousarray(packed[:, 12:]).view(np.int64)[:, 0]
-            entries = (_entries(symbols, kind) << np.uint64(32) | more[:, None]).view(np.int64)
+            symbols = signatures(pair, heads)
+            planes = shown_bits(symbols)
+            entries = _entries(symbols, kind).view(np.int64)
             fresh = np.zeros(len(fp), bool)
             fresh[np.unique(fp, return_index=True)[1]] = True
             upto = np.concatenate(([0], np.cumsum(fresh * SYMBOLS))).astype(np.int32)
@@ -166,21 +178,18 @@ def sketches(items: DataFrame) -> DataFrame:
                     batch.column("key").take(pa.array(rows)),
                     pa.array(fp),
                     pa.array(sizes.astype(np.int32)),
-                    pa.array(wide),
-                    pa.array(further),
+                    *map(pa.array, planes),
                     pa.ListArray.from_arrays(pa.array(upto), pa.array(entries[fresh].ravel()), mask=pa.array(~fresh)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array((pair >> np.uint64(32)).astype(np.uint32).view(np.int32))),
                 ],
-                ["kind", "key", "fp", "n", "bits", "further", "entries", "pairs"],
+                ["kind", "key", "fp", "n", "p1", "p2", "p3", "entries", "pairs"],
             )
 
     return items.select("kind", "key", "text").where("text is not null").mapInArrow(batches, SHAPE)
 
 
-def _pairs_in(entry: np.ndarray, fp: np.ndarray, bits: np.ndarray, further: np.ndarray):
-    """Partners in buckets of sorted rows that agree in enough one-bit minhashes."""
-    bucket = entry >> 32
-    low = (entry & 0xFFFFFFFF).astype(np.uint64)
+def _pairs_in(bucket: np.ndarray, fp: np.ndarray, p1: np.ndarray, p2: np.ndarray, p3: np.ndarray):
+    """Partners in buckets of sorted rows that are not seen to differ in too many symbols."""
     a, b = [], []
     at = np.arange(len(fp))
     d = 1
@@ -189,94 +198,86 @@ def _pairs_in(entry: np.ndarray, fp: np.ndarray, bits: np.ndarray, further: np.n
         at = at[bucket[at] == bucket[at + d]]
         if not len(at):
             break
-        off = np.bitwise_count(bits[at].view(np.uint64) ^ bits[at + d].view(np.uint64)).astype(np.int16)
-        off += np.bitwise_count(low[at] ^ low[at + d])
-        off += np.bitwise_count(further[at].view(np.uint64) ^ further[at + d].view(np.uint64))
-        hit = at[(off <= MAX_BITS) & (fp[at] != fp[at + d])]
+        to = at + d
+        off = seen_distance(p1[at] ^ p1[to], p2[at] ^ p2[to], p3[at] ^ p3[to])
+        hit = at[(off <= RADIUS) & (fp[at] != fp[to])]
         a.append(fp[hit])
         b.append(fp[hit + d])
         d += 1
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _meet(rows: DataFrame, last: bool) -> DataFrame:
-    """Rows (entry, fp, bits, further or none) -> (a, b, entry): pairs, or with a null b the members of a hot bucket."""
+def _columns(batch) -> list[np.ndarray]:
+    return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+
+
+def _meet(rows: DataFrame, hot_size: int) -> DataFrame:
+    """Rows (bucket, fp, p1, p2, p3) -> (a, b, bucket): pairs, or with a null b the members of a hot bucket."""
 
     def find(source):
-        e, f, w, v = (np.empty(0, np.int64) for _ in range(4))
+        held = None
         hot = None
 
-        def out(a, b, entry=None):
+        def out(a, b, bucket=None):
             n = len(a)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(a, pa.int64()),
                     pa.array(b, pa.int64()) if b is not None else pa.nulls(n, pa.int64()),
-                    pa.array(entry, pa.int64()) if entry is not None else pa.nulls(n, pa.int64()),
+                    pa.array(bucket, pa.int64()) if bucket is not None else pa.nulls(n, pa.int64()),
                 ],
-                ["a", "b", "entry"],
+                ["a", "b", "bucket"],
             )
 
-        def whole(e, f, w, v):
+        def whole(x):
             """Complete buckets: pairs of the small ones, members of the hot ones."""
-            bucket = e >> 32
-            first = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
-            size = np.diff(np.concatenate((first, [len(e)])))
-            big = np.repeat(size > HOT, size) if not last else np.zeros(len(e), bool)
+            bucket = x[0]
+            first = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0)))
+            size = np.diff(np.concatenate((first, [len(bucket)])))
+            big = np.repeat(size > hot_size, size)
             if big.any():
-                yield out(f[big], None, e[big])
-            a, b = _pairs_in(e[~big], f[~big], w[~big], v[~big])
+                yield out(x[1][big], None, bucket[big])
+            a, b = _pairs_in(*(c[~big] for c in x))
             if len(a):
                 yield out(np.minimum(a, b), np.maximum(a, b))
 
         for batch in source:
-            x = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-            x = x if len(x) > 3 else [*x, np.zeros(batch.num_rows, np.int64)]
-            e, f, w, v = (np.concatenate(y) for y in zip((e, f, w, v), x))
-            if not len(e):
+            if not batch.num_rows:
                 continue
+            x = _columns(batch)
             if hot is not None:
-                own = int(np.searchsorted(e >> 32, hot, side="right"))
+                own = int(np.searchsorted(x[0], hot, side="right"))
                 if own:
-                    yield out(f[:own], None, e[:own])
-                    e, f, w, v = e[own:], f[own:], w[own:], v[own:]
-                if len(e):
-                    hot = None
-                else:
+                    yield out(x[1][:own], None, x[0][:own])
+                if own == len(x[0]):
                     continue
+                x, hot = [c[own:] for c in x], None
+            if held is not None:
+                x = [np.concatenate(c) for c in zip(held, x)]
             # Copies of one representative stand side by side.
-            keep = np.ones(len(e), bool)
-            keep[1:] = (e[1:] != e[:-1]) | (f[1:] != f[:-1])
-            e, f, w, v = e[keep], f[keep], w[keep], v[keep]
-            tail = int(np.searchsorted(e >> 32, e[-1] >> 32))
+            keep = np.concatenate(([True], (np.diff(x[0]) != 0) | (np.diff(x[1]) != 0)))
+            x = [c[keep] for c in x]
+            tail = int(np.searchsorted(x[0], x[0][-1]))
             if tail:
-                yield from whole(e[:tail], f[:tail], w[:tail], v[:tail])
-                e, f, w, v = e[tail:], f[tail:], w[tail:], v[tail:]
-            if not last and len(e) > HOT:
-                hot = e[-1] >> 32
-                yield out(f, None, e)
-                e, f, w, v = e[:0], f[:0], w[:0], v[:0]
-        if len(e):
-            yield from whole(e, f, w, v)
-
-    return (
-        rows.repartition(F.shiftright("entry", 32))
-        .sortWithinPartitions("entry", "fp")
-        .mapInArrow(find, "a long, b long, entry long")
-    )
+                yield from whole([c[:tail] for c in x])
+            held = [c[tail:] for c in x]
+            if len(held[0]) > hot_size:
+                hot = held[0][0]
+                yield out(held[1], None, held[0])
+                held = None
+        if held is not None:
+            yield from whole(held)
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(find, "a long, b long, bucket long")
 
 
-def _cross(f: np.ndarray, low: np.ndarray, w: np.ndarray, v: np.ndarray, split: int | None):
+def _cross(f: np.ndarray, p1: np.ndarray, p2: np.ndarray, p3: np.ndarray, split: int | None):
     """Partners, first ``split`` rows against the others, or if None all rows against each other."""
-    low = low.astype(np.uint32)
-    w, v = w.view(np.uint64), v.view(np.uint64)
     for at in range(0, len(f) if split is None else split, SLAB):
         upto = min(at + SLAB, len(f) if split is None else split)
         base = at + 1 if split is None else split
-        off = np.bitwise_count(w[at:upto, None] ^ w[None, base:]).astype(np.int16)
-        off += np.bitwise_count(low[at:upto, None] ^ low[None, base:])
-        off += np.bitwise_count(v[at:upto, None] ^ v[None, base:])
-        hit = (off <= MAX_BITS) & (f[at:upto, None] != f[None, base:])
+        off = seen_distance(*((p[at:upto, None] ^ p[None, base:]) for p in (p1, p2, p3)))
+        hit = (off <= RADIUS) & (f[at:upto, None] != f[None, base:])
         if split is None:
             hit &= np.arange(base, len(f))[None, :] > np.arange(at, upto)[:, None]
         i, j = np.nonzero(hit)
@@ -284,50 +285,52 @@ def _cross(f: np.ndarray, low: np.ndarray, w: np.ndarray, v: np.ndarray, split:
             yield f[i + at], f[j + base]
 
 
-def _meet_hot(hot: DataFrame) -> DataFrame:
-    """Members (bucket, low, fp, bits, further) of hot buckets -> (a, b): pairs, block against block."""
-    blocks = hot.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+def _meet_hot(hot: DataFrame, block: int) -> DataFrame:
+    """Members (bucket, fp, p1, p2, p3) of hot buckets -> (a, b): pairs, block against block."""
+    blocks = hot.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     own = hot.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "low", "fp", "bits", "further")
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp", "p1", "p2", "p3")
 
     def find(source):
         held = None
 
         def cells(x):
-            edge = np.flatnonzero((np.diff(x[:3], axis=1) != 0).any(0)) + 1
-            for own in np.split(x, edge, axis=1):
-                split = None if own[1, 0] == own[2, 0] else int(np.searchsorted(own[3], 1))
-                for a, b in _cross(own[5], own[4], own[6], own[7], split):
+            edge = np.flatnonzero((np.diff(x[0]) != 0) | (np.diff(x[1]) != 0) | (np.diff(x[2]) != 0)) + 1
+            for lo, hi in zip([0, *edge], [*edge, len(x[0])]):
+                own = [c[lo:hi] for c in x]
+                split = None if own[1][0] == own[2][0] else int(np.searchsorted(own[3], 1))
+                for a, b in _cross(*own[4:], split):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in source:
-            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)])
-            x = x if held is None else np.concatenate((held, x), axis=1)
-            if not x.shape[1]:
+            if not batch.num_rows:
                 continue
+            x = _columns(batch)
+            x = x if held is None else [np.concatenate(c) for c in zip(held, x)]
             # The last cell may go on in the next batch.
-            other = np.flatnonzero((x[:3] != x[:3, -1:]).any(0))
+            other = np.flatnonzero((x[0] != x[0][-1]) | (x[1] != x[1][-1]) | (x[2] != x[2][-1]))
             tail = int(other[-1]) + 1 if len(other) else 0
             if tail:
-                yield from cells(x[:, :tail])
-            held = x[:, tail:]
-        if held is not None and held.shape[1]:
+                yield from cells([c[:tail] for c in x])
+            held = [c[tail:] for c in x]
+        if held is not None:
             yield from cells(held)
 
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "fp").mapInArrow(find, "a long, b long")
 
 
-def candidate_pairs(sketched: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of representatives that share an entry and pass the one-bit check."""
-    own = sketched.where("entries is not null").select("fp", "bits", "further", "entries")
-    met = cut(_meet(own.select(F.explode("entries").alias("entry"), "fp", "bits", "further"), last=False))
+def candidate_pairs(sketched: DataFrame, hot_size: int = HOT, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b) of representatives that share an entry and are not seen to differ in
+    more than ``RADIUS`` symbols. hot_size and block change the way, never the rows."""
+    own = sketched.where("entries is not null").select("fp", "p1", "p2", "p3", "entries")
+    met = cut(_meet(own.select(F.explode("entries").alias("bucket"), "fp", "p1", "p2", "p3"), hot_size))
     found = met.where("b is not null").select("a", "b")
-    hot = met.where("b is null").select(F.col("a").alias("fp"), "entry").distinct()
+    hot = met.where("b is null").select(F.col("a").alias("fp"), "bucket").distinct()
     if not hot.isEmpty():
-        bits = own.select("fp", "bits", "further").dropDuplicates(["fp"])
-        members = hot.join(bits, "fp").select(F.shiftright("entry", 32).alias("bucket"), F.col("entry").bitwiseAND(0xFFFFFFFF).alias("low"), "fp", "bits", "further")
-        found = found.unionByName(_meet_hot(cut(members)))
+        shown = own.select("fp", "p1", "p2", "p3").dropDuplicates(["fp"])
+        members = hot.join(shown, "fp").select("bucket", "fp", "p1", "p2", "p3")
+        found = found.unionByName(_meet_hot(cut(members), block))
     return cut(found.distinct())
 
 
@@ -337,10 +340,10 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def similar_representatives(sketched: DataFrame, similarity: tuple[int, int] = (3, 5)) -> DataFrame:
+def similar_representatives(sketched: DataFrame, similarity: tuple[int, int] = (3, 5), hot_size: int = HOT, block: int = BLOCK) -> DataFrame:
     """(a, b) of representatives with at least the given similarity (numerator, denominator)."""
     up, down = similarity
-    near = candidate_pairs(sketched)
+    near = candidate_pairs(sketched, hot_size, block)
     ids = _few(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
     # Only the sets of candidates are moved.
     sets = sketched.where("entries is not null").select("fp", "n", "pairs").join(ids, "fp", "left_semi").dropDuplicates(["fp"])
@@ -351,11 +354,14 @@ def similar_representatives(sketched: DataFrame, similarity: tuple[int, int] = (
     return checked.where(F.col("both") * down >= up * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(items: DataFrame, hot_size: int = HOT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """From (kind, key, text): members (kind, key, fp), one for each row of two words or more,
     and the links (a, b) between different texts of one kind, by fp."""
     sketched = sketches(items).persist(StorageLevel.MEMORY_AND_DISK)
-    return sketched.select("kind", "key", "fp"), similar_representatives(sketched)
+    links = cut(similar_representatives(sketched, hot_size=hot_size, block=block))
+    members = cut(sketched.select("kind", "key", "fp").distinct())
+    sketched.unpersist()
+    return members, links
 
 
 def text_items(chunks: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -367,28 +373,28 @@ def text_items(chunks: DataFrame, relationships: DataFrame) -> DataFrame:
     return own.unionByName(quotes).where("key is not null")
 
 
-def similar_pairs(chunks: DataFrame, relationships: DataFrame) -> DataFrame:
+def similar_pairs(chunks: DataFrame, relationships: DataFrame, hot_size: int = HOT, block: int = BLOCK) -> DataFrame:
     """item_kind, left_key, right_key of all similar items; the case list asks for pairs of
     copies too, so classes of equal texts are written out as pairs here."""
-    members, links = near_duplicates(text_items(chunks, relationships))
-    links = cut(links)
+    members, links = near_duplicates(text_items(chunks, relationships), hot_size, block)
     # Only members of a class that is linked or holds copies are joined on.
     copied = members.groupBy("fp").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("fp")
     wanted = _few(links.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(copied).distinct())
-    own = members.join(wanted, "fp", "left_semi").distinct()
-    x = own.select(F.col("kind").alias("item_kind"), F.col("key").alias("x"), F.col("fp").alias("a"))
-    y = own.select(F.col("key").alias("y"), F.col("fp").alias("b"))
-    across = links.join(x, "a").join(y, "b").where("x <> y")
-    within = x.join(y, F.col("a") == F.col("b")).where("x < y")
-    every = across.select("item_kind", "x", "y").unionByName(within.select("item_kind", "x", "y"))
+    own = members.join(wanted, "fp", "left_semi")
+    x = own.select(F.col("kind").alias("item_kind"), F.col("key").alias("x"), F.col("fp").alias("fx"))
+    y = own.select(F.col("key").alias("y"), F.col("fp").alias("fy"))
+    # A class may hold a third of all texts: its members are salted against copies of the other side.
+    half = cut(salted_join(x, links, [("fx", "a")], "inner", hot_rows=HOT_MEMBERS).select("item_kind", "x", "b"))
+    across = salted_join(half, y, [("b", "fy")], "inner", hot_rows=HOT_MEMBERS)
+    within = salted_join(x, y, [("fx", "fy")], "inner", hot_rows=HOT_MEMBERS).where("x < y")
+    every = across.select("item_kind", "x", "y").unionByName(within.select("item_kind", "x", "y")).where("x <> y")
     return every.select("item_kind", F.least("x", "y").alias("left_key"), F.greatest("x", "y").alias("right_key")).distinct()
 
 
-def similar_classes(chunks: DataFrame, relationships: DataFrame) -> DataFrame:
+def similar_classes(chunks: DataFrame, relationships: DataFrame, hot_size: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row for each item: item_kind, item_key, class_id (least key of the equal texts),
     copies and links (number of other texts it is similar to)."""
-    members, links = near_duplicates(text_items(chunks, relationships))
-    members = members.distinct()
+    members, links = near_duplicates(text_items(chunks, relationships), hot_size, block)
     classes = members.groupBy("fp").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     ends = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("links"))
     known = classes.join(ends, "fp", "left").withColumn("links", F.coalesce("links", F.lit(0)))

@@ -72,6 +72,30 @@ def p2_classes(spark, d):
     return neardup.similar_classes(table(spark, d, "chunks"), table(spark, d, "relationships"))
 
 
+# Texts meet on their common word pairs, and each meeting is counted out.
+SIMILAR_SQL = r"""
+WITH items AS (
+  SELECT DISTINCT 'chunk' AS item_kind, chunk_id AS k, text FROM chunks WHERE chunk_id IS NOT NULL
+  UNION SELECT 'evidence', rel_seq || '#' || (i - 1), evidence[i].text FROM (SELECT rel_seq, evidence, unnest(range(1, len(evidence) + 1)) AS i FROM relationships)
+), said AS (SELECT item_kind, k, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM items WHERE text IS NOT NULL),
+grams AS (SELECT DISTINCT item_kind, k, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM said)),
+sizes AS (SELECT item_kind, k, count(*) AS n FROM grams GROUP BY ALL),
+met AS (SELECT a.item_kind, a.k AS x, b.k AS y, count(*) AS shared FROM grams a JOIN grams b ON a.item_kind = b.item_kind AND a.g = b.g AND a.k < b.k GROUP BY ALL),
+alike AS (SELECT met.item_kind, x, y FROM met JOIN sizes s ON s.item_kind = met.item_kind AND s.k = x JOIN sizes t ON t.item_kind = met.item_kind AND t.k = y
+  WHERE shared * 5 >= 3 * (s.n + t.n - shared))"""
+ORACLE["p2_found"] = SIMILAR_SQL + " SELECT item_kind, x AS left_key, y AS right_key FROM alike"
+ORACLE["p2_classes"] = (
+    SIMILAR_SQL
+    + """, sets AS (SELECT item_kind, k, list(g ORDER BY g) AS s FROM grams GROUP BY ALL),
+classes AS (SELECT item_kind, s, min(k) AS class_id, count(*) AS copies FROM sets GROUP BY ALL),
+members AS (SELECT item_kind, k, class_id, copies FROM sets JOIN classes USING (item_kind, s)),
+ways AS (SELECT item_kind, x, y FROM alike UNION ALL SELECT item_kind, y, x FROM alike),
+links AS (SELECT a.item_kind, a.class_id, count(DISTINCT b.class_id) AS links FROM ways w JOIN members a ON a.item_kind = w.item_kind AND a.k = w.x
+  JOIN members b ON b.item_kind = w.item_kind AND b.k = w.y WHERE a.class_id <> b.class_id GROUP BY ALL)
+SELECT m.item_kind, k AS item_key, m.class_id, copies, coalesce(links, 0) AS links FROM members m LEFT JOIN links l ON l.item_kind = m.item_kind AND l.class_id = m.class_id"""
+)
+
+
 @query
 def p7_containers(spark, d):
     return packing.packed_documents(table(spark, d, "documents"))

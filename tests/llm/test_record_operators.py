@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def planted(own, n):
 
 
 @pytest.mark.parametrize("hot", [4096, 3])
-def test_similar_pairs_equal_brute_force(spark, hot, monkeypatch):
+def test_similar_pairs_equal_brute_force(spark, hot):
     own = random.Random(11)
     texts = planted(own, 60) + ["one", "", None, "two words", "Two  words!", "Ünï cödé wörds äre fine", "ünï CÖDÉ wörds äre fine"]
     chunks = spark.createDataFrame([(f"k{i:03}", t) for i, t in enumerate(texts)] + [("k000", texts[0])], "chunk_id string, text string")
@@ -73,38 +74,56 @@ def test_similar_pairs_equal_brute_force(spark, hot, monkeypatch):
         if a and b and len(a & b) / len(a | b) >= 0.6:
             want.add(("chunk", f"k{i:03}", f"k{j:03}"))
     want.add(("evidence", "1#0", "1#1"))
-    monkeypatch.setattr(neardup, "HOT", hot)
-    got = {tuple(r) for r in neardup.similar_pairs(chunks, rel).collect()}
-    assert got <= want and len(got) >= 0.98 * len(want)
-    classes = {r.item_key: r for r in neardup.similar_classes(chunks, rel).where("item_kind = 'chunk'").collect()}
+    got = {tuple(r) for r in neardup.similar_pairs(chunks, rel, hot, 2).collect()}
+    assert got == want
+    classes = {r.item_key: r for r in neardup.similar_classes(chunks, rel, hot, 2).where("item_kind = 'chunk'").collect()}
     assert classes["k%03d" % texts.index("Two  words!")].copies == 2
 
 
-def test_hot_buckets_are_refined(spark):
-    def sizes(hot):
-        rows = [(0, f, 0) for f in range(40)] + [(1 << 32, 1, 0), (1 << 32, 2, 0)]
-        df = spark.createDataFrame(rows, "entry long, fp long, bits long")
-        before = neardup.HOT
-        neardup.HOT = hot
-        try:
-            return neardup._meet(df, False)
-        finally:
-            neardup.HOT = before
-
-    assert sizes(4096).where("b is not null").count() == 40 * 39 // 2 + 1
+def test_one_family_of_edited_copies_is_found_whatever_the_bucket_size(spark):
+    own = random.Random(4)
+    base = [f"w{own.randrange(5000)}" for _ in range(40)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(own.randint(0, 5)):
+            copy[own.randrange(len(copy))] = f"x{own.randrange(5000)}"
+        rows.append((f"k{i:03}", " ".join(copy)))
+    rows += [(f"z{i:03}", " ".join(base)) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string")
+    rel = spark.createDataFrame([], "rel_seq long, evidence array<struct<text:string>>")
+    found = [{(r.left_key, r.right_key) for r in neardup.similar_pairs(chunks, rel, hot, 5).collect()} for hot in (4096, 3)]
+    sets = {k: word_pairs(t) for k, t in rows}
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    assert found[0] == found[1] and found[0] <= want and len(found[0]) >= 0.99 * len(want)
 
 
 @pytest.mark.parametrize("hot", [4096, 3])
 def test_members_that_share_only_a_hot_entry_meet(spark, hot, monkeypatch):
-    monkeypatch.setattr(neardup, "HOT", hot)
-    monkeypatch.setattr(neardup, "BLOCK", 7, raising=False)
-    monkeypatch.setattr(neardup, "SLAB", 2, raising=False)
-    # One common bucket and a bucket for each alone; text 0 differs in 64 one-bit minhashes.
-    rows = [(f, 0 if f else -1, 0, [7 << 32, (100 + f) << 32]) for f in range(40)]
-    got = neardup.candidate_pairs(spark.createDataFrame(rows, "fp long, bits long, further long, entries array<long>")).collect()
+    monkeypatch.setattr(neardup, "SLAB", 2)
+    # One common bucket and a bucket for each alone; text 0 is seen to differ in all 32 symbols.
+    rows = [(f, 0 if f else -1, 0, 0, [7, 100 + f]) for f in range(40)]
+    sketch = spark.createDataFrame(rows, "fp long, p1 long, p2 long, p3 int, entries array<long>")
+    got = neardup.candidate_pairs(sketch, hot, 7).collect()
     assert sorted(map(tuple, got)) == list(combinations(range(1, 40), 2))
 
 
+def test_no_pair_within_the_radius_is_dropped():
+    own = np.random.default_rng(3)
+    a = own.integers(0, 2**32, (500, neardup.SYMBOLS), dtype=np.uint32)
+    b = a.copy()
+    for row in range(500):
+        at = own.permutation(neardup.SYMBOLS)[: row % 24]
+        b[row, at] = own.integers(0, 2**32, len(at), dtype=np.uint32)
+    true = (a != b).sum(1)
+    seen = neardup.seen_distance(*(x ^ y for x, y in zip(neardup.shown_bits(a), neardup.shown_bits(b))))
+    assert (seen <= true).all() and (seen >= true - 4).all() and (seen[true <= 23] <= neardup.RADIUS).all()
+    # Pigeonhole: up to 15 errors leave a chunk with at most one, hence a common entry.
+    kind = np.zeros(500, np.uint64)
+    shared = (neardup._entries(a, kind) == neardup._entries(b, kind)).any(1)
+    assert shared[true <= 15].all()
+
+
 def damerau(a, b):
     """Unrestricted Damerau-Levenshtein, by the definition."""
     last: dict[str, int] = {}
