@@ -10,10 +10,10 @@ with probability 1 - J; the signature distance is the number of differing symbol
   into each chunk). Pairs beyond that share one with a probability of 1 - (1 - (J^4 + 4 J^3
   (1 - J)))^8: 99.4 % at J = 0.6, 99.98 % at J = 0.7.
 * Entries carry 5 bits of every symbol. Partners in a bucket whose signatures are seen to differ in
-  more than ``RADIUS`` = 23 of the 32 symbols are dropped at once. What is seen never exceeds the
-  true distance (equal symbols have equal bits), so no pair within distance 23 that shares an
-  entry is dropped, and all pairs within 15 are kept for certain. A pair of J = 0.6 lies beyond 23
-  with a probability of 5e-5. What is left is compared exactly.
+  more than ``RADIUS`` = 21 of the 32 symbols are dropped at once. What is seen never exceeds the
+  true distance (equal symbols have equal bits), so no pair within distance 21 that shares an
+  entry is dropped, and all pairs within 15 are kept for certain. A pair of J = 0.6 lies beyond 21
+  with a probability of 8e-4. What is left is compared exactly.
 * Equal sets are collapsed to one representative before any bucket is formed, so copies never
   meet each other; members are joined on again at the end.
 * A bucket of more than ``HOT`` representatives is split into blocks of about ``BLOCK``, and each
@@ -43,7 +43,7 @@ from loomgraph.session import cut
 CHUNKS, CHUNK = 8, 4
 SYMBOLS = CHUNKS * CHUNK
 #: Bits of each symbol that entries carry, and in how many symbols partners may be seen to differ.
-SHOWN, RADIUS = 5, 23
+SHOWN, RADIUS = 5, 21
 HOT, BLOCK = 4096, 2048
 #: Rows of a block compared at once with the other block.
 SLAB = 256
