@@ -2,8 +2,8 @@
 
 The corpus is encoded through its vocabulary of distinct pre-tokens ("words"):
 
-1. every document falls into one of P parts by a hash of its id; a scan over the documents
-   gives the distinct (word, part) pairs, without moving any text;
+1. every document falls into one of P parts; a scan over the documents gives the distinct
+   (word, part) pairs, without moving any text;
 2. the distinct words of the whole corpus are hashed into partitions; each partition keeps an
    inverted index from token pair to word positions and applies every merge of the tokenizer
    once, in rank order, touching only the neighbours of merged positions;
@@ -27,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,10 @@ TOKENIZER_DIR = os.environ.get("LOOMGRAPH_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_50k"
 #: Parquet bytes of documents for one part (texts are some three times as large in memory).
 PART_BYTES = 6 << 20
+#: Up to this many parts each has a task of its own; beyond it, parts are hashed to tasks.
+FEW_PARTS = 2000
+#: Parts of a word that one task gives their ids; a word of more parts is merged once for each so many.
+WORD_PARTS = 4096
 
 OTHER, LETTER, NUMBER, SPACE, END = range(5)
 #: Suffixes that split off after an apostrophe, in the order they are tried.
@@ -117,9 +122,14 @@ def words_of(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
     return flat.dictionary_encode(), counts
 
 
+Merges = tuple[dict[int, int], np.ndarray, list[tuple[int, int, int]]]
+
+
 @lru_cache(maxsize=2)
-def merges(tokenizer: str, folder: str) -> tuple[dict[int, int], np.ndarray, list[tuple[int, int, int]]]:
-    """Rank of each pair (left << 16 | right), ids of the 256 bytes, (left, right, merged) by rank."""
+def merges(tokenizer: str, folder: str) -> Merges:
+    """Rank of each pair (left << 16 | right), ids of the 256 bytes, (left, right, merged) by rank.
+
+    Read on the driver and sent to the executors, which need no tokenizer files (some 50,000 rows)."""
     with open(os.path.join(folder, f"{tokenizer}.json"), encoding="utf-8") as f:
         model = json.load(f)["model"]
     vocab = model["vocab"]
@@ -135,9 +145,9 @@ def merges(tokenizer: str, folder: str) -> tuple[dict[int, int], np.ndarray, lis
     return {a << 16 | b: r for r, (a, b, _) in enumerate(table)}, byte_ids, table
 
 
-def replay(words: pa.Array, tokenizer: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> pa.ListArray:
+def replay(words: pa.Array, model: Merges | None = None) -> pa.ListArray:
     """Ids of each word: all merges in rank order over an inverted index of pair positions."""
-    rank_of, byte_ids, table = merges(tokenizer, folder)
+    rank_of, byte_ids, table = model or merges(TOKENIZER, TOKENIZER_DIR)
     words = words.cast(pa.large_binary())
     sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     raw = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
@@ -204,32 +214,37 @@ def _texts(batch_column) -> list[str]:
 
 
 def corpus_words(parted: DataFrame) -> DataFrame:
-    """Distinct (part, word) of a table (part, text), found scan partition by scan partition."""
+    """(part, word) of a table (part, text), each once for a scan partition or 128 MB of words."""
 
     def distinct(batches):
-        seen: dict[int, list[pa.Array]] = {}
+        seen: list[pa.Table] = []
         held = 0
 
         def flush():
-            for part, arrays in seen.items():
-                words = pc.unique(pa.concat_arrays(arrays))
-                for at in range(0, len(words), 50_000):
-                    piece = words.slice(at, 50_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(piece), part, np.int32)), piece.cast(pa.binary())], ["part", "word"]
-                    )
+            every = pa.concat_tables(seen).combine_chunks()
+            coded = every.column("word").combine_chunks().dictionary_encode()
+            both = np.unique(every.column("part").to_numpy().astype(np.int64) << 32 | coded.indices.to_numpy())
+            for at in range(0, len(both), 50_000):
+                some = both[at : at + 50_000]
+                word = coded.dictionary.take(pa.array(some & 0xFFFFFFFF)).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array((some >> 32).astype(np.int32)), word], ["part", "word"])
 
         for batch in batches:
-            parts = batch.column(0).to_numpy(zero_copy_only=False)
-            for part in np.unique(parts):
-                chosen = batch.column(1).filter(pa.array(parts == part))
-                coded, _ = words_of(_texts(chosen))
-                seen.setdefault(int(part), []).append(coded.dictionary)
-                held += coded.dictionary.nbytes
-            if held > 128 << 20:
-                yield from flush()
-                seen, held = {}, 0
-        yield from flush()
+            for at in range(0, batch.num_rows, 2_000):
+                some = batch.slice(at, 2_000)
+                coded, counts = words_of(_texts(some.column(1)))
+                if not len(coded):
+                    continue
+                part = np.repeat(some.column(0).to_numpy(zero_copy_only=False).astype(np.int64), counts)
+                both = np.unique(part << 32 | coded.indices.to_numpy())
+                word = coded.dictionary.take(pa.array(both & 0xFFFFFFFF))
+                seen.append(pa.table({"part": (both >> 32).astype(np.int32), "word": word}))
+                held += word.nbytes + 4 * len(both)
+                if held > 128 << 20:
+                    yield from flush()
+                    seen, held = [], 0
+        if seen:
+            yield from flush()
 
     return parted.mapInArrow(distinct, "part int, word binary")
 
@@ -240,6 +255,30 @@ def part_count(docs: DataFrame, part_bytes: int = PART_BYTES) -> int:
     return max(4, min(-(-planned_bytes(docs) // part_bytes), 16 * docs.rdd.getNumPartitions()))
 
 
+def even_labels(spark, parts: int) -> list[int]:
+    """One number for each shuffle partition, so that every part gets a task of its own."""
+    drawn = spark.range(parts * (8 + parts.bit_length())).select(F.col("id").cast("int").alias("id"))
+    rows = drawn.groupBy(F.expr(f"pmod(hash(id), {parts})").alias("slot")).agg(F.min("id").alias("id")).collect()
+    return [r["id"] for r in sorted(rows)]
+
+
+def in_parts(docs: DataFrame, id_col: str, text_col: str, parts: int) -> tuple[DataFrame, int]:
+    """(id, text, part) and the number of shuffle partitions. Few parts are dealt out by a hash, one for
+    each task. Many are blocks of neighbouring rows of a file where the source knows these, so that
+    a scan task meets few parts and gives each its words once."""
+    own = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
+    dealt = F.xxhash64("id", F.length("text"))
+    if parts <= FEW_PARTS:
+        labels = even_labels(docs.sparkSession, parts)
+        chosen = F.pmod(dealt, F.lit(len(labels))).cast("int")
+        return docs.select(*own).withColumn("part", F.element_at(F.array(*[F.lit(x) for x in labels]), chosen + 1)), parts
+    try:
+        placed = docs.select(*own, F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / -(-docs.count() // parts))).alias("block"))
+    except AnalysisException:
+        placed = docs.select(*own).withColumn("block", dealt)
+    return placed.select("id", "text", F.pmod("block", F.lit(parts)).cast("int").alias("part")), -(-parts // 4)
+
+
 def encode_corpus(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -256,12 +295,13 @@ def encode_corpus(
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     parts = part_count(docs)
-    parted = own.withColumn("part", F.pmod(F.xxhash64("id", F.length("text")), F.lit(parts)).cast("int"))
+    parted, width = in_parts(docs, id_col, text_col, parts)
     found = corpus_words(parted.select("part", "text"))
-    # One row per word of the corpus, with the parts that hold it.
-    placed = found.groupBy("word").agg(F.collect_set("part").alias("parts"))
+    # All rows of a word meet, at most ``WORD_PARTS`` parts at a time.
+    salts = -(-parts // WORD_PARTS)
+    met = found.repartition(max(shuffle_width(spark), parts // 4), "word", F.pmod("part", F.lit(salts))).sortWithinPartitions("word")
+    model = spark.sparkContext.broadcast(merges(tokenizer, folder))
     shape = "n int" if lengths_only else "ids array<int>"
 
     def merged(batches):
@@ -270,28 +310,29 @@ def encode_corpus(
 
         def done():
             table = pa.Table.from_batches(held).combine_chunks()
-            ids = replay(table.column("word").combine_chunks(), tokenizer, folder)
+            coded = table.column("word").combine_chunks().dictionary_encode()
+            ids = replay(coded.dictionary, model.value)
             value = pc.list_value_length(ids).cast(pa.int32()) if lengths_only else ids
-            where = table.column("parts").combine_chunks()
-            row = pc.list_parent_indices(where).to_numpy()
-            word = table.column("word").combine_chunks()
-            for at in range(0, len(row), 100_000):
-                take = pa.array(row[at : at + 100_000])
+            # Scan tasks may have found a word in the same part.
+            both = np.unique(table.column("part").to_numpy().astype(np.int64) << 32 | coded.indices.to_numpy())
+            for at in range(0, len(both), 100_000):
+                some = both[at : at + 100_000]
+                take = pa.array(some & 0xFFFFFFFF)
                 yield pa.RecordBatch.from_arrays(
-                    [where.flatten().slice(at, 100_000), word.take(take), value.take(take)],
+                    [pa.array((some >> 32).astype(np.int32)), coded.dictionary.take(take), value.take(take)],
                     ["part", "word", "n" if lengths_only else "ids"],
                 )
 
         for batch in batches:
-            held.append(batch)
+            held.append(batch.select(["part", "word"]))
             count += batch.num_rows
-            if count >= 400_000:
+            if count >= 1_000_000:
                 yield from done()
                 held, count = [], 0
         if held:
             yield from done()
 
-    known = placed.mapInArrow(merged, f"part int, word binary, {shape}")
+    known = met.mapInArrow(merged, f"part int, word binary, {shape}")
     out_type = "int" if lengths_only else "array<int>"
 
     def read_off(texts: pa.Table, words: pa.Table) -> pa.Table:
@@ -316,7 +357,6 @@ def encode_corpus(
             out.append(pa.table({"id": some.column("id"), "out": result}))
         return pa.concat_tables(out) if out else pa.table({"id": texts.column("id"), "out": pa.array([], pa.int32() if lengths_only else pa.list_(pa.int32()))})
 
-    width = max(shuffle_width(spark), 2 * parts)
     return (
         parted.repartition(width, "part")
         .groupBy("part")
