@@ -1,88 +1,84 @@
-"""Filling fixed-capacity containers: bulk-synchronous best fit over ranges of equal sizes.
-
-Sizes are whole numbers up to the capacity, so a range sort of documents and gaps falls into at
-most ``capacity`` classes of equal size each. A superstep takes the largest class of documents
-still open and sweeps its successors, the gap classes from the smallest that fits upwards;
-documents of one class compete for the same gaps and are told apart by their rank, in bulk: a
-stretch of ranks goes to a stretch of containers. Then the gaps are updated and the next class
-follows. The result is the same as best fit on documents in falling order of size.
-
-* The sweep's state is a histogram of sizes and runs of equal containers, some multiples of the
-  capacity in rows however large the corpus, and is kept on the driver.
-* Documents take part by their rank within their size, which is counted in salted buckets, so
-  a size shared by a third of all documents is spread over tasks; stretches (proven to be few)
-  are broadcast and turn a rank into a container.
+"""Filling fixed-capacity containers: bulk-synchronous best fit.
+
+Sizes are handled in ranges, from the largest: (C/2, C], (C/4, C/2], ... and the rest. A superstep
+takes the documents of a range that are still open and the gaps of all containers:
+
+* **Slots.** A gap of several times the range's upper end counts as several slots of that size and a
+  remainder, so a container takes many small documents in one superstep.
+* **Range sort and successor sweep.** Slots and documents stand in falling order of size, slots
+  first. A document wants its successor, the smallest slot that holds it; of equal claims the
+  larger document goes first. That is the matching of brackets: slots open, documents close.
+  Counts by size give the depth at each size (running sums and minima over at most 2 x capacity
+  rows, one for each size), ranks within a size give every slot and document its own depth, and
+  at one depth slots and documents take turns. So all conflicts are settled by rank, in
+  one shuffle by depth, and no document waits for another's placement.
+* **Update.** Gaps are reduced by what they took, and the superstep is repeated until next to
+  nothing fits; then containers are opened for what is left.
+
+Everything is a table: nothing but three sums of each superstep comes to the driver. Equal
+sizes are ranked in salted buckets, so a size shared by a third of all documents is spread over
+tasks, and at one depth there are at most two rows for each size.
 """
 
 from __future__ import annotations
 
-import bisect
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe import encode_corpus
-from loomgraph.session import cut
+from loomgraph.session import Scratch
 
 CAPACITY = 2048
 #: Rows of one rank bucket, about.
 BUCKET_ROWS = 200_000
-
-
-def sweep(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Stretches (size, first rank, end rank, first container, documents per container), and
-    the number of containers used. ``histogram``: documents by size, from 1 to capacity."""
-    gaps: list[int] = []
-    runs: dict[int, list[tuple[int, int]]] = {}
-    stretches: list[tuple[int, int, int, int, int]] = []
-    used = 0
-
-    def open_gap(gap: int, first: int, count: int) -> None:
-        if gap and count:
-            if gap not in runs:
-                bisect.insort(gaps, gap)
-                runs[gap] = []
-            runs[gap].append((first, count))
-
-    for size in sorted(histogram, reverse=True):
-        left, rank = histogram[size], 0
-        changed: list[tuple[int, int, int]] = []
-
-        def fill(gap: int, first: int, count: int) -> None:
-            """Put documents of this size into ``count`` equal containers, or as many as needed."""
-            nonlocal left, rank
-            each = gap // size
-            full = min(count, left // each)
-            if full:
-                stretches.append((size, rank, rank + full * each, first, each))
-                changed.append((gap - full_size(each), first, full))
-                rank, left = rank + full * each, left - full * each
-            rest = count - full
-            if left and rest:
-                stretches.append((size, rank, rank + left, first + full, left))
-                changed.append((gap - full_size(left), first + full, 1))
-                rank, left, full, rest = rank + left, 0, full + 1, rest - 1
-            if rest:
-                changed.append((gap, first + full, rest))
-
-        def full_size(n: int) -> int:
-            return n * size
-
-        at = bisect.bisect_left(gaps, size)
-        while left and at < len(gaps):
-            gap = gaps.pop(at)
-            for first, count in runs.pop(gap):
-                if left:
-                    fill(gap, first, count)
-                else:
-                    changed.append((gap, first, count))
-        if left:
-            need = -(-left // (capacity // size))
-            fill(capacity, used, need)
-            used += need
-        for gap, first, count in changed:
-            open_gap(gap, first, count)
-    return stretches, used
+#: Ranges of sizes that are handled one by one; the last holds all smaller sizes.
+RANGES = 5
+#: A superstep that places a smaller share of the open documents is the last before containers are opened.
+LEAST_SHARE = 0.02
+
+
+def size_ranges(capacity: int, ranges: int = RANGES) -> list[tuple[int, int]]:
+    """(low, high] of each range, from the largest sizes down."""
+    out, high = [], capacity
+    while high and len(out) < ranges - 1:
+        out.append((high // 2, high))
+        high //= 2
+    return [*out, (0, high)] if high else out
+
+
+def slots(gaps: DataFrame, low: int, high: int, buckets: int) -> DataFrame:
+    """(container, size, b): gaps as slots of more than ``low`` and at most ``high``."""
+    whole, rest = F.floor(F.col("gap") / high).cast("int"), (F.col("gap") % high).cast("int")
+    sizes = F.concat(F.array_repeat(F.lit(high), whole), F.when(rest > low, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = gaps.where(F.col("gap") > low).select("container", F.posexplode(sizes).alias("nth", "size"))
+    return rows.select("container", "size", F.pmod(F.xxhash64("container", "nth"), F.lit(buckets)).cast("int").alias("b"))
+
+
+def superstep(items: DataFrame, gaps: DataFrame, low: int, high: int, buckets: int) -> DataFrame:
+    """``items`` (id, start, size, b) of one range with the container that each goes to, or null."""
+    opened = slots(gaps, low, high, buckets)
+    none = F.lit(None).cast(items.schema["id"].dataType)
+    both = opened.select(none.alias("id"), F.lit(None).cast("int").alias("start"), "size", "b", "container").withColumn("open", F.lit(True)).unionByName(
+        items.select("id", "start", "size", "b", F.lit(None).cast("bigint").alias("container")).withColumn("open", F.lit(False))
+    )
+    cells = both.groupBy("size", "open", "b").agg(F.count(F.lit(1)).alias("c"))
+    # At most ``high`` rows: the depth before and after the slots of each size.
+    counts = cells.groupBy("size").agg(F.sum(F.when(F.col("open"), F.col("c")).otherwise(0)).alias("s"), F.sum(F.when(F.col("open"), 0).otherwise(F.col("c"))).alias("i"))
+    down = Window.orderBy(F.desc("size"))
+    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
+    run = counts.withColumn("d", F.sum(F.col("s") - F.col("i")).over(so_far))
+    run = run.withColumn("after", F.col("d") - F.least(F.lit(0), F.min("d").over(so_far)))
+    levels = run.select("size", F.coalesce(F.lag("after").over(down), F.lit(0)).alias("before"), "s")
+    ahead = F.coalesce(F.sum("c").over(Window.partitionBy("size", "open").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = F.when(F.col("open"), F.col("before") + F.col("ahead")).otherwise(F.col("before") + F.col("s") - 1 - F.col("ahead"))
+    places = cells.withColumn("ahead", ahead).join(F.broadcast(levels), "size").select("size", "open", "b", base.alias("base"))
+    rank = F.row_number().over(Window.partitionBy("size", "open", "b").orderBy("id", "start", "container")) - 1
+    deep = both.withColumn("r", rank).join(places, ["size", "open", "b"])
+    deep = deep.withColumn("depth", F.when(F.col("open"), F.col("base") + F.col("r")).otherwise(F.col("base") - F.col("r")))
+    turn = Window.partitionBy("depth").orderBy(F.desc("size"), F.desc("open"))
+    met = deep.where("depth >= 0").withColumn("taken", F.lag("container").over(turn)).where("not open")
+    left = deep.where("depth < 0").withColumn("taken", F.lit(None).cast("bigint"))
+    return met.unionByName(left).select("id", "start", "size", "b", F.col("taken").alias("container"))
 
 
 def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY) -> DataFrame:
@@ -93,30 +89,44 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
     container. Repeated ids are items of their own. Other columns are ignored.
     """
     spark = items.sparkSession
-    own = cut(items.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col).cast("int"), F.lit(0)).alias("n")))
-    buckets = max(16, own.count() // BUCKET_ROWS)
-    own = own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    scratch = Scratch(spark)
+    own = scratch.put(items.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col).cast("int"), F.lit(0)).alias("n")))
     rest = F.col("n") % capacity
-    parts = own.where(rest > 0).select("id", "b", (F.col("n") - rest).alias("start"), rest.alias("size"))
-    cells = cut(parts.groupBy("size", "b").agg(F.count(F.lit(1)).alias("c")))
-    histogram = {r["size"]: r["c"] for r in cells.groupBy("size").agg(F.sum("c").alias("c")).collect()}
-    stretches, used = sweep(histogram, capacity)
-    before = Window.partitionBy("size").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = cells.select("size", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("size", "b").orderBy("id", "start")
-    ranked = parts.withColumn("i", F.row_number().over(within)).join(ahead, ["size", "b"])
-    ranked = ranked.withColumn("rank", F.col("ahead") + F.col("i") - 1)
-    plan = spark.createDataFrame(stretches or [(0, 0, 0, 0, 1)], "s int, lo bigint, hi bigint, first bigint, each bigint")
-    put = ranked.join(
-        F.broadcast(plan), (F.col("size") == F.col("s")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    ).select(
-        (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).cast("bigint").alias("container"),
-        "id",
-        "start",
-        (F.col("start") + F.col("size")).alias("end"),
-    )
-    # Items beyond the capacity: whole containers, numbered after the packed ones.
-    large = own.where(F.col("n") >= capacity).withColumn("k", F.floor(F.col("n") / capacity))
+    buckets = max(16, own.count() // BUCKET_ROWS)
+    parts = own.where(rest > 0).select("id", (F.col("n") - rest).alias("start"), rest.alias("size"), F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("b"))
+    ranges = size_ranges(capacity)
+    in_range = [F.sum(((F.col("size") > low) & (F.col("size") <= high)).cast("long")) for low, high in ranges]
+    numbers = parts.agg(*in_range).first()
+    put: list[DataFrame] = []
+    used = 0
+    gaps: DataFrame | None = None
+    for number, (low, high) in zip(numbers, ranges):
+        left = number or 0
+        open_items = parts.where((F.col("size") > low) & (F.col("size") <= high))
+        total = None
+        fresh = False
+        while left:
+            if gaps is None or fresh:
+                if total is None:
+                    total = open_items.agg(F.sum("size")).first()[0]
+                # What is left fits for certain, or, where containers take many, by its sum.
+                need = -(-total // capacity) if low == 0 else -(-left // (capacity // high))
+                new = spark.range(used, used + need).select(F.col("id").alias("container"), F.lit(capacity).alias("gap"))
+                gaps = new if gaps is None else gaps.unionByName(new)
+                used += need
+            out = scratch.put(superstep(open_items, gaps, low, high, buckets))
+            taken = out.where("container is not null").groupBy("container").agg(F.sum("size").alias("taken"))
+            placed, total, rest_n = out.agg(F.count("container"), F.sum(F.when(F.col("container").isNull(), F.col("size"))), F.count(F.when(F.col("container").isNull(), 1))).first()
+            if placed:
+                put.append(out.where("container is not null"))
+                less = gaps.join(taken, "container", "left").select("container", (F.col("gap") - F.coalesce("taken", F.lit(0))).cast("int").alias("gap"))
+                gaps = scratch.put(less.where("gap > 0"), gaps)
+            fresh = placed < max(1, LEAST_SHARE * left)
+            open_items, left = out.where("container is null").drop("container"), rest_n
+    columns = [F.col("container"), F.col("id"), F.col("start"), (F.col("start") + F.col("size")).alias("end")]
+    # Items beyond the capacity: whole containers, numbered after the packed ones. The running sum
+    # over buckets is one row for each of ``buckets``.
+    large = own.where(F.col("n") >= capacity).withColumn("k", F.floor(F.col("n") / capacity)).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
     so_far = large.groupBy("b").agg(F.sum("k").alias("k")).select(
         "b", F.coalesce(F.sum("k").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead")
     )
@@ -133,9 +143,26 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
         )
     )
     none = own.where("n = 0").select(F.lit(None).cast("bigint").alias("container"), "id", F.lit(0).alias("start"), F.lit(0).alias("end"))
-    return put.unionByName(whole).unionByName(none).withColumnRenamed("id", id_col)
+    out = whole.unionByName(none)
+    for rows in put:
+        out = out.unionByName(rows.select(*columns))
+    return out.withColumnRenamed("id", id_col)
 
 
 def packed_documents(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Containers of documents, measured in ids of the public tokenizer."""
     return pack(encode_corpus(documents, lengths_only=True), "doc_id", "n_ids", capacity)
+
+
+def packing_report(packed: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """One row: documents, overfull (containers over the capacity), torn (documents whose ranges leave a
+    gap, overlap or do not begin at 0) and cut (documents of several ranges one of which could
+    have been the whole document)."""
+    one = packed.select(F.col(id_col).alias("id"), "container", "start", "end")
+    fill = one.where("container is not null").groupBy("container").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
+    over = fill.agg(F.count(F.when(F.col("n") > capacity, 1)).alias("overfull"))
+    docs = one.groupBy("id").agg(F.min("start").alias("lo"), F.max("end").alias("hi"), F.sum(F.col("end") - F.col("start")).alias("n"), F.count(F.lit(1)).alias("ranges"))
+    torn = (F.col("lo") != 0) | (F.col("n") != F.col("hi"))
+    cut = (F.col("ranges") > 1) & (F.col("n") <= capacity)
+    own = docs.agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(torn, 1)).alias("torn"), F.count(F.when(cut, 1)).alias("cut"))
+    return own.join(F.broadcast(over)).select("documents", "overfull", "torn", "cut")

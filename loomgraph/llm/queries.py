@@ -101,6 +101,15 @@ def p7_containers(spark, d):
     return packing.packed_documents(table(spark, d, "documents"))
 
 
+@query
+def p7_report(spark, d):
+    """What must hold of p7_containers on the whole table."""
+    return packing.packing_report(p7_containers(spark, d))
+
+
+ORACLE["p7_report"] = "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS torn, 0::BIGINT AS cut FROM documents"
+
+
 @query
 def p8_found(spark, d):
     return subjects.document_subjects(

@@ -38,27 +38,39 @@ def test_replay_on_random_words():
     assert bpe.replay(pa.array([w.encode() for w in words])).to_pylist() == [want(w) for w in words]
 
 
-def test_sweep_is_best_fit_decreasing():
-    own = random.Random(1)
-    for _ in range(60):
-        capacity = own.randint(5, 60)
-        sizes = [own.randint(1, capacity) for _ in range(own.randint(0, 80))]
+def test_parts_of_neighbouring_rows(spark, tmp_path, monkeypatch):
+    docs = [(i, f"{TEXTS[i % 10]} row {i % 7}") for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    want = {r.doc_id: r.ids for r in bpe.encode_corpus(df).collect()}
+    for few, words in ((2, 4096), (2, 1)):
+        monkeypatch.setattr(bpe, "FEW_PARTS", few)
+        monkeypatch.setattr(bpe, "WORD_PARTS", words)
+        assert {r.doc_id: r.ids for r in bpe.encode_corpus(df).collect()} == want
+    # A source without row numbers has its rows dealt out by hash.
+    assert {r.doc_id: r.ids for r in bpe.encode_corpus(df.where("doc_id >= 0").distinct()).collect()} == want
+
+
+def test_labels_give_each_part_a_task(spark):
+    labels = bpe.even_labels(spark, 37)
+    tasks = spark.createDataFrame([(x,) for x in labels], "part int").repartition(37, "part").selectExpr("spark_partition_id() AS t").distinct().count()
+    assert len(labels) == len(set(labels)) == tasks == 37
+
+
+def test_containers_are_nearly_full(spark):
+    own = random.Random(5)
+    for shape, capacity in ((lambda: own.randint(1, 100), 100), (lambda: own.choice([51, 49, 34, 33, 17, 8, 3]), 100), (lambda: min(64, int(own.expovariate(0.1)) + 1), 64)):
+        sizes = [shape() for _ in range(1500)]
+        out = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "id int, n int"), "id", "n", capacity).toPandas()
+        fill = (out.end - out.start).groupby(out.container).sum()
         gaps: list[int] = []
         for s in sorted(sizes, reverse=True):
-            fit = [g for g in gaps if g >= s]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - s)
-            else:
-                gaps.append(capacity - s)
-        stretches, used = packing.sweep({s: sizes.count(s) for s in set(sizes)}, capacity)
-        fill: dict[int, int] = {}
-        for size, lo, hi, first, each in stretches:
-            for rank in range(lo, hi):
-                c = first + (rank - lo) // each
-                fill[c] = fill.get(c, 0) + size
-        assert sum(fill.values()) == sum(sizes) and max(fill.values(), default=0) <= capacity
-        assert used == len(gaps) == len(fill)
+            fit = min((g for g in gaps if g >= s), default=None)
+            if fit is not None:
+                gaps.remove(fit)
+            gaps.append((capacity if fit is None else fit) - s)
+        assert fill.max() <= capacity and fill.sum() == sum(sizes) and len(out) == len(sizes)
+        assert len(fill) <= 1.03 * len(gaps) + 1
 
 
 def test_pack_covers_every_item_once(spark):
