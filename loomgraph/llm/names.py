@@ -1,19 +1,25 @@
-"""Variant spellings of names typed by people: metric-space partitioning of their words.
-
-The words of records' names (name words of organisations, also written as one; middle and last
-names of persons) are joined with the words of mentions under the Damerau-Levenshtein distance
-(unrestricted transpositions, so a true metric) within a radius of 1:
-
-* pivots are chosen farthest-first from a bounded sample of the record words; each record word
-  belongs to the cell of its nearest pivot;
-* a mention word at distance d from its nearest pivot is replicated to every cell whose pivot
-  is within d + 2 x radius, which by the triangle inequality reaches all its partners;
-* inside a cell the exact radius join enters words under themselves and each deletion of one
-  letter, and checks the meetings with the metric. No cell is compared pairwise or collected.
-
-Word matches lead to candidate records of a mention's strings; a fixed set of rules on the parts
-of a name (order, initials, short names, titles, legal forms, branches) keeps those that fit, and
-name and aliases of a mention vote. A mention that fits two records equally well is left out.
+"""Variant spellings of names typed by people: metric-space partitioning under an edit metric.
+
+Points of the space are the parts of names (people reorder and drop parts, which whole names would
+not survive) and, beside them, whole names with the blanks left out. The distance is that of
+Damerau and Levenshtein with unrestricted transpositions, a true metric; the radius is 1:
+
+* pivots are chosen farthest-first from a bounded sample of the records' names; each of these
+  belongs to the cell of its nearest pivot, and there to the ring of its distance d from it;
+* a name of a mention at distance d from its nearest pivot is replicated to every cell whose pivot
+  is within d + 2 x radius, and there to the rings that differ by at most the radius: by
+  the triangle inequality this reaches all its partners;
+* in a ring all names of mentions meet all names of records, in blocks, so that no ring is ever
+  collected: letters that only one of two names has are counted first (an edit changes two
+  at most), and the metric decides. More pivots mean fewer meetings, never other rows.
+
+Meetings lead to candidate records of a mention's strings, and a string names a record if each of its
+words fits a word of the record: equal, within the radius, as initial, as beginning, or as a
+variant. **Variants and fillers are learnt from the tables**, not listed: where a string shares a
+rare word with just one record, or is recorded as a spelling of it, the words left over on both
+sides are counted together; a word that mostly stands for one other word is its variant (nicknames,
+abbreviations), one that stands beside anything is a filler. Name and aliases of a mention vote. A
+mention that fits two records equally well is left out.
 """
 
 from __future__ import annotations
@@ -27,27 +33,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import key
+from loomgraph.operators.skew import salted_join
+from loomgraph.session import cut
 
-RADIUS, PIVOTS, SAMPLE = 1, 16, 256
+RADIUS, PIVOTS, SAMPLE = 1, 32, 1024
 #: Shorter words are only matched exactly.
 MIN_LETTERS = 5
-
-# Words around names.
-TITLES = {"dr", "prof", "mr", "mrs", "ms", "miss", "herr", "frau", "ing", "dipl", "sir", "madam", "professor", "doctor", "jr", "sr", "phd", "mag"}
-LEGAL = {"co", "ag", "bv", "corp", "sa", "inc", "gmbh", "ltd", "llc", "plc", "limited", "corporation", "incorporated", "company", "nv", "kg", "se", "oy", "ab", "spa", "srl", "sarl", "aktiengesellschaft", "gesellschaft", "mbh", "societe", "anonyme", "besloten", "vennootschap"}
-FILLERS = {"the", "and", "und", "et", "y", "group", "services", "systems", "op", "coop", "of", "solutions", "gruppe", "groupe", "grupo"}
-BRANCHES = ("engineering", "logistics", "international", "foods", "ministry", "laboratories", "pharmaceuticals", "university", "telecommunications", "energy", "insurance", "manufacturing", "holdings", "technologies")
-BRANCH_SHORT = {"mfg": "manufacturing", "manuf": "manufacturing", "telco": "telecommunications", "intl": "international", "coop": "foods", "labs": "laboratories", "hldgs": "holdings"}
-SHORT_NAMES = {
-    "alexander": "alex sasha sandy xander lex al", "anthony": "tony ant", "christina": "tina chris chrissy christy", "dorothea": "dora thea dot dotty dorothy dolly",
-    "edward": "ed ned ted eddie eddy teddy", "elizabeth": "liz beth betty eliza lisa lizzie libby bess elsie", "frederick": "fred freddy freddie fritz rick",
-    "gabriela": "gabi gaby gabby ella", "isabella": "bella izzy isa belle", "josephine": "jo josie posy fifi", "katherine": "kate kathy katie kay kat kitty cathy kit",
-    "leonard": "leo len lenny", "margaret": "maggie peggy meg greta marge daisy rita madge peg", "michael": "mike mick mickey micky mikey", "nathaniel": "nate nat nathan",
-    "penelope": "penny nell pen poppy", "rebecca": "becky becca bex reba", "robert": "bob rob bobby robbie bert", "samuel": "sam sammy", "susanna": "sue susie suzy sanna susan anna",
-    "theodore": "ted theo teddy dory", "timothy": "tim timmy", "victoria": "vicky tori vic vicki", "wilhelmina": "mina willa billie minnie wilma", "william": "bill will billy liam willy",
-    "zachary": "zach zack zac",
-}
-SHORT_OF = {(s, full) for full, all_short in SHORT_NAMES.items() for s in all_short.split()}
+#: Names of records in one block of a ring, and names of mentions that meet it at once.
+BLOCK, SLAB = 4096, 256
+#: A word of more than this share of the records (and of ``COMMON_LEAST``) is common: it tells little alone.
+COMMON_SHARE, COMMON_LEAST = 0.003, 5
+#: Learnt words: least number of records, least share of all counts (so that at most 1 / share words
+#: are learnt, whatever the tables), and the share of its records in which a variant stands for one word.
+LEARN_LEAST, LEARN_SHARE, VARIANT_SHARE = 3, 2e-5, 0.25
+#: What a recorded spelling counts, compared with a mention.
+RECORDED = 3
+#: Least score of a string that names a record.
+LEAST_SCORE = 1.35
+
+# Closed classes of words around names (titles, legal forms, function words).
+TITLES = {"dr", "prof", "mr", "mrs", "ms", "miss", "mx", "herr", "frau", "ing", "dipl", "sir", "madam", "madame", "monsieur", "professor", "doctor", "jr", "sr", "phd", "mag", "rev", "hon", "esq", "don", "dona", "senor", "senora"}
+LEGAL = {"co", "ag", "bv", "corp", "sa", "inc", "gmbh", "ltd", "llc", "llp", "lp", "plc", "limited", "corporation", "incorporated", "company", "nv", "kg", "ohg", "ug", "se", "oy", "oyj", "ab", "as", "aps", "spa", "srl", "sl", "sas", "sarl", "kk", "pty", "pte", "sdn", "bhd", "aktiengesellschaft", "gesellschaft", "mbh", "societe", "anonyme", "sociedad", "anonima", "societa", "besloten", "vennootschap"}
+FUNCTION_WORDS = {"the", "and", "und", "et", "of", "de", "del", "der", "von", "van"}
 
 DIGIT = str.maketrans({"0": "o", "1": "l", "5": "s", "|": "l"})
 DOTTED = re.compile(r"\b(?:\w\.){2,}|\b\w\.\w\.(?:\w\.)*\w\b")
@@ -131,61 +138,132 @@ def choose_pivots(sample: list[str], count: int = PIVOTS) -> list[str]:
     return chosen
 
 
-def _deletions(word: str) -> list[str]:
-    return list({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))})
+def pair_distances(left: list[str], right: list[str]) -> np.ndarray:
+    """Damerau-Levenshtein distance (unrestricted) of the names of each pair."""
+    n = len(left)
+    if not n:
+        return np.empty(0, np.int16)
+    code = {c: i + 2 for i, c in enumerate(sorted({c for w in (*left, *right) for c in w}))}
+
+    def coded(words: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        out = np.full((n, max(1, int(sizes.max()))), pad, np.int64)
+        for i, w in enumerate(words):
+            out[i, : len(w)] = [code[c] for c in w]
+        return out, sizes
+
+    (a, na), (b, nb) = coded(left, 0), coded(right, 1)
+    la, lb, at = a.shape[1], b.shape[1], np.arange(n)
+    d = np.full((la + 2, lb + 2, n), la + lb, np.int16)
+    d[1, 1:, :] = np.arange(lb + 1, dtype=np.int16)[:, None]
+    d[1:, 1, :] = np.arange(la + 1, dtype=np.int16)[:, None]
+    row = np.zeros((n, len(code) + 2), np.int64)
+    for i in range(1, la + 1):
+        column = np.zeros(n, np.int64)
+        for j in range(1, lb + 1):
+            k, l = row[at, b[:, j - 1]], column
+            same = a[:, i - 1] == b[:, j - 1]
+            best = np.minimum(d[i, j] + ~same, np.minimum(d[i + 1, j], d[i, j + 1]) + 1)
+            d[i + 1, j + 1] = np.minimum(best, d[k, l, at] + (i - k - 1) + 1 + (j - l - 1))
+            column = np.where(same, j, column)
+        row[at, a[:, i - 1]] = i
+    return d[na + 1, nb + 1, at]
 
 
-def radius_join(left: DataFrame, right: DataFrame, col: str = "word") -> DataFrame:
-    """(w, v, d): distinct words w of ``left`` and v of ``right`` within a distance of 1.
+def letter_masks(words: list[str]) -> np.ndarray:
+    """The letters that each name has, as 64 bits."""
+    return np.fromiter((sum(1 << b for b in {ord(c) % 61 for c in w}) for w in words), np.uint64, len(words))
 
-    Null words match nothing; words of fewer than five letters match only themselves.
+
+def radius_join(left: DataFrame, right: DataFrame, col: str = "word", pivots: int = PIVOTS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """(w, v, d): distinct names w of ``left`` and v of ``right`` within the radius.
+
+    Null names match nothing; names of fewer than five letters match only themselves. pivots and
+    block change the work, never the rows.
     """
     ours = left.select(F.col(col).alias("w")).dropna().distinct()
     theirs = right.select(F.col(col).alias("v")).dropna().distinct()
     equal = ours.join(theirs, F.col("w") == F.col("v")).select("w", "v", F.lit(0).alias("d"))
     long = theirs.where(F.length("v") >= MIN_LETTERS)
     sample = [r["v"] for r in long.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()]
-    pivots = choose_pivots(sample)
-    if not pivots:
+    chosen = choose_pivots(sample, pivots)
+    if not chosen:
         return equal
-
-    def placed(reach: int | None):
-        """Rows (word, cell, entry): nearest cell only, or all cells within reach."""
-
-        def rows(batches):
-            for batch in batches:
-                words = batch.column(0).to_pylist()
-                if not words:
-                    continue
+    # Rings that hold names of records, and their blocks: pivots x longest name at most.
+    base = cut(long.mapInArrow(_placer(chosen, None, radius), "word string, cell int, ring int"))
+    rings = base.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"))
+    blocks = {(r["cell"], r["ring"]): -(-r["n"] // block) for r in rings.collect()}
+    table = left.sparkSession.createDataFrame([(*k, n) for k, n in blocks.items()], "cell int, ring int, blocks int")
+    near = ours.where(F.length("w") >= MIN_LETTERS).mapInArrow(_placer(chosen, set(blocks), radius), "word string, cell int, ring int")
+    own = base.join(F.broadcast(table), ["cell", "ring"]).select("cell", "ring", F.pmod(F.xxhash64("word"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "word")
+    asked = near.join(F.broadcast(table), ["cell", "ring"]).select("cell", "ring", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "word")
+    # Names of mentions of one block are spread over tasks as well; its names of records are bounded.
+    spread = 4
+    rows = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).unionByName(asked.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(spread)).cast("int")))
+    keys = ["cell", "ring", "block", "part"]
+    met = rows.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(_meeter(radius), "w string, v string, d int")
+    return equal.unionByName(met)
+
+
+def _placer(pivots: list[str], known: set | None, radius: int):
+    """Rows (word, cell, ring): of the nearest cell, or of all known rings within reach."""
+
+    def rows(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5_000):
+                words = batch.column(0).slice(at, 5_000).to_pylist()
                 d = np.stack([distances(words, p) for p in pivots], axis=1)
-                if reach is None:
-                    cells = np.zeros_like(d, bool)
-                    cells[np.arange(len(words)), d.argmin(1)] = True
+                if known is None:
+                    row, cell = np.arange(len(words)), d.argmin(1)
+                    ring = d[row, cell]
                 else:
-                    cells = d <= d.min(1, keepdims=True) + reach
-                out, cell, entry = [], [], []
-                for w, own in zip(words, cells):
-                    keys = _deletions(w)
-                    for c in np.flatnonzero(own).tolist():
-                        out += [w] * len(keys)
-                        cell += [c] * len(keys)
-                        entry += keys
-                yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(cell, pa.int32()), pa.array(entry)], ["word", "cell", "entry"])
-
-        return rows
-
-    shape = "word string, cell int, entry string"
-    # Every mention word of some length may have partners other than itself.
-    near = ours.where(F.length("w") >= MIN_LETTERS).mapInArrow(placed(2 * RADIUS), shape)
-    base = long.mapInArrow(placed(None), shape).withColumnRenamed("word", "v")
-    met = near.withColumnRenamed("word", "w").join(base, ["cell", "entry"]).where("w <> v").select("w", "v").distinct()
-
-    def checked(batches):
+                    r, c = np.nonzero(d <= d.min(1, keepdims=True) + 2 * radius)
+                    row, cell, ring = (np.concatenate(x) for x in zip(*((r, c, d[r, c] + off) for off in range(-radius, radius + 1))))
+                    keep = np.fromiter(((x, y) in known for x, y in zip(cell.tolist(), ring.tolist())), bool, len(row))
+                    row, cell, ring = row[keep], cell[keep], ring[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()).take(pa.array(row)), pa.array(cell, pa.int32()), pa.array(ring, pa.int32())], ["word", "cell", "ring"])
+
+    return rows
+
+
+def _meeter(radius: int):
+    """Sorted rows (cell, ring, block, side, word, part) -> (w, v, d): all of one block meet."""
+
+    def meet(own, asked):
+        (v, mv, lv), (w, mw, lw) = own, asked
+        for at in range(0, len(w), SLAB):
+            close = np.bitwise_count(mw[at : at + SLAB, None] ^ mv[None, :]) <= 2 * radius
+            close &= np.abs(lw[at : at + SLAB, None] - lv[None, :]) <= radius
+            i, j = np.nonzero(close)
+            if len(i):
+                a, b = [w[at + x] for x in i.tolist()], [v[x] for x in j.tolist()]
+                d = pair_distances(a, b)
+                hit = np.flatnonzero((d <= radius) & (d > 0))
+                yield pa.RecordBatch.from_arrays([pa.array([a[x] for x in hit], pa.string()), pa.array([b[x] for x in hit], pa.string()), pa.array(d[hit], pa.int32())], ["w", "v", "d"])
+
+    def described(words):
+        return words, letter_masks(words), np.fromiter(map(len, words), np.int16, len(words))
+
+    def rows(batches):
+        at, own, words = None, None, []
         for batch in batches:
-            keep = pa.array([_within_one(w, v) for w, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_())
-            yield batch.filter(keep)
-
-    return equal.unionByName(met.mapInArrow(checked, "w string, v string").withColumn("d", F.lit(1)))
+            if not batch.num_rows:
+                continue
+            c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "ring", "block", "part", "side")}
+            said = batch.column("word").to_pylist()
+            edges = np.flatnonzero(np.any([np.diff(x) != 0 for x in c.values()], axis=0)) + 1
+            for lo, hi in zip([0, *edges], [*edges, batch.num_rows]):
+                place = tuple(int(c[n][lo]) for n in ("cell", "ring", "block", "part"))
+                if place != at:
+                    at, own, words = place, None, []
+                if c["side"][lo] == 0:
+                    words += said[lo:hi]
+                    own = None
+                elif words:
+                    own = own or described(words)
+                    yield from meet(own, described(said[lo:hi]))
+
+    return rows
 
 
 def _within_one(a: str, b: str) -> bool:
@@ -202,124 +280,165 @@ def _within_one(a: str, b: str) -> bool:
     return i >= len(a) or a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
-def branch_of(token: str) -> str | None:
-    """The branch a word names: in full, shortened, in a like form or with one error."""
-    if token in BRANCH_SHORT:
-        return BRANCH_SHORT[token]
-    if len(token) < 3:
-        return None
-    for b in BRANCHES:
-        if b.startswith(token) or token.startswith(b[:5]) or (len(token) >= 4 and skeleton(b).startswith(skeleton(token))):
-            return b
-    for b in BRANCHES:
-        if len(token) > 3 and (_within_one(token, b) or _within_one(token, b[: len(token)])) and token[0] == b[0]:
-            return b
-    return next((b for b in BRANCHES if token[:4] == b[:4] and len(token) > 4), None)
-
-
-def record_parts(name: str, org: bool = False) -> dict | None:
-    """Parts of a record's name: (a, b, branch) of an organisation or (first, middle, last), and
-    ``more``: its other words. org: whether a name without legal form and branch is one too."""
-    tokens = [t for t in name_tokens(name) if t not in TITLES and t not in FILLERS]
-    body = [t for t in tokens if t not in LEGAL]
-    branch = next((b for t in reversed(body) if (b := t if t in BRANCHES else None)), None)
-    if org or branch or len(body) != len(tokens):
-        words = [t for t in body if t != branch]
-        if not words:
-            return None
-        return {"kind": "org", "a": words[0], "b": words[1] if len(words) > 1 else "", "c": branch or "", "more": words[2:]}
-    if len(body) < 2:
-        return None
-    return {"kind": "person", "a": body[0], "b": body[1] if len(body) > 2 else "", "c": body[-1], "more": body[2:-1]}
-
-
-def _first_fits(token: str, first: str) -> float:
-    if token == first or skeleton(token) == skeleton(first):
+class Learnt:
+    """What the tables tell about words: common ones, variants (said, meant) and fillers."""
+
+    def __init__(self, common=(), variants=(), fillers=()) -> None:
+        self.common, self.variants, self.fillers = frozenset(common), frozenset(variants), frozenset(fillers)
+
+
+def core_words(tokens: list[str]) -> list[str]:
+    """Words of a record's name without legal forms, titles and function words, if any are left."""
+    return [t for t in tokens if t not in LEGAL and t not in TITLES and t not in FUNCTION_WORDS] or tokens
+
+
+def _abbreviates(token: str, word: str) -> bool:
+    """Letters of a long word in order, from its first on."""
+    if len(token) < 3 or token[0] != word[0] or len(word) < 2 * len(token):
+        return False
+    rest = iter(word)
+    return all(c in rest for c in token)
+
+
+def word_fit(token: str, word: str, learnt: Learnt) -> float:
+    """How well a word as typed fits a word of a record, from 0 to 1."""
+    x, y = skeleton(token), skeleton(word)
+    if x == y:
         return 1.0
-    if (token, first) in SHORT_OF:
+    if (token, word) in learnt.variants:
         return 0.9
     if len(token) == 1:
-        return 0.7 if token == first[0] else 0.0
-    if len(token) >= 4 and _within_one(skeleton(token), skeleton(first)):
+        return (0.7 if word in learnt.common else 0.4) if token == word[0] else 0.0
+    if min(len(x), len(y)) >= MIN_LETTERS - 1 and len(y) >= MIN_LETTERS and _within_one(x, y):
         return 0.8
-    if len(token) >= 3 and first.startswith(token):
+    if len(token) >= 3 and y.startswith(x):
         return 0.8
+    if word in learnt.common and token not in learnt.common:
+        if _abbreviates(token, word) or (len(word) > MIN_LETTERS and token.startswith(word[:MIN_LETTERS])):
+            return 0.7
+        if len(token) >= 4 and token[0] == word[0] and _within_one(token, word[: len(token)]):
+            return 0.7
     return 0.0
 
 
-def _word_fits(token: str, word: str) -> float:
-    x, y = skeleton(token), skeleton(word)
-    return 1.0 if x == y else 0.8 if len(y) >= MIN_LETTERS and _within_one(x, y) else 0.0
-
-
-def _take(token: str, left: list[str]) -> float:
-    """How well a word fits one of those left of a record's other words, which is used up."""
-    score, word = max(((_word_fits(token, w), w) for w in left), default=(0.0, ""))
-    if score:
-        left.remove(word)
-    return score
-
-
-def fits(tokens: list[str], kind: str, a: str, b: str, c: str, more: list[str] | tuple = ()) -> float:
-    """How well the words of a string name the record, from 0 (not at all) to about 4, and up to
-    1 more for each of the record's other words."""
-    if kind == "person":
-        return _person_fits(tokens, a, b, c, more)
-    rest = [t for t in tokens if t not in LEGAL and t not in FILLERS and t not in TITLES]
-    got_a = got_b = got_c = got_more = 0.0
-    left = list(more)
-    for t in rest:
-        if not got_a and (s := _word_fits(t, a)):
-            got_a = s
-        elif b and not got_b and (s := _word_fits(t, b)):
-            got_b = s
-        elif b and not got_a and not got_b and max(s := _word_fits(t, a + b), r := _word_fits(t, b + a)):
-            got_a = got_b = max(s, r)
-        elif b and not got_b and len(t) == 1 and t == b[0]:
-            got_b = 0.4
-        elif s := _take(t, left):
-            got_more += s
-        elif not got_c and (n := branch_of(t)):
-            if c and n != c:
-                return 0.0
-            got_c = 1.0 if c else 0.0
-        else:
-            return 0.0
-    if not got_a or (b and got_b < 0.5 and not got_c and not got_more):
-        return 0.0
-    return got_a + got_b + got_c + got_more
-
-
-def _person_fits(tokens: list[str], first: str, middle: str, last: str, more: list[str] | tuple = ()) -> float:
-    # Two letters at the end are initials, even where they spell a title.
-    rest = [t for i, t in enumerate(tokens) if t not in TITLES or (i and i == len(tokens) - 1 and len(t) == 2)]
-    got_f = got_m = got_l = got_more = 0.0
-    left = list(more)
-    for t in sorted(rest, key=lambda t: -_word_fits(t, last)):
-        if not got_l and (s := _word_fits(t, last)):
-            got_l = s
-        elif not got_f and (s := _first_fits(t, first)):
-            got_f = s
-        elif middle and not got_m and (s := max(_word_fits(t, middle), 0.6 * (t == middle[0]))):
-            got_m = s
-        elif s := _take(t, left):
-            got_more += s
-        elif not got_f and len(t) == 2 and t[0] == first[0] and (not middle or t[1] == middle[0]):
-            got_f, got_m = 0.7, 0.5 if middle else 0.0
-        elif not middle and not got_m and len(t) != 2 and branch_of(t) is None:
-            got_m = 0.05
-        else:
-            return 0.0
-    if not got_l or not got_f:
-        return 0.0
-    return got_l + got_f + got_m + got_more
+def fits(tokens: list[str], words: list[str], learnt: Learnt) -> tuple[float, list[str], list[str]]:
+    """Score of a string's words as a name of the record, 0 if they are none, and the words left
+    over on both sides."""
+    rest = [t for t in tokens if t not in LEGAL and t not in FUNCTION_WORDS and t not in TITLES]
+    left, missing, got, rare = list(rest), list(words), 0.0, False
+    matched = 0
+
+    def take(word: str, fit: float) -> None:
+        nonlocal got, rare, matched
+        missing.remove(word)
+        got += fit
+        matched += 1
+        rare = rare or (fit >= 0.8 and word not in learnt.common)
+
+    # The best fits first; two words of a name may be written as one.
+    for least in (0.8, 0.3):
+        for t in sorted(left, key=len, reverse=True):
+            if not missing:
+                break
+            fit, word = max(((word_fit(t, w, learnt), w) for w in missing), key=lambda x: x[0])
+            if fit >= least:
+                left.remove(t)
+                take(word, fit)
+                continue
+            joined = next(((a, b) for a in missing for b in missing if a is not b and len(t) >= len(a) + len(b) - 1 and word_fit(t, a + b, NOTHING) >= 0.8), None)
+            if joined:
+                left.remove(t)
+                for w in joined:
+                    take(w, 0.95)
+    # Two letters that are initials of what is left, or of one word where no other is; at the end
+    # of a name even where they spell a title or legal form.
+    for t in [*left, *tokens[-1:]]:
+        if len(t) == 2 and missing and t[0] == missing[0][0] and (len(missing) == 1 or t[1] == missing[1][0]):
+            left = [x for x in left if x is not t]
+            for w in missing[:2]:
+                take(w, 0.6)
+    strange = [t for t in left if t not in learnt.fillers]
+    if not rare or got < LEAST_SCORE and not (len(words) == 1 and not missing):
+        return 0.0, strange, missing
+    if any(t in learnt.common for t in strange) or len(strange) > 1 or (strange and missing and matched < 3):
+        return 0.0, strange, missing
+    return got + (0.1 if not missing else 0.0) - 0.3 * len(strange), strange, missing
+
+
+NOTHING = Learnt()
 
 
 def spelled_alike(said: list[str], known: list[str]) -> float:
     """How well two spellings agree: 3 as a whole, 1.6 word by word with errors in long words."""
     if "".join(map(skeleton, said)) == "".join(map(skeleton, known)):
         return 3.0
-    return 1.6 if len(said) == len(known) and all(_word_fits(t, w) for t, w in zip(said, known)) else 0.0
+    return 1.6 if len(said) == len(known) and all(word_fit(t, w, NOTHING) >= 0.8 for t, w in zip(said, known)) else 0.0
+
+
+def _tokenized(strings: DataFrame, col: str, out: str) -> DataFrame:
+    """(col, out): distinct strings with their words."""
+
+    def rows(batches):
+        for batch in batches:
+            tokens = [name_tokens(s) for s in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.string()))], [col, out])
+
+    return strings.mapInArrow(rows, f"{col} string, {out} array<string>")
+
+
+def _searched(words: DataFrame, records: int) -> DataFrame:
+    """(rid, core, word) of records (rid, core): the words a record is searched by, in the form they
+    are compared: its words that are not common, else its rarest one, and its first two written as one."""
+    each = words.select("rid", "core", F.posexplode("core").alias("n", "t"))
+    often = each.select("rid", "t").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    told = each.join(often, "t")
+    rarest = told.groupBy("rid").agg(F.min("df").alias("least"))
+    limit = max(COMMON_LEAST, COMMON_SHARE * records)
+    own = told.join(rarest, "rid").where((F.col("df") <= limit) | (F.col("df") == F.col("least"))).select("rid", "core", "t")
+    two = words.where(F.size("core") > 1).select("rid", "core", F.explode(F.array(F.concat(F.col("core")[0], F.col("core")[1]), F.concat(F.col("core")[1], F.col("core")[0]))).alias("t"))
+    return own.unionByName(two).select("rid", "core", _skeleton("t").alias("word")).distinct()
+
+
+def _skeleton(col: str):
+    return F.translate(F.regexp_replace(col, "rn", "m"), "l", "i")
+
+
+def _learn(pairs: DataFrame, recorded: DataFrame, common: frozenset) -> Learnt:
+    """Variants and fillers from candidates (s, tokens, rid, core) and recorded spellings
+    (tokens, rid, core).
+
+    A string counts for the record that leaves the fewest words over, if that is one alone, and each
+    record once for each pair of words, so that a much-named record tells no more than others.
+    """
+    known = Learnt(common)
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for s, tokens, rid, core in zip(*(batch.column(n).to_pylist() for n in ("s", "tokens", "rid", "core"))):
+                _, strange, missing = fits(tokens, core, known)
+                said = [t for t in strange if len(t) > 1]
+                out.append((s, rid, said, missing, len(said) + len(missing)))
+            cols = list(zip(*out)) if out else [[]] * 5
+            kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["s", "rid", "said", "missing", "n"])
+
+    shape = "s string, rid string, said array<string>, missing array<string>, n int"
+    met = pairs.select("s", "tokens", "rid", "core").mapInArrow(rows, shape)
+    least = met.groupBy("s").agg(F.min("n").alias("n"), F.min_by("rid", "n").alias("one"))
+    alone = met.join(least, ["s", "n"]).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.first(F.struct("rid", "said", "missing")).alias("x")).where("c = 1").select("x.*", F.lit(1).alias("times"))
+    sure = recorded.select(F.lit("").alias("s"), "tokens", "rid", "core").mapInArrow(rows, shape).where("size(said) = 1 and size(missing) = 1").select("rid", "said", "missing", F.lit(RECORDED).alias("times"))
+    told = alone.unionByName(sure).where("size(said) > 0").select("rid", F.explode("said").alias("t"), "missing", "times")
+    once = told.select("rid", "t", F.explode_outer("missing").alias("w"), "times").groupBy("rid", "t", "w").agg(F.max("times").alias("times"))
+    pairs_of = once.where("w is not null").groupBy("t", "w").agg(F.sum("times").alias("n"))
+    of = told.groupBy("rid", "t").agg(F.max("times").alias("times")).groupBy("t").agg(F.sum("times").alias("all"))
+    total = of.agg(F.sum("all")).first()[0] or 0
+    enough = max(LEARN_LEAST, LEARN_SHARE * total)
+    counted = cut(of.where(F.col("all") >= enough).join(pairs_of.where(F.col("n") >= enough), "t", "left"))
+    variants = counted.where(F.col("n") >= VARIANT_SHARE * F.col("all")).select("t", "w").collect()
+    pointing = {r["t"] for r in variants}
+    fillers = {r["t"] for r in counted.select("t").distinct().collect()} - pointing - common
+    return Learnt(common, {(r["t"], r["w"]) for r in variants if r["t"] not in common or r["w"] not in common}, fillers)
 
 
 def found_mentions(entity_mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -328,96 +447,70 @@ def found_mentions(entity_mentions: DataFrame, entities: DataFrame) -> DataFrame
     Names and aliases vote, whatever the mention's type says. Null, blank and empty names say
     nothing; rows delivered again count once; a mention without a fitting record, or with two
     that fit equally well, gives no row. Names, aliases and source mentions recorded for a record
-    are spellings of it where the parts of its name do not fit.
+    are spellings of it, whole or with one error.
     """
     own = entities.where(F.upper("primary_type").isin("CUSTOMER", "ORGANIZATION", "OTHER"))
     # A record that was ingested anew under another name has both.
-    records = own.select("canonical_id", "canonical_name", F.upper("primary_type").alias("type")).dropna().distinct()
+    named = own.select(F.col("canonical_id").alias("rid"), F.col("canonical_name").alias("k")).dropna().where(key(F.col("k")).isNotNull()).distinct()
+    words_of = _tokenized(named.select("k").distinct(), "k", "known")
 
-    def parsed(batches):
+    def cored(batches):
         for batch in batches:
-            ids, cols, words = [], {k: [] for k in ("kind", "a", "b", "c", "more")}, []
-            for cid, name, kind in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                p = record_parts(name)
-                found = [p] if p else []
-                if kind != "OTHER" and not (p and p["kind"] == "org") and (q := record_parts(name, org=True)):
-                    found.append(q)
-                for p in found:
-                    ids.append(cid)
-                    for k in cols:
-                        cols[k].append(p[k])
-                    if p["kind"] == "org":
-                        own_words = [p["a"], p["b"], *([p["a"] + p["b"], p["b"] + p["a"]] if p["b"] else [])]
-                    else:
-                        own_words = [p["c"]]
-                    words.append([skeleton(w) for w in own_words if w])
-            shapes = [pa.list_(pa.string()) if k == "more" else pa.string() for k in cols]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), *(pa.array(cols[k], t) for k, t in zip(cols, shapes)), pa.array(words, pa.list_(pa.string()))],
-                ["canonical_id", *cols, "words"],
-            )
-
-    parts = records.mapInArrow(parsed, "canonical_id string, kind string, a string, b string, c string, more array<string>, words array<string>").distinct()
-
-    said = entity_mentions.select("mention_seq", F.concat(F.array(F.struct(F.lit(1.5).alias("weight"), F.col("name").alias("s"))), F.coalesce(F.transform("aliases", lambda x: F.struct(F.lit(1.0).alias("weight"), x.alias("s"))), F.array().cast("array<struct<weight:double,s:string>>"))).alias("all"))
-    said = said.select("mention_seq", F.explode("all").alias("x")).select("mention_seq", "x.weight", "x.s").where(key(F.col("s")).isNotNull()).groupBy("mention_seq", "s").agg(F.max("weight").alias("weight"))
-    strings = said.select("s").distinct()
-    # Names count in full, other recorded spellings for less.
-    listed = [F.transform(c, lambda x: F.struct(x.alias("k"), F.lit(2.0).alias("most"))) for c in ("aliases", "source_mentions") if c in own.columns]
-    names_of = F.array(F.struct(F.col("canonical_name").alias("k"), F.lit(3.0).alias("most")))
-    every = F.concat(names_of, *[F.coalesce(x, F.array().cast("array<struct<k:string,most:double>>")) for x in listed])
-    recorded = own.select("canonical_id", F.explode(every).alias("x")).select("canonical_id", "x.k", "x.most").dropna().where(key(F.col("k")).isNotNull())
-    recorded = recorded.groupBy("canonical_id", "k").agg(F.max("most").alias("most"))
-
-    def tokenized(text: str, words: str):
-        def rows(batches):
-            for batch in batches:
-                tokens = [name_tokens(s) for s in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.string()))], [text, words])
+            core = [core_words(t) for t in batch.column("known").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(core, pa.list_(pa.string()))], ["rid", "core"])
 
-        return rows
+    cores = cut(named.join(words_of, "k").where("size(known) > 0").select("rid", "known").mapInArrow(cored, "rid string, core array<string>").distinct())
+    records = cores.select("rid").distinct().count()
+    often = cores.select("rid", F.explode("core").alias("t")).distinct().groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    # At most words per name / COMMON_SHARE words.
+    common = frozenset(r["t"] for r in often.where(F.col("df") > max(COMMON_LEAST - 1, COMMON_SHARE * records)).select("t").collect())
+    posts = cut(_searched(cores, records))
 
-    tokens = strings.mapInArrow(tokenized("s", "tokens"), "s string, tokens array<string>")
-    known = recorded.select(F.col("k").alias("s")).distinct().mapInArrow(tokenized("k", "known"), "k string, known array<string>")
+    none = F.array().cast("array<struct<weight:double,s:string>>")
+    every = F.concat(F.array(F.struct(F.lit(1.5).alias("weight"), F.col("name").alias("s"))), F.coalesce(F.transform("aliases", lambda x: F.struct(F.lit(1.0).alias("weight"), x.alias("s"))), none))
+    said = entity_mentions.select("mention_seq", F.explode(every).alias("x")).select("mention_seq", "x.weight", "x.s").where(key(F.col("s")).isNotNull()).groupBy("mention_seq", "s").agg(F.max("weight").alias("weight"))
+    tokens = cut(_tokenized(said.select("s").distinct(), "s", "tokens"))
 
-    def whole(col: str):
-        return F.translate(F.array_join(F.transform(col, lambda t: F.regexp_replace(t, "rn", "m")), ""), "l", "i")
+    # Names count in full, other recorded spellings for less.
+    listed = [F.transform(c, lambda x: F.struct(x.alias("k"), F.lit(2.0).alias("most"))) for c in ("aliases", "source_mentions") if c in own.columns]
+    names_of = F.array(F.struct(F.col("canonical_name").alias("k"), F.lit(3.0).alias("most")))
+    spellings = F.concat(names_of, *[F.coalesce(x, F.array().cast("array<struct<k:string,most:double>>")) for x in listed])
+    recorded = own.select(F.col("canonical_id").alias("rid"), F.explode(spellings).alias("x")).select("rid", "x.k", "x.most").dropna().where(key(F.col("k")).isNotNull())
+    recorded = recorded.groupBy("rid", "k").agg(F.max("most").alias("most"))
+    known = cut(recorded.join(_tokenized(recorded.select("k").distinct(), "k", "known"), "k"))
 
-    spoken = tokens.select("s", "tokens", F.explode("tokens").alias("t")).withColumn("word", F.translate(F.regexp_replace("t", "rn", "m"), "l", "i"))
-    posts = parts.select("canonical_id", "kind", "a", "b", "c", "more", F.explode("words").alias("word"))
+    spoken = tokens.select("s", "tokens", F.explode("tokens").alias("t")).withColumn("word", _skeleton("t")).select("s", "tokens", "word").distinct()
     matches = radius_join(spoken, posts)
-    pairs = (
-        spoken.join(matches, F.col("word") == F.col("w"))
-        .select("s", "tokens", "v")
-        .distinct()
-        .join(posts.withColumnRenamed("word", "v"), "v")
-        .select("s", "tokens", "canonical_id", "kind", "a", "b", "c", "more")
-        .distinct()
-    )
+    # Words of many records or many strings are salted.
+    heard = salted_join(spoken, matches.select("w", "v"), [("word", "w")], "inner").select("s", "tokens", "v").distinct()
+    pairs = cut(salted_join(heard, posts, [("v", "word")], "inner").select("s", "tokens", "rid", "core").distinct())
+    learnt = _learn(pairs, known.join(cores, "rid").select(F.col("known").alias("tokens"), "rid", "core"), common)
+    model = entities.sparkSession.sparkContext.broadcast(learnt)
 
     def judged(batches):
         for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in ("tokens", "kind", "a", "b", "c", "more")}
-            scores = [fits(*x) for x in zip(*c.values())]
-            yield pa.RecordBatch.from_arrays([batch.column("s"), batch.column("canonical_id"), pa.array(scores, pa.float64())], ["s", "canonical_id", "score"]).filter(pa.array([x > 0 for x in scores]))
+            scores = [fits(t, c, model.value)[0] for t, c in zip(batch.column("tokens").to_pylist(), batch.column("core").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("s"), batch.column("rid"), pa.array(scores, pa.float64())], ["s", "rid", "score"]).filter(pa.array([x > 0 for x in scores], pa.bool_()))
 
-    good = pairs.mapInArrow(judged, "s string, canonical_id string, score double")
-    good = good.groupBy("s", "canonical_id").agg(F.max("score").alias("score"))
+    good = pairs.mapInArrow(judged, "s string, rid string, score double").groupBy("s", "rid").agg(F.max("score").alias("score"))
 
     # Whole spellings meet under the same radius, with the blanks left out.
+    whole = lambda c: F.array_join(F.transform(c, lambda t: F.translate(F.regexp_replace(t, "rn", "m"), "l", "i")), "")
     uttered = tokens.withColumn("word", whole("tokens")).where("word <> ''")
-    written = known.withColumn("word", whole("known")).where("word <> ''").join(recorded, "k")
-    alike = uttered.join(radius_join(uttered, written), F.col("word") == F.col("w")).select("s", "tokens", "v").join(written.withColumnRenamed("word", "v"), "v").select("s", "tokens", "canonical_id", "known", "most").distinct()
+    written = known.withColumn("v", whole("known")).where("v <> ''")
+    near = radius_join(uttered, written.withColumnRenamed("v", "word")).select("w", F.col("v").alias("v2"))
+    alike = salted_join(salted_join(uttered, near, [("word", "w")], "inner").select("s", "tokens", "v2"), written, [("v2", "v")], "inner").select("s", "tokens", "rid", "known", "most").distinct()
 
     def compared(batches):
         for batch in batches:
             c = {n: batch.column(n).to_pylist() for n in ("tokens", "known", "most")}
             scores = [min(spelled_alike(t, k), most) for t, k, most in zip(*c.values())]
-            yield pa.RecordBatch.from_arrays([batch.column("s"), batch.column("canonical_id"), pa.array(scores, pa.float64())], ["s", "canonical_id", "score"]).filter(pa.array([x > 0 for x in scores], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("s"), batch.column("rid"), pa.array(scores, pa.float64())], ["s", "rid", "score"]).filter(pa.array([x > 0 for x in scores], pa.bool_()))
 
-    spelled = alike.mapInArrow(compared, "s string, canonical_id string, score double").groupBy("s", "canonical_id").agg(F.max("score").alias("score"))
-    good = good.unionByName(spelled.join(good, ["s", "canonical_id"], "left_anti"))
-    votes = said.join(good, "s").groupBy("mention_seq", "canonical_id").agg(F.round(F.sum(F.col("weight") * F.col("score")), 6).alias("score"))
+    spelled = alike.mapInArrow(compared, "s string, rid string, score double")
+    # The better of the two ways.
+    good = good.unionByName(spelled).groupBy("s", "rid").agg(F.max("score").alias("score"))
+    votes = said.join(good, "s").groupBy("mention_seq", "rid").agg(F.round(F.sum(F.col("weight") * F.col("score")), 6).alias("score"))
     best = votes.groupBy("mention_seq").agg(F.max("score").alias("score"))
-    top = votes.join(best, ["mention_seq", "score"]).groupBy("mention_seq").agg(F.count(F.lit(1)).alias("n"), F.min("canonical_id").alias("canonical_id"))
+    top = votes.join(best, ["mention_seq", "score"]).groupBy("mention_seq").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("canonical_id"))
     return top.where("n = 1").select("mention_seq", "canonical_id")

@@ -154,12 +154,36 @@ def test_distance_is_the_metric():
         assert [names._within_one(w, p) for w in ws] == [damerau(w, p) <= 1 for w in ws]
 
 
+def test_pair_distances_are_the_metric():
+    own = random.Random(12)
+    word = lambda: "".join(own.choice("abcé") for _ in range(own.randint(0, 7)))
+    a, b = [word() for _ in range(150)], [word() for _ in range(150)]
+    assert names.pair_distances(a, b).tolist() == [damerau(x, y) for x, y in zip(a, b)]
+    masks = names.letter_masks(a), names.letter_masks(b)
+    assert all(damerau(x, y) > 1 or np.bitwise_count(m ^ n) <= 2 for x, y, m, n in zip(a, b, *masks))
+
+
+def test_variants_and_fillers_are_learnt(spark):
+    own = random.Random(13)
+    last = ["".join(own.choice("bdfgklmnprstvz") + own.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    firsts = ["Charlotte", "Bartholomew", "Wilfred", "Ottoline"]
+    nick = {"Charlotte": "Lottie", "Bartholomew": "Barty", "Wilfred": "Freddo", "Ottoline": "Tilly"}
+    people = [(f"p{i:02}", firsts[i % 4], n) for i, n in enumerate(last)]
+    ents = spark.createDataFrame([(i, f"{f} {n.title()}", "OTHER", ["x"], None) for i, f, n in people], "canonical_id string, canonical_name string, primary_type string, aliases array<string>, metadata string")
+    said = [(k, f"{nick[f]} {n.title()}", None) for k, (i, f, n) in enumerate(people)] + [(100 + k, f"{f} {n.title()} Esteemed", []) for k, (i, f, n) in enumerate(people)]
+    said += [(200 + k, f"{firsts[(k + 1) % 4]} {n.title()}", None) for k, (i, f, n) in enumerate(people)]
+    got = {r.mention_seq: r.canonical_id for r in names.found_mentions(spark.createDataFrame(said, "mention_seq long, name string, aliases array<string>"), ents).collect()}
+    assert got == {k + add: i for add in (0, 100) for k, (i, _, _) in enumerate(people)}
+
+
 def test_radius_join_equals_brute_force(spark):
     own = random.Random(10)
     base = ["".join(own.choice("abcdef") for _ in range(own.randint(3, 8))) for _ in range(150)]
     typed = [w[:2] + own.choice("abcdef") + w[2 + own.randint(0, 1) :] for w in base] + base[:20] + [None]
     left, right = spark.createDataFrame([(w,) for w in typed], "word string"), spark.createDataFrame([(w,) for w in base], "word string")
-    got = {(r.w, r.v) for r in names.radius_join(left, right).collect()}
+    own_rows = [sorted((r.w, r.v, r.d) for r in names.radius_join(left, right, **how).collect()) for how in ({}, {"pivots": 1}, {"pivots": 5, "block": 7})]
+    assert own_rows[0] == own_rows[1] == own_rows[2]
+    got = {(w, v) for w, v, _ in own_rows[0]}
     want = {(a, b) for a in set(typed) - {None} for b in set(base) if a == b or (min(len(a), len(b)) >= names.MIN_LETTERS and damerau(a, b) <= 1)}
     assert got == want
     assert names.radius_join(left, right.limit(0)).count() == 0
@@ -170,7 +194,9 @@ def test_mentions_find_their_record(spark):
         ("o1", "Riltpindror Saimsut Engineering Co", "CUSTOMER"), ("o2", "Riltpindror Saimsut Foods BV", "CUSTOMER"), ("o3", "Kedtirzeish Teltnap Insurance Ltd", "ORGANIZATION"),
         ("p1", "Alexander Diknegzux", "OTHER"), ("p2", "Anthony Feinfal Desriltjak", "OTHER"), ("p3", "Victoria Rorvilban", "OTHER"), ("x1", "Alexander Diknegzux", "PRODUCT"), ("n", None, "OTHER"),
     ]
-    ents = spark.createDataFrame(records, "canonical_id string, canonical_name string, primary_type string")
+    # A nickname is known from a recorded spelling of another Alexander.
+    records = [(*r, None) for r in records] + [("p4", "Alexander Moutgaish", "OTHER", ["Moutgaish, Sasha"])]
+    ents = spark.createDataFrame(records, "canonical_id string, canonical_name string, primary_type string, source_mentions array<string>")
     said = {
         1: ("RILTPINDROR ENGI", None, "o1"), 2: ("Riltpindror & Saimsut", [], None), 3: ("the customer", ["riltpindror saimsut f00ds"], "o2"), 4: ("Kedtirzeish T. Ins.", [None, ""], "o3"),
         5: ("KedtirzeishTeltnap Insurance Group", [], "o3"), 6: ("Diknegzux, Sasha", [], "p1"), 7: ("Dr. A. Diknegzúx", [], "p1"), 8: ("Desriltjak AF", [], "p2"), 9: ("Edward Rorvilban", [], None),
@@ -203,7 +229,8 @@ def test_all_words_of_a_record_count(spark):
 
 def test_short_names_are_found(spark):
     records = [("p1", "William Fox", "OTHER"), ("p2", "Anna Lee", "OTHER"), ("o1", "Bay Oak Foods Ltd", "CUSTOMER")]
-    said = [("William Fox", "p1"), ("Lee, Anna", "p2"), ("Bay Oak Foods", "o1"), ("BayOak Foods", "o1"), ("Anna Lea", None), ("Bob Fox", None)]
+    records += [("p3", "Robert Ng", "OTHER")]
+    said = [("Robert Ng", "p3"), ("Ng, Robert", "p3"), ("Li Ng", None), ("William Fox", "p1"), ("Lee, Anna", "p2"), ("Bay Oak Foods", "o1"), ("BayOak Foods", "o1"), ("Anna Lea", None), ("Bob Fox", None)]
     linked(spark, records, said)
 
 
