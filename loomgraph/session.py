@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -43,11 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; only where none is set (tests,
-    a laptop) fall back to a temporary folder of this machine."""
+    """Use the folder named by ``spark.checkpoint.dir``. A local session (tests, a laptop) without
+    one gets a temporary folder; a cluster without one is an error, as no machine's own
+    folder outlives its executors."""
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-ckpt-"))
 
 
@@ -79,10 +83,17 @@ class Scratch:
         out._scratch_path = path
         for old in replaced:
             if getattr(old, "_scratch_path", None):
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(old._scratch_path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                self._delete(old._scratch_path)
         return out
 
+    def drop(self) -> None:
+        """Delete all tables; nothing that is still to be computed may read one."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
 
 def planned_bytes(df: DataFrame) -> int:
     """The planner's size of ``df`` in bytes (files read, no job)."""
