@@ -3,13 +3,17 @@
 1. The highest-degree vertex is taken as a hub; frontier breadth-first joins collect its whole
    component, which is labelled and anti-joined away. While the next hub still holds a large
    share of the edges, it is peeled too. A hub's neighbours start as a frontier of one row, so
-   a vertex with a third of all edges never becomes a shuffle key of a skewed join.
+   a vertex with a third of all edges never becomes a shuffle key of a skewed join. What a level
+   reaches lies in it or beside it, so only the last two levels are anti-joined, and no list
+   of all that was seen is rewritten.
 2. The remaining small components are labelled by propagating minima: every vertex takes the
    least label of its neighbourhood, labels are followed once more (pointer jumping), and the
    edges are contracted to labels, so chains shrink geometrically and not hop by hop.
 
 A breadth-first search that is still running after ``max_hops`` rounds (a long chain tied to a
-hub) is contracted to the hub and left to step 2, which ends the same way.
+hub) is contracted to the hub and left to step 2, which ends the same way. Joins on vertices or
+labels that may be hot are salted from ``HOT_ROWS`` rows of the table on (fewer rows hold no
+hot key). Intermediate tables lie in a folder of their own, which is deleted when the result stands.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import key
 from loomgraph.operators.skew import salted_join
-from loomgraph.session import Scratch
+from loomgraph.session import Scratch, cut
 
 #: A frontier is broadcast up to this many rows, and joined by shuffle beyond it.
 BROADCAST_ROWS = 20_000
+#: Keys of fewer rows are not salted.
+HOT_ROWS = 100_000
 
 
 def connected_groups(pairs: DataFrame, left: str = "a", right: str = "b", hub_share: float = 0.05, hub_degree: int = 8, max_hops: int = 40) -> DataFrame:
@@ -33,71 +39,84 @@ def connected_groups(pairs: DataFrame, left: str = "a", right: str = "b", hub_sh
     """
     scratch = Scratch(pairs.sparkSession)
     kept = pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).where(F.col("a") != F.col("b"))
-    both = kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = kept.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
     edges = scratch.put(both.distinct())
     parts: list[DataFrame] = []
-    total = edges.count()
-    while total:
+    while True:
         degrees = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        hub, degree = degrees.orderBy(F.desc("n"), "a").first()
+        total, top = degrees.agg(F.sum("n"), F.max(F.struct("n", "a"))).first()
+        if not total:
+            break
+        hub, degree = top["a"], top["n"]
         if parts and (degree < hub_degree or degree < hub_share * total):
+            parts.append(_propagate(scratch, edges, edges.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")), total))
             break
-        seen, finished = _reach(scratch, edges, hub, max_hops)
+        seen, finished = _reach(scratch, edges, hub, max_hops, total)
         if not finished:
             # Contract what was reached to the hub and let the labels travel on from there.
             ends = edges.select(F.col("a").alias("id")).distinct()
-            reached = seen.withColumn("label", F.lit(hub))
-            labels = scratch.put(ends.join(reached, "id", "left").select("id", F.coalesce("label", "id").alias("label")), seen)
-            parts.append(_propagate(scratch, _relabel(scratch, edges, labels), labels))
+            reached = seen.select(F.col("id").alias("r"), F.lit(hub).alias("label"))
+            labels = scratch.put(ends.join(reached, F.col("id") == F.col("r"), "left").select("id", F.coalesce("label", "id").alias("label")))
+            parts.append(_propagate(scratch, _relabel(scratch, edges, labels, total), labels, total))
             break
-        least = seen.agg(F.min("id").alias("label"))
-        parts.append(seen.join(F.broadcast(least)))
-        edges = scratch.put(edges.join(seen.withColumnRenamed("id", "a"), "a", "left_anti"), edges)
-        total = edges.count()
-    else:
-        finished = True
-    if total and finished:
-        parts.append(_propagate(scratch, edges, edges.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))))
-    out = parts[0] if parts else kept.select(F.col("a").alias("id"), F.col("b").alias("label"))
+        parts.append(seen.withColumn("label", F.lit(seen.agg(F.min("id")).first()[0])))
+        edges = scratch.put(_join(edges, seen.withColumnRenamed("id", "r"), "a", "r", "left_anti", total), edges)
+    if not parts:
+        return kept.select(F.col("a").alias("id"), F.col("b").alias("group_id"))
+    out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.select("id", F.col("label").alias("group_id"))
+    out = cut(out.select("id", F.col("label").alias("group_id")))
+    scratch.drop()
+    return out
+
+
+def _join(left: DataFrame, right: DataFrame, a: str, b: str, how: str, rows: int) -> DataFrame:
+    """``left`` (of at most ``rows`` rows) joined with ``right`` (one row for a key); hot keys are salted."""
+    if rows < HOT_ROWS:
+        return left.join(right, F.col(a) == F.col(b), how)
+    return salted_join(left, right, [(a, b)], how, hot_rows=HOT_ROWS)
 
 
-def _reach(scratch: Scratch, edges: DataFrame, hub: str, max_hops: int) -> tuple[DataFrame, bool]:
+def _reach(scratch: Scratch, edges: DataFrame, hub: str, max_hops: int, total: int) -> tuple[DataFrame, bool]:
     """All vertices within ``max_hops`` of the hub, and whether these are its whole component."""
     frontier = scratch.spark.createDataFrame([(hub,)], "id string")
-    seen, size = frontier, 1
+    seen, before, size = frontier, None, 1
     for _ in range(max_hops):
-        near = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
-        nxt = edges.join(near, F.col("a") == F.col("id")).select(F.col("b").alias("id")).distinct()
-        frontier = scratch.put(nxt.join(seen, "id", "left_anti"), frontier)
+        near = frontier.withColumnRenamed("id", "r")
+        # Beyond the first level the hub's own edges lead back and are left out before any shuffle.
+        own = edges if before is None else edges.where((F.col("a") != hub) & (F.col("b") != hub))
+        met = own.join(F.broadcast(near), F.col("a") == F.col("r"), "left_semi") if size <= BROADCAST_ROWS else _join(own, near, "a", "r", "left_semi", total)
+        nxt = met.select(F.col("b").alias("id")).distinct()
+        past = frontier if before is None else frontier.unionByName(before)
+        nxt = nxt.join(past, "id", "left_anti")
+        frontier, before = scratch.put(nxt), frontier
         size = frontier.count()
         if not size:
             return seen, True
-        seen = scratch.put(seen.unionByName(frontier), seen)
+        seen = seen.unionByName(frontier)
     return seen, False
 
 
-def _relabel(scratch: Scratch, edges: DataFrame, labels: DataFrame) -> DataFrame:
+def _relabel(scratch: Scratch, edges: DataFrame, labels: DataFrame, total: int) -> DataFrame:
     """Edges between the labels of their ends, without loops."""
-    x = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
-    y = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-    moved = edges.join(x, "a").join(y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    x = labels.select(F.col("id").alias("xa"), F.col("label").alias("la"))
+    y = labels.select(F.col("id").alias("yb"), F.col("label").alias("lb"))
+    moved = _join(_join(edges, x, "a", "xa", "inner", total), y, "b", "yb", "inner", total).select(F.col("la").alias("a"), F.col("lb").alias("b"))
     return scratch.put(moved.where(F.col("a") != F.col("b")).distinct())
 
 
-def _propagate(scratch: Scratch, edges: DataFrame, labels: DataFrame) -> DataFrame:
+def _propagate(scratch: Scratch, edges: DataFrame, labels: DataFrame, total: int) -> DataFrame:
     """(id, label) with the least id of each component as label."""
     while not edges.isEmpty():
         least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
         up = least.select(F.col("v").alias("m"), F.col("m").alias("top"))
         parent = scratch.put(least.join(up, "m", "left").select(F.col("v").alias("id"), F.coalesce("top", "m").alias("label")))
-        moved = parent.select(F.col("id").alias("label"), F.col("label").alias("to"))
-        labels = scratch.put(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), labels)
-        edges = _relabel(scratch, edges, parent)
-    low = labels.groupBy("label").agg(F.min("id").alias("least"))
-    return labels.join(low, "label").select("id", F.col("least").alias("label"))
+        moved = parent.select(F.col("id").alias("was"), F.col("label").alias("to"))
+        labels = scratch.put(_join(labels, moved, "label", "was", "left", total).select("id", F.coalesce("to", "label").alias("label")), labels)
+        edges = _relabel(scratch, edges, parent, total)
+    low = labels.groupBy("label").agg(F.min("id").alias("least")).withColumnRenamed("label", "was")
+    return _join(labels, low, "label", "was", "inner", total).select("id", F.col("least").alias("label"))
 
 
 def alias_links(records: DataFrame, id_col: str, list_col: str) -> DataFrame:

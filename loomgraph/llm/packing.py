@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe import encode_corpus
-from loomgraph.session import Scratch
+from loomgraph.session import Scratch, cut
 
 CAPACITY = 2048
 #: Rows of one rank bucket, about.
@@ -146,6 +146,8 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
     out = whole.unionByName(none)
     for rows in put:
         out = out.unionByName(rows.select(*columns))
+    out = cut(out)
+    scratch.drop()
     return out.withColumnRenamed("id", id_col)
 
 
