@@ -36,7 +36,8 @@ from loomgraph.functions.text import key
 from loomgraph.operators.skew import salted_join
 from loomgraph.session import cut
 
-RADIUS, PIVOTS, SAMPLE = 1, 32, 1024
+#: Whole names are three times as long as words, and their distances nine times as dear.
+RADIUS, PIVOTS, WHOLE_PIVOTS, SAMPLE = 1, 16, 6, 1024
 #: Shorter words are only matched exactly.
 MIN_LETTERS = 5
 #: Names of records in one block of a ring, and names of mentions that meet it at once.
@@ -190,18 +191,20 @@ def radius_join(left: DataFrame, right: DataFrame, col: str = "word", pivots: in
     if not chosen:
         return equal
     # Rings that hold names of records, and their blocks: pivots x longest name at most.
-    base = cut(long.mapInArrow(_placer(chosen, None, radius), "word string, cell int, ring int"))
+    # Small to move but dear to place: not to be put together into few tasks.
+    tasks = max(4, 2 * left.sparkSession.sparkContext.defaultParallelism)
+    base = cut(long.repartition(tasks, "v").mapInArrow(_placer(chosen, None, radius), "word string, cell int, ring int"))
     rings = base.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"))
     blocks = {(r["cell"], r["ring"]): -(-r["n"] // block) for r in rings.collect()}
     table = left.sparkSession.createDataFrame([(*k, n) for k, n in blocks.items()], "cell int, ring int, blocks int")
-    near = ours.where(F.length("w") >= MIN_LETTERS).mapInArrow(_placer(chosen, set(blocks), radius), "word string, cell int, ring int")
+    near = ours.where(F.length("w") >= MIN_LETTERS).repartition(tasks, "w").mapInArrow(_placer(chosen, set(blocks), radius), "word string, cell int, ring int")
     own = base.join(F.broadcast(table), ["cell", "ring"]).select("cell", "ring", F.pmod(F.xxhash64("word"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "word")
     asked = near.join(F.broadcast(table), ["cell", "ring"]).select("cell", "ring", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "word")
     # Names of mentions of one block are spread over tasks as well; its names of records are bounded.
     spread = 4
     rows = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).unionByName(asked.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(spread)).cast("int")))
     keys = ["cell", "ring", "block", "part"]
-    met = rows.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(_meeter(radius), "w string, v string, d int")
+    met = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "side").mapInArrow(_meeter(radius), "w string, v string, d int")
     return equal.unionByName(met)
 
 
@@ -498,7 +501,7 @@ def found_mentions(entity_mentions: DataFrame, entities: DataFrame) -> DataFrame
     whole = lambda c: F.array_join(F.transform(c, lambda t: F.translate(F.regexp_replace(t, "rn", "m"), "l", "i")), "")
     uttered = tokens.withColumn("word", whole("tokens")).where("word <> ''")
     written = known.withColumn("v", whole("known")).where("v <> ''")
-    near = radius_join(uttered, written.withColumnRenamed("v", "word")).select("w", F.col("v").alias("v2"))
+    near = radius_join(uttered, written.withColumnRenamed("v", "word"), pivots=WHOLE_PIVOTS).select("w", F.col("v").alias("v2"))
     alike = salted_join(salted_join(uttered, near, [("word", "w")], "inner").select("s", "tokens", "v2"), written, [("v2", "v")], "inner").select("s", "tokens", "rid", "known", "most").distinct()
 
     def compared(batches):
