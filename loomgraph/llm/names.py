@@ -10,8 +10,8 @@ Damerau and Levenshtein with unrestricted transpositions, a true metric; the rad
   is within d + 2 x radius, and there to the rings that differ by at most the radius: by
   the triangle inequality this reaches all its partners;
 * in a ring all names of mentions meet all names of records, in blocks, so that no ring is ever
-  collected: letters that only one of two names has are counted first (an edit changes two
-  at most), and the metric decides. More pivots mean fewer meetings, never other rows.
+  collected: pairs of letters that only one of two names has are counted first (an edit changes
+  six at most), and the metric decides. More pivots mean fewer meetings, never other rows.
 
 Meetings lead to candidate records of a mention's strings, and a string names a record if each of its
 words fits a word of the record: equal, within the radius, as initial, as beginning, or as a
@@ -42,6 +42,8 @@ RADIUS, PIVOTS, WHOLE_PIVOTS, SAMPLE = 1, 16, 6, 1024
 MIN_LETTERS = 5
 #: Names of records in one block of a ring, and names of mentions that meet it at once.
 BLOCK, SLAB = 4096, 256
+#: Pairs of adjacent letters that one edit adds or takes at most (a swap: three each).
+PAIRS_CHANGED = 6
 #: A word of more than this share of the records (and of ``COMMON_LEAST``) is common: it tells little alone.
 COMMON_SHARE, COMMON_LEAST = 0.003, 5
 #: Learnt words: least number of records, least share of all counts (so that at most 1 / share words
@@ -171,9 +173,15 @@ def pair_distances(left: list[str], right: list[str]) -> np.ndarray:
     return d[na + 1, nb + 1, at]
 
 
-def letter_masks(words: list[str]) -> np.ndarray:
-    """The letters that each name has, as 64 bits."""
-    return np.fromiter((sum(1 << b for b in {ord(c) % 61 for c in w}) for w in words), np.uint64, len(words))
+def pair_masks(words: list[str]) -> np.ndarray:
+    """The pairs of adjacent letters that each name has, hashed into 64 bits."""
+    out = np.zeros(len(words), np.uint64)
+    for i, w in enumerate(words):
+        mask = 0
+        for x, y in zip(w, w[1:]):
+            mask |= 1 << ((ord(x) * 31 + ord(y)) & 63)
+        out[i] = mask
+    return out
 
 
 def radius_join(left: DataFrame, right: DataFrame, col: str = "word", pivots: int = PIVOTS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -193,11 +201,11 @@ def radius_join(left: DataFrame, right: DataFrame, col: str = "word", pivots: in
     # Rings that hold names of records, and their blocks: pivots x longest name at most.
     # Small to move but dear to place: not to be put together into few tasks.
     tasks = max(4, 2 * left.sparkSession.sparkContext.defaultParallelism)
-    base = cut(long.repartition(tasks, "v").mapInArrow(_placer(chosen, None, radius), "word string, cell int, ring int"))
+    base = cut(long.repartition(tasks, F.xxhash64("v")).mapInArrow(_placer(chosen, None, radius), "word string, cell int, ring int"))
     rings = base.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"))
     blocks = {(r["cell"], r["ring"]): -(-r["n"] // block) for r in rings.collect()}
     table = left.sparkSession.createDataFrame([(*k, n) for k, n in blocks.items()], "cell int, ring int, blocks int")
-    near = ours.where(F.length("w") >= MIN_LETTERS).repartition(tasks, "w").mapInArrow(_placer(chosen, set(blocks), radius), "word string, cell int, ring int")
+    near = ours.where(F.length("w") >= MIN_LETTERS).repartition(tasks, F.xxhash64("w")).mapInArrow(_placer(chosen, set(blocks), radius), "word string, cell int, ring int")
     own = base.join(F.broadcast(table), ["cell", "ring"]).select("cell", "ring", F.pmod(F.xxhash64("word"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "word")
     asked = near.join(F.broadcast(table), ["cell", "ring"]).select("cell", "ring", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "word")
     # Names of mentions of one block are spread over tasks as well; its names of records are bounded.
@@ -235,7 +243,7 @@ def _meeter(radius: int):
     def meet(own, asked):
         (v, mv, lv), (w, mw, lw) = own, asked
         for at in range(0, len(w), SLAB):
-            close = np.bitwise_count(mw[at : at + SLAB, None] ^ mv[None, :]) <= 2 * radius
+            close = np.bitwise_count(mw[at : at + SLAB, None] ^ mv[None, :]) <= PAIRS_CHANGED * radius
             close &= np.abs(lw[at : at + SLAB, None] - lv[None, :]) <= radius
             i, j = np.nonzero(close)
             if len(i):
@@ -245,7 +253,7 @@ def _meeter(radius: int):
                 yield pa.RecordBatch.from_arrays([pa.array([a[x] for x in hit], pa.string()), pa.array([b[x] for x in hit], pa.string()), pa.array(d[hit], pa.int32())], ["w", "v", "d"])
 
     def described(words):
-        return words, letter_masks(words), np.fromiter(map(len, words), np.int16, len(words))
+        return words, pair_masks(words), np.fromiter(map(len, words), np.int16, len(words))
 
     def rows(batches):
         at, own, words = None, None, []

@@ -159,8 +159,8 @@ def test_pair_distances_are_the_metric():
     word = lambda: "".join(own.choice("abcé") for _ in range(own.randint(0, 7)))
     a, b = [word() for _ in range(150)], [word() for _ in range(150)]
     assert names.pair_distances(a, b).tolist() == [damerau(x, y) for x, y in zip(a, b)]
-    masks = names.letter_masks(a), names.letter_masks(b)
-    assert all(damerau(x, y) > 1 or np.bitwise_count(m ^ n) <= 2 for x, y, m, n in zip(a, b, *masks))
+    masks = names.pair_masks(a), names.pair_masks(b)
+    assert all(damerau(x, y) > 1 or np.bitwise_count(m ^ n) <= names.PAIRS_CHANGED for x, y, m, n in zip(a, b, *masks))
 
 
 def test_variants_and_fillers_are_learnt(spark):
