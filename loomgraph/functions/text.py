@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Unicode white space plus the ASCII separators FS..US, as in Python's ``str.isspace``.
 SPACE = r"\s\p{Z}\x{85}\x1c-\x1f"
 WORD = r"[\p{L}\p{N}_]+"
+#: What names are joined by: runs of ASCII letters and digits, and any other letter or digit alone, so
+#: that names in scripts without blanks are found as well.
+TOKEN = r"[a-z0-9]+|[\p{L}\p{N}&&[^\x00-\x7F]]"
 SENTENCE_GAP = rf"(?<=[.!?])[{SPACE}]+"
 #: Line ends of ``str.splitlines``.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -48,6 +51,25 @@ def words(col: Column) -> Column:
     return F.filter(F.split(col, rf"[{SPACE}]+"), lambda s: s != "")
 
 
+def tokens(col: Column) -> Column:
+    """Tokens of a text in lower case, as array<string>."""
+    return F.regexp_extract_all(F.lower(col), F.lit(TOKEN), F.lit(0))
+
+
+def token_runs(tokens_col: Column, lengths: list[int]) -> Column:
+    """Distinct runs of so many tokens, one blank apart. ``tokens_col`` should be a plain column:
+    inside a lambda an expression is computed for each element."""
+    at = F.sequence(F.lit(1), F.greatest(F.size(tokens_col), F.lit(1)))
+    runs = F.flatten(F.transform(at, lambda i: F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.array_join(F.slice(tokens_col, i, n), " "))))
+    return F.array_distinct(runs)
+
+
+def literal_regex(col: Column) -> Column:
+    """A column of literals as Java regexes; a blank stands for any white space."""
+    escaped = F.regexp_replace(col, r"([^\p{L}\p{N}\s_])", r"\\$1")
+    return F.regexp_replace(escaped, r"\s+", r"\\s+")
+
+
 def bounded(literal_regex: str) -> str:
     """A regex that must not touch ASCII letters or digits on either side."""
     return rf"(?<![a-zA-Z0-9])(?:{literal_regex})(?![a-zA-Z0-9])"

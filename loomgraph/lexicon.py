@@ -72,6 +72,14 @@ RELATION_CUES = (
     (r"\b(?:part\s+of|component\s+of|subsystem\s+of|module\s+of)\b", "PART_OF", "part or component of"),
 )
 
+# Relations of neighbours without a cue (words in the source's or the target's name, type,
+# description), in the order they are tried; the last holds for all.
+PLAIN_RELATIONS = (
+    ("source", ("customer", "corp"), "USES", "Customer utilizes target solution"),
+    ("target", ("version",), "INTRODUCED_IN", "Associated with software release"),
+    ("", (), "RELATED_TO", "Relates to context in chunk"),
+)
+
 
 def default_lexicon(spark: SparkSession) -> DataFrame:
     """The curated entities as a table."""

@@ -1,20 +1,19 @@
-"""Entity and relation mentions of chunks, by rules.
+"""Entity and relation mentions of chunks, by rules or by models of one's own.
 
-Entities are found by native expressions on the chunk's row. Relations need greedy spans and
-ordered pairs within a sentence, which no built-in expresses; they run in Arrow batches over
-chunks that hold at least two entities. Nothing is shuffled.
+All rules are native expressions on the row. A sentence with the names of its chunk as one
+alternation, longest first, falls into hits and the gaps between them; relations are pairs of hits
+with the gaps they span. Only relations found are shuffled, to count each once in a chunk.
 """
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import SENTENCE_GAP, slug, squeeze, strip
-from loomgraph.lexicon import ENTITY_RULES, RELATION_CUES, STANDARD_NAMES
+from loomgraph.lexicon import ENTITY_RULES, PLAIN_RELATIONS, RELATION_CUES, STANDARD_NAMES
+from loomgraph.operators.hooks import answered
+from loomgraph.session import cut
 
 
 def standard_name(raw: Column, kind: Column) -> Column:
@@ -60,9 +59,11 @@ def mention_array(text: Column, rules=ENTITY_RULES) -> Column:
     )
 
 
-def extract_entities(chunks: DataFrame, rules=ENTITY_RULES) -> DataFrame:
-    """Mentions of (chunk_id, document_id, text): pos, id, name, type, description, aliases,
-    metadata. Null texts have none; chunks delivered again give theirs again."""
+MENTION = "array<struct<name:string,type:string,description:string,aliases:array<string>>>"
+RELATION = "array<struct<source:string,target:string,type:string,description:string,sentence:string,confidence:double>>"
+
+
+def _by_rules(chunks: DataFrame, rules) -> DataFrame:
     rows = chunks.where("text is not null").select("chunk_id", "document_id", "text", F.posexplode(mention_array(F.col("text"), rules)).alias("pos", "m"))
     raw, name = F.col("m.raw"), F.col("m.name")
     return rows.select(
@@ -78,92 +79,112 @@ def extract_entities(chunks: DataFrame, rules=ENTITY_RULES) -> DataFrame:
     )
 
 
-class RelationRules:
-    """Relations of one text, given the names in it."""
-
-    def __init__(self, cues=RELATION_CUES) -> None:
-        self.cues = [(re.compile(p, re.IGNORECASE), kind, text) for p, kind, text in cues]
-        self.patterns: dict[str, re.Pattern] = {}
-
-    def spans(self, sentence: str, names: list[str]) -> list[tuple[int, int, str]]:
-        """Non-overlapping hits from left to right, the longest first at each place."""
-        hits = []
-        for order, name in enumerate(names):
-            pattern = self.patterns.get(name)
-            if pattern is None:
-                pattern = self.patterns[name] = re.compile(rf"(?<![a-zA-Z0-9]){re.escape(name)}(?![a-zA-Z0-9])", re.IGNORECASE)
-            hits += [(m.start(), m.start() - m.end(), order, name) for m in pattern.finditer(sentence)]
-        kept: list[tuple[int, int, str]] = []
-        for start, negative, _, name in sorted(hits, key=lambda h: h[:3]):
-            if not kept or start >= kept[-1][1]:
-                kept.append((start, start - negative, name))
-        return kept
-
-    def between(self, text: str) -> tuple[str, str] | None:
-        return next(((kind, told) for p, kind, told in self.cues if p.search(text)), None)
-
-    def relation(self, sentence: str, spans: list, i: int, j: int) -> tuple[str, str] | None:
-        """The relation of two spans, or none: a span between them with a cue of its own rules
-        it out; without a cue only neighbours are related."""
-        source, target = spans[i], spans[j]
-        if source[2].lower() == target[2].lower():
-            return None
-        if any(self.between(sentence[spans[k][1] : target[0]]) for k in range(i + 1, j)):
-            return None
-        told = self.between(sentence[source[1] : target[0]])
-        if told or j > i + 1:
-            return told
-        low = source[2].lower()
-        if "customer" in low or "corp" in low:
-            return "USES", "Customer utilizes target solution"
-        if "version" in target[2].lower():
-            return "INTRODUCED_IN", "Associated with software release"
-        return "RELATED_TO", "Relates to context in chunk"
-
-    def of(self, text: str, names: list[str]):
-        """(source, type, target, description, sentence) in order, each triple once."""
-        seen = set()
-        for piece in re.split(r"(?<=[.!?])\s+", text):
-            sentence = piece.strip()
-            spans = self.spans(sentence, names) if sentence else []
-            for i in range(len(spans)):
-                for j in range(i + 1, len(spans)):
-                    found = self.relation(sentence, spans, i, j)
-                    if not found:
-                        continue
-                    triple = (spans[i][2].lower(), spans[j][2].lower(), found[0])
-                    if triple not in seen:
-                        seen.add(triple)
-                        yield spans[i][2], found[0], spans[j][2], found[1], sentence
-
-
-def extract_relations(chunks: DataFrame, rules=ENTITY_RULES, cues=RELATION_CUES, names: Column | None = None) -> DataFrame:
+def extract_entities(chunks: DataFrame, rules=ENTITY_RULES, model=None) -> DataFrame:
+    """Mentions of (chunk_id, document_id, text): pos, id, name, type, description, aliases,
+    metadata. Null texts have none; chunks delivered again give theirs again.
+
+    model: gives the mentions of a list of {chunk_id, text} as lists of {name, type, description,
+    aliases}; chunks that it gives None for, or fails on, go by the rules (see ``hooks``).
+    """
+    if model is None:
+        return _by_rules(chunks, rules)
+    rows = answered(chunks.where("text is not null").select("chunk_id", "document_id", "text"), ["chunk_id", "text"], model, "told", MENTION)
+    # The model is asked once.
+    rows = cut(rows)
+    named = rows.where("told is not null").select("chunk_id", "document_id", F.posexplode("told").alias("pos", "m")).where("m.name is not null")
+    kind = F.upper(F.coalesce("m.type", F.lit("OTHER")))
+    own = named.select(
+        "chunk_id",
+        "document_id",
+        "pos",
+        entity_id(F.col("m.name"), kind).alias("id"),
+        F.col("m.name").alias("name"),
+        kind.alias("type"),
+        F.col("m.description").alias("description"),
+        F.coalesce("m.aliases", F.array().cast("array<string>")).alias("aliases"),
+        F.create_map(F.lit("source_chunk_id"), F.col("chunk_id"), F.lit("document_id"), F.col("document_id")).alias("metadata"),
+    )
+    return own.unionByName(_by_rules(rows.where("told is null"), rules))
+
+
+def _name_pattern(names: Column) -> Column:
+    """Names as one regex, longest first, so that the longest hit at each place is found."""
+    ranked = F.array_sort(F.array_distinct(names), lambda a, b: F.length(b) - F.length(a))
+    each = F.transform(ranked, lambda n: F.regexp_replace(n, r"([^\p{L}\p{N}\s_])", r"\\$1"))
+    return F.concat(F.lit("(?iu)(?<![a-zA-Z0-9])(?:"), F.array_join(each, "|"), F.lit(")(?![a-zA-Z0-9])"))
+
+
+def _cue(text: Column, cues) -> Column:
+    """Type and description of the first cue in a text, or null."""
+    out = F.lit(None).cast("struct<type:string,description:string>")
+    for pattern, kind, told in reversed(cues):
+        out = F.when(text.rlike("(?iU)" + pattern), F.struct(F.lit(kind).alias("type"), F.lit(told).alias("description"))).otherwise(out)
+    return out
+
+
+def _plain(source: Column, target: Column) -> Column:
+    """The relation of two neighbours without a cue, by their names."""
+    side = {"source": F.lower(source), "target": F.lower(target)}
+    out = None
+    for where, words, kind, told in reversed(PLAIN_RELATIONS):
+        own = F.struct(F.lit(kind).alias("type"), F.lit(told).alias("description"))
+        out = own if out is None else F.when(side[where].rlike("|".join(words)), own).otherwise(out)
+    return out
+
+
+def extract_relations(chunks: DataFrame, rules=ENTITY_RULES, cues=RELATION_CUES, names: Column | None = None, model=None) -> DataFrame:
     """Relations of (chunk_id, document_id, text): pos, id, source_id, target_id, type,
     description, weight, evidence, metadata.
 
     names: the entity names of a chunk as array<string>, in order; by default those that the
-    rules find. Chunks with fewer than two names and null texts have no relations.
+    rules find. Of two names in a sentence the first is the source. A cue between them tells the
+    relation; a name between them with a cue of its own rules it out; without any cue only
+    neighbours are related. Each (source, target, type) counts once for a chunk, where it comes
+    first. Chunks with fewer than two names and null texts have no relations; chunks delivered again
+    count once.
+
+    model: gives the relations of a list of {chunk_id, text, names} as lists of {source, target, type,
+    description, sentence, confidence}; chunks that it gives None for, or fails on, go by the rules.
     """
     named = names if names is not None else F.transform(mention_array(F.col("text"), rules), lambda m: m["name"])
-    rows = chunks.where("text is not null").select("chunk_id", "document_id", "text", named.alias("names")).where(F.size("names") >= 2)
-    shape = "chunk_id string, document_id string, pos int, source string, type string, target string, description string, sentence string"
-
-    def run(batches):
-        found = RelationRules(cues)
-        for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in ("chunk_id", "document_id", "text", "names")}
-            out = [
-                (chunk, doc, pos, *relation)
-                for chunk, doc, text, known in zip(c["chunk_id"], c["document_id"], c["text"], c["names"])
-                for pos, relation in enumerate(found.of(text, known))
-            ]
-            cols = list(zip(*out)) if out else [[] for _ in range(8)]
-            kinds = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], [x.split()[0] for x in shape.split(", ")])
-
-    rel = rows.mapInArrow(run, shape)
+    rows = chunks.where("text is not null").select("chunk_id", "document_id", "text", named.alias("names"))
+    told = None
+    if model is not None:
+        rows = cut(answered(rows, ["chunk_id", "text", "names"], model, "told", RELATION))
+        told = rows.where("told is not null").dropDuplicates(["chunk_id"]).select("chunk_id", "document_id", F.posexplode("told").alias("pos", "r")).where("r.source is not null and r.target is not null")
+        told = told.select("chunk_id", "document_id", "pos", "r.source", "r.target", F.upper(F.coalesce("r.type", F.lit("RELATED_TO"))).alias("type"), "r.description", "r.sentence", F.coalesce("r.confidence", F.lit(0.9)).alias("confidence"))
+        rows = rows.where("told is null")
+    rows = rows.where(F.size("names") >= 2)
+    parts = rows.select("chunk_id", "document_id", "names", _name_pattern(F.col("names")).alias("pattern"), F.posexplode(F.split("text", SENTENCE_GAP)).alias("nth", "piece"))
+    parts = parts.withColumn("sentence", strip(F.col("piece")))
+    cut_up = parts.select("chunk_id", "document_id", "names", "nth", "sentence", F.regexp_extract_all("sentence", F.col("pattern"), F.lit(0)).alias("hits"), F.split("sentence", F.col("pattern"), -1).alias("gaps"))
+    # Hits under the name they were given in the chunk.
+    spelled = F.transform("hits", lambda h: F.coalesce(F.try_element_at(F.filter("names", lambda n: F.lower(n) == F.lower(h)), F.lit(1)), h))
+    several = cut_up.where(F.size("hits") >= 2).withColumn("said", spelled)
+    n = F.size("hits")
+    pairs = several.select("*", F.explode(F.sequence(F.lit(1), n - 1)).alias("i")).select("*", F.explode(F.sequence(F.col("i") + 1, n)).alias("j"))
+
+    def between(k: Column) -> Column:
+        """The text from hit k to hit j."""
+        inner = F.zip_with(F.slice("gaps", k + 1, F.col("j") - k), F.slice("hits", k + 1, F.col("j") - k), lambda g, h: F.concat(g, h))
+        # The last piece ends with hit j itself.
+        return F.concat(F.array_join(F.slice(inner, 1, F.size(inner) - 1), ""), F.element_at(F.slice("gaps", k + 1, F.col("j") - k), -1))
+
+    any_cue = "(?iU)" + "|".join(p for p, _, _ in cues)
+    source, target = F.element_at("said", F.col("i")), F.element_at("said", F.col("j"))
+    pairs = pairs.withColumn("source", source).withColumn("target", target).where(F.lower("source") != F.lower("target"))
+    own_cue = F.exists(F.filter(F.sequence(F.col("i"), F.col("j")), lambda k: (k > F.col("i")) & (k < F.col("j"))), lambda k: between(k).rlike(any_cue))
+    pairs = pairs.where(~own_cue).withColumn("text", between(F.col("i")))
+    pairs = pairs.withColumn("r", F.coalesce(_cue(F.col("text"), cues), F.when(F.col("j") == F.col("i") + 1, _plain(F.col("source"), F.col("target"))))).where("r is not null")
+    found = pairs.select("chunk_id", "document_id", "nth", "i", "j", "source", "target", "r.type", "r.description", "sentence").repartition("chunk_id")
+    place = F.struct("nth", "i", "j")
+    first = Window.partitionBy("chunk_id", F.lower("source"), F.lower("target"), "type").orderBy(place)
+    once = found.withColumn("again", F.row_number().over(first)).where("again = 1")
+    rel = once.withColumn("pos", F.row_number().over(Window.partitionBy("chunk_id").orderBy(place)) - 1)
+    rel = rel.select("chunk_id", "document_id", "pos", "source", "target", "type", "description", "sentence", F.lit(0.9).alias("confidence"))
+    rel = rel if told is None else rel.unionByName(told)
     s, t = slug(F.col("source")), slug(F.col("target"))
-    evidence = F.struct("chunk_id", "document_id", F.col("sentence").alias("text"), F.lit(0.9).alias("confidence"))
+    evidence = F.struct("chunk_id", "document_id", F.col("sentence").alias("text"), "confidence")
     return rel.select(
         "chunk_id",
         "pos",

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.skew import salted_join
 from loomgraph.session import cut
 from loomgraph.settings import Settings, get_settings
 
+#: Keys of fewer rows are not salted.
+HOT_ROWS = 100_000
+
 
 def reciprocal_rank_fusion(lists: dict[str, DataFrame], keys: list[str], settings: Settings | None = None) -> DataFrame:
     """Fused score of results: keys, one ``{name}_rank`` for each list, rrf_score.
@@ -29,17 +33,24 @@ def reciprocal_rank_fusion(lists: dict[str, DataFrame], keys: list[str], setting
 
 
 def communities(graph_edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """Label propagation: canonical_id, community_id after ``rounds`` rounds.
+    """Label propagation: canonical_id, community_id after ``rounds`` rounds, or fewer if a round
+    changes no label.
 
     Every entity starts as its own community and takes the most common one among its
-    neighbours, weighted by edges (ties: the least). Labels are counted by (entity, label), so a
-    hub's neighbours are reduced before they are shuffled.
+    neighbours, weighted by edges (ties: the least). A hub is the neighbour of many: its edges are
+    salted to meet its label. Votes are counted by (entity, label) before they are shuffled.
     """
     pairs = graph_edges.select("source_id", "target_id", "weight").where("source_id <> target_id")
     both = cut(pairs.select(F.col("source_id").alias("x"), F.col("target_id").alias("y"), "weight").unionByName(pairs.select(F.col("target_id").alias("x"), F.col("source_id").alias("y"), "weight")))
+    large = both.count() >= HOT_ROWS
     labels = both.select(F.col("x").alias("canonical_id")).distinct().withColumn("community_id", F.col("canonical_id"))
     for _ in range(rounds):
-        votes = both.join(labels, F.col("y") == F.col("canonical_id")).groupBy("x", "community_id").agg(F.round(F.sum(F.coalesce("weight", F.lit(1.0))), 6).alias("w"))
+        met = salted_join(both, labels, [("y", "canonical_id")], "inner", hot_rows=HOT_ROWS) if large else both.join(labels, F.col("y") == F.col("canonical_id"))
+        votes = met.groupBy("x", "community_id").agg(F.round(F.sum(F.coalesce("weight", F.lit(1.0))), 6).alias("w"))
         top = votes.groupBy("x").agg(F.min(F.struct(F.negative("w"), "community_id")).alias("m"))
-        labels = cut(top.select(F.col("x").alias("canonical_id"), F.col("m.community_id").alias("community_id")))
+        new = cut(top.select(F.col("x").alias("canonical_id"), F.col("m.community_id").alias("community_id")))
+        same = new.join(labels.withColumnRenamed("community_id", "old"), "canonical_id").where("community_id <> old").isEmpty()
+        labels = new
+        if same:
+            break
     return labels

@@ -6,11 +6,11 @@ once, when the graph is built, so that reading it takes plain joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import slug, title_words
-from loomgraph.operators.resolution import merge_evidence
+from loomgraph.functions.text import title_words, token_runs, tokens
+from loomgraph.operators.resolution import merge_evidence, small
 from loomgraph.schema import STRUCTURAL
 
 
@@ -18,11 +18,11 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Upsert: the last row of each key by ``order``; rows with a null key are left out.
 
     One aggregation with partial results, no window: a much-repeated key is reduced before it
-    is shuffled. Equal orders are settled by the row itself.
+    is shuffled. Equal orders are settled by a hash of the row.
     """
     rest = [c for c in df.columns if c not in keys]
-    flat = [c for c in rest if not df.schema[c].dataType.simpleString().startswith("map")]
-    picked = df.dropna(subset=keys).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, *[F.col(c).cast("string") for c in flat if c not in order])).alias("r"))
+    flat = [c for c in rest if "map<" not in df.schema[c].dataType.simpleString()]
+    picked = df.dropna(subset=keys).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*flat) if flat else F.lit(0))).alias("r"))
     return picked.select(*keys, "r.*").select(*df.columns)
 
 
@@ -119,42 +119,25 @@ def stats(entities: DataFrame, documents: DataFrame, chunks: DataFrame, graph_ed
     return one
 
 
-def phrase_key(col: Column) -> Column:
-    """The alphanumeric words of a phrase, one blank apart."""
-    return slug(col, " ")
-
-
 def link_mentions(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """(chunk_id, canonical_id): chunks whose text holds a name or alias of an entity between
     non-alphanumeric characters, in any case.
 
-    Word runs of texts meet word runs of names by equality (no pairwise matching); each
+    Token runs of texts meet token runs of names by equality (no pairwise matching); each
     meeting is then checked on the characters. Names without a letter or digit match nothing;
     null texts neither.
     """
     names = F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    phrases = entities.select("canonical_id", F.explode(names).alias("name")).where("name <> ''").withColumn("words", phrase_key(F.col("name"))).where("words <> ''").distinct()
-    sizes = phrases.select(F.size(F.split("words", " ")).alias("n")).distinct()
-    # Bounded by the words of the longest name.
-    lengths = [r["n"] for r in sizes.collect()]
-    # A column of its own: inside a lambda it would be computed for each element.
-    tokens = F.col("tokens")
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), _runner(tokens, n)) for n in sorted(lengths)]
-    if not runs:
-        return chunks.select("chunk_id").join(entities.select("canonical_id").limit(0), how="inner")
-    texts = chunks.where("text is not null").select("chunk_id", "text", F.split(phrase_key(F.col("text")), " ").alias("tokens"))
-    spoken = texts.select("chunk_id", "text", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("run"))
-    met = spoken.join(phrases, F.col("run") == F.col("words"))
-    low, name = F.lower("text"), F.lower(F.col("name"))
-    pattern = F.concat(F.lit("(?<![a-zA-Z0-9])"), F.regexp_replace(name, r"([^a-z0-9_\s])", r"\\$1"), F.lit("(?![a-zA-Z0-9])"))
-    plain = name == F.col("words")
-    # A name that is its own word run needs no further check where runs are parted by one blank.
-    sure = plain & F.contains(low, name)
-    return met.where(F.when(sure & ~F.contains(name, F.lit(" ")), F.lit(True)).otherwise(F.regexp_like(low, pattern))).select("chunk_id", "canonical_id").distinct()
-
-
-def _runner(tokens: Column, n: int):
-    return lambda i: F.array_join(F.slice(tokens, i, n), " ")
+    phrases = entities.select("canonical_id", F.explode(names).alias("name")).where("name <> ''").withColumn("run", F.array_join(tokens(F.col("name")), " ")).where("run <> ''").distinct()
+    # Bounded by the tokens of the longest name.
+    lengths = sorted(r["n"] for r in phrases.select(F.size(F.split("run", " ")).alias("n")).distinct().collect()) or [1]
+    texts = chunks.where("text is not null").select("chunk_id", "text", tokens(F.col("text")).alias("tokens"))
+    spoken = texts.select("chunk_id", "text", F.explode(token_runs(F.col("tokens"), lengths)).alias("run"))
+    met = spoken.join(small(phrases), "run")
+    # A name of one ASCII word that is its own run needs no further check.
+    sure = (F.lower("name") == F.col("run")) & ~F.contains("run", F.lit(" ")) & F.col("run").rlike("^[a-z0-9]+$")
+    pattern = F.concat(F.lit("(?<![a-zA-Z0-9])"), F.regexp_replace(F.lower("name"), r"([^\p{L}\p{N}\s_])", r"\\$1"), F.lit("(?![a-zA-Z0-9])"))
+    return met.where(F.when(sure, F.lit(True)).otherwise(F.regexp_like(F.lower("text"), pattern))).select("chunk_id", "canonical_id").distinct()
 
 
 def documents_of_chunks(chunks: DataFrame) -> DataFrame:

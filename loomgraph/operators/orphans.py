@@ -18,13 +18,12 @@ list) are salted; the parent rows of these few keys are copied to every salt.
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import key
 from loomgraph.operators.skew import salted_join
+from loomgraph.session import cut
 
 MATCHES = ("simple", "partial", "full")
 
@@ -61,20 +60,23 @@ def orphan_references(
     )
     if lifetime:
         side = side.where(F.col("__from").isNotNull())
+    # One pass gives every reference its mask; masks that can be no orphans leave here.
+    bits = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
+    whole = (1 << len(cols)) - 1
+    if match == "simple":
+        return _absent(refs.dropna(subset=cols), side, [(c, f"__p_{i}") for i, c in enumerate(cols)], at, bool(lifetime), hot_share, salts)
+    masked = refs.withColumn("__mask", bits).where("__mask <> 0")
+    if len(cols) > 1:
+        masked = cut(masked)
+    if match == "full":
+        found = _absent(masked.where(F.col("__mask") == whole), side, [(c, f"__p_{i}") for i, c in enumerate(cols)], at, bool(lifetime), hot_share, salts)
+        return found.unionByName(masked.where(F.col("__mask") != whole)).drop("__mask")
     out = None
-    for mask in product((True, False), repeat=len(cols)):
-        own = refs
-        for c, present in zip(cols, mask):
-            own = own.where(F.col(c).isNotNull() if present else F.col(c).isNull())
-        if not any(mask) or (match == "simple" and not all(mask)):
-            continue
-        if match == "full" and not all(mask):
-            found = own
-        else:
-            used = [(c, f"__p_{i}") for i, (c, p) in enumerate(zip(cols, mask)) if p]
-            found = _absent(own, side, used, at, bool(lifetime), hot_share, salts)
+    for mask in range(1, whole + 1):
+        used = [(c, f"__p_{i}") for i, c in enumerate(cols) if mask >> i & 1]
+        found = _absent(masked.where(F.col("__mask") == mask), side, used, at, bool(lifetime), hot_share, salts)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else refs.limit(0)
+    return out.drop("__mask")
 
 
 def _absent(refs, side, used, at, timed, hot_share, salts) -> DataFrame:
@@ -148,3 +150,11 @@ def found_orphans(
 def orphan_report(found: DataFrame) -> DataFrame:
     """Orphans per table, field and period."""
     return found.groupBy("ref_table", "ref_field", "period").agg(F.count(F.lit(1)).alias("orphans"))
+
+
+def composite_orphans(citations: DataFrame, chunks: DataFrame, match: str) -> DataFrame:
+    """cit_seq of citations whose (document_id, chunk_id) names no chunk of that document under a match
+    rule. Keys are compared like keys; blank ones are null. Rows delivered again count once."""
+    refs = citations.select("cit_seq", key(F.col("document_id")).alias("doc"), key(F.col("chunk_id")).alias("chunk")).dropDuplicates(["cit_seq"])
+    parents = chunks.select(key(F.col("document_id")).alias("d"), key(F.col("chunk_id")).alias("c"))
+    return orphan_references(refs, parents, {"doc": "d", "chunk": "c"}, match).select("cit_seq")

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import slug, strip
 from loomgraph.operators.skew import salted_join
-from loomgraph.session import planned_bytes
+from loomgraph.session import cut, planned_bytes
 
 BROADCAST_BYTES = 32 << 20
+#: Up to this many endpoints (counted, two short strings each) are broadcast.
+BROADCAST_IDS = 200_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -46,17 +48,17 @@ def alias_index(lexicon: DataFrame) -> DataFrame:
     return rows.where("alias_key <> ''").groupBy("alias_key").agg(F.max_by("record", F.struct("seq", "n")).alias("record"), F.min(F.struct("seq", "n")).alias("place"))
 
 
-def _parts(text: Column) -> Column:
-    """Alphanumeric tokens and what lies between them, in order."""
-    return F.regexp_extract_all(text, F.lit("[a-zA-Z0-9]+|[^a-zA-Z0-9]+"), F.lit(0))
+#: Tokens of a name (runs of ASCII letters and digits, any other letter alone) and what lies between.
+PART = r"[a-zA-Z0-9]+|[\p{L}\p{N}&&[^\x00-\x7F]]|[^a-zA-Z0-9\p{L}\p{N}]+"
+AT_ENDS = r"^[a-zA-Z0-9\p{L}\p{N}](?s:.*[a-zA-Z0-9\p{L}\p{N}])?$"
 
 
-def _grams(parts: Column, lengths: list[int]) -> Column:
-    """All runs of so many alphanumeric tokens, as the text between their ends. ``parts``
-    should be a plain column: inside a lambda an expression is computed for each element."""
-    odd = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.coalesce(F.try_element_at(parts, i), F.lit("")).rlike("^[a-zA-Z0-9]"))
-    spans = F.flatten(F.transform(odd, lambda i: F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.array_join(F.slice(parts, i, 2 * n - 1), ""))))
-    return F.array_distinct(spans)
+def _grams(parts: Column, longest: int) -> Column:
+    """Distinct stretches of up to so many parts that begin and end with a token. ``parts`` should
+    be a plain column: inside a lambda an expression is computed for each element."""
+    at = F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)))
+    spans = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice(parts, i, n), ""))))
+    return F.array_distinct(F.filter(spans, lambda x: x.rlike(AT_ENDS)))
 
 
 def resolve_mentions(mentions: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -75,11 +77,10 @@ def resolve_mentions(mentions: DataFrame, lexicon: DataFrame) -> DataFrame:
     # Containment by equality of word runs, over the distinct names that are left.
     left = hit.where("exact is null and low is not null").select("low").distinct()
     keys = index.where(F.length("alias_key") >= 3)
-    # The numbers of words that keys have, bounded by the longest key.
-    sizes = keys.select(F.size(F.regexp_extract_all("alias_key", F.lit("[a-zA-Z0-9]+"), F.lit(0))).alias("n")).where("n > 0").distinct()
-    lengths = sorted(r["n"] for r in sizes.collect()) or [1]
-    parted = left.select("low", _parts(F.col("low")).alias("parts"))
-    runs = parted.select("low", F.explode(_grams(F.col("parts"), lengths)).alias("k2"))
+    # Bounded by the parts of the longest key.
+    longest = keys.agg(F.max(F.size(F.regexp_extract_all("alias_key", F.lit(PART), F.lit(0))))).first()[0] or 1
+    parted = left.select("low", F.regexp_extract_all("low", F.lit(PART), F.lit(0)).alias("parts"))
+    runs = parted.select("low", F.explode(_grams(F.col("parts"), longest)).alias("k2"))
     held = runs.join(small(keys), F.col("k2") == F.col("alias_key"))
     sized = held.withColumn("len", F.length("k2"))
     longest_key = sized.groupBy("low").agg(F.max("len").alias("len"))
@@ -156,21 +157,28 @@ def resolve_endpoints(relations: DataFrame, lexicon: DataFrame, entities: DataFr
 
     An endpoint is looked up as written, then as a name (without ``entity:``, underscores as
     blanks, lower case), then without its type in the lexicon; else it becomes an untyped id.
-    Hot endpoints are salted. Null endpoints stay null.
+    Few endpoints are broadcast; of more, hot ones are salted. Null endpoints stay null.
     """
-    ends = endpoint_index(lexicon, entities)
-    alias = alias_index(lexicon).select(F.col("alias_key").alias("end_key"), F.col("record.canonical_id").alias("end_id"))
+    ends = endpoint_index(lexicon, entities).select("end_key", F.lit(0).alias("table"), "end_id")
+    alias = alias_index(lexicon).select(F.col("alias_key").alias("end_key"), F.lit(1).alias("table"), F.col("record.canonical_id").alias("end_id"))
+    index = ends.unionByName(alias)
+    # Each distinct endpoint of either side is looked up once, under all its forms in order.
+    raw = F.col("raw")
+    spaced = F.lower(F.regexp_replace(F.regexp_replace(raw, "entity:", ""), "_", " "))
+    clean = F.lower(strip(raw))
+    bare = strip(F.regexp_replace(F.regexp_replace(clean, "^entity:(?:[a-z]+:)?", ""), "_", " "))
+    form = lambda key, table, rank: F.struct(key.alias("end_key"), F.lit(table).alias("table"), F.lit(rank).alias("rank"))
+    raws = relations.select(F.explode(F.array("source_id", "target_id")).alias("raw")).where("raw is not null").distinct()
+    forms = raws.select("raw", F.explode(F.array(form(raw, 0, 0), form(spaced, 0, 1), form(clean, 1, 2), form(bare, 1, 3))).alias("f")).select("raw", "f.*")
+    hit = forms.join(index, ["end_key", "table"]).groupBy("raw").agg(F.min_by("end_id", "rank").alias("hit"))
+    ids = cut(raws.join(hit, "raw", "left").select(F.col("raw").alias("raw_end"), F.coalesce("hit", _fallback(raw)).alias("new_end")))
     out = relations
     for side in ("source_id", "target_id"):
-        raw = F.col(side)
-        spaced = F.lower(F.regexp_replace(F.regexp_replace(raw, "entity:", ""), "_", " "))
-        bare = strip(F.regexp_replace(F.regexp_replace(F.lower(strip(raw)), "^entity:(?:[a-z]+:)?", ""), "_", " "))
-        ids = out.select(raw.alias("raw"), spaced.alias("spaced"), F.lower(strip(raw)).alias("clean"), bare.alias("bare")).where("raw is not null").distinct()
-        for n, (col, table) in enumerate((("raw", ends), ("spaced", ends), ("clean", alias), ("bare", alias))):
-            side_table = table.select(F.col("end_key").alias(f"k{n}"), F.col("end_id").alias(f"id{n}"))
-            ids = ids.join(side_table, F.col(col) == F.col(f"k{n}"), "left").drop(f"k{n}")
-        ids = ids.select(F.col("raw").alias("raw_end"), F.coalesce("id0", "id1", "id2", "id3", _fallback(F.col("raw"))).alias("new_end"))
-        out = salted_join(out, ids, [(side, "raw_end")], "left").withColumn(side, F.col("new_end")).drop("raw_end", "new_end")
+        if ids.count() <= BROADCAST_IDS:
+            out = out.join(F.broadcast(ids), F.col(side) == F.col("raw_end"), "left")
+        else:
+            out = salted_join(out, ids, [(side, "raw_end")], "left")
+        out = out.withColumn(side, F.col("new_end")).drop("raw_end", "new_end")
     return out
 
 

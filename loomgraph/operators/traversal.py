@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import strip
+from loomgraph.operators.resolution import small
+from loomgraph.session import cut
 
 
 def path_score(hops: Column) -> Column:
@@ -47,14 +49,15 @@ def find_paths(seeds: DataFrame, hops: DataFrame, max_hops: int = 2, max_paths:
     found, frontier = None, start
     for hop in range(1, max_hops + 1):
         nxt = frontier.join(hops, F.col("at") == F.col("hop_from")).where(~F.array_contains("entities", F.col("hop_name")) & ~F.array_contains("entities", F.col("hop_to")))
-        nxt = nxt.select(
+        # Cut, as each length is read three times: ranked, counted and extended.
+        nxt = cut(nxt.select(
             "seed",
             F.col("hop_to").alias("at"),
             F.concat("entities", F.array("hop_name")).alias("entities"),
             F.concat("relationships", F.array("hop_rel")).alias("relationships"),
             F.concat("ords", F.array("hop_ord")).alias("ords"),
             F.array_distinct(F.concat("evidence_chunk_ids", "hop_ev")).alias("evidence_chunk_ids"),
-        )
+        ))
         # No more than max_paths of one length can be among the first max_paths.
         rank = F.row_number().over(Window.partitionBy("seed").orderBy("ords"))
         kept = nxt.withColumn("rank", rank).where(F.col("rank") <= max_paths).drop("rank")
@@ -95,7 +98,9 @@ def evidence_chunks(paths: DataFrame, chunks: DataFrame, max_paths: int = 20) ->
     ids = paths.where(F.col("path_rank") <= max_paths).select("seed", "path_rank", F.posexplode("evidence_chunk_ids").alias("n", "chunk_id"))
     first = ids.groupBy("seed", "chunk_id").agg(F.min(F.struct("path_rank", "n")).alias("place"))
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("place")))
-    body = chunks.select("chunk_id", "document_id", "text").dropDuplicates(["chunk_id"])
+    # Texts that no path names are not moved.
+    wanted = small(ids.select("chunk_id").distinct())
+    body = chunks.select("chunk_id", "document_id", "text").join(wanted, "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
     return ranked.join(body, "chunk_id").select("seed", "rank", "chunk_id", "document_id", "text", F.lit(1.0).alias("score"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import WORD, strip
 from loomgraph.operators.graph import latest
+from loomgraph.session import cut
 
 #: Name space of point ids (the DNS name space of RFC 4122).
 NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
@@ -159,20 +160,117 @@ def search(point_table: DataFrame, vector: list[float], id_col: str, vector_col:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
 
 
-def search_batch(queries: DataFrame, query_id: str, query_vector: str, point_table: DataFrame, id_col: str, vector_col: str, top_k: int = 5, block: int = 64) -> DataFrame:
+#: Scores of this many (query, row) pairs are held at once in a task.
+SCORES = 4_000_000
+
+
+def check_dimension(point_table: DataFrame, vector_col: str, dimension: int) -> DataFrame:
+    """``point_table`` unchanged; a vector of another length ends the query with an error. Null vectors pass."""
+    n = F.size(vector_col)
+    wrong = F.raise_error(F.concat(F.lit(f"{vector_col}: expected {dimension} dimensions, found "), n.cast("string"))).cast("boolean")
+    return point_table.where(F.when(F.col(vector_col).isNull() | (n == dimension), F.lit(True)).otherwise(wrong))
+
+
+def _matrix(column) -> np.ndarray:
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return rows.reshape(len(column), -1)
+
+
+def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = np.sqrt((rows * rows).sum(axis=1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return rows / size[:, None], size > 0
+
+
+def search_batch(queries: DataFrame, query_id: str, query_vector: str, point_table: DataFrame, id_col: str, vector_col: str, top_k: int = 5, block: int = BROADCAST_QUERIES, filters: str | None = None) -> DataFrame:
     """query_id, rank, the id column, score: the ``top_k`` rows for each query.
 
-    Queries are gathered into blocks of ``block`` vectors and each block meets every point row
-    once. Blocks are broadcast while there are few queries (they are counted first) and joined
-    without a broadcast beyond. A partial top-k goes before the shuffle of scores.
+    Exact: queries go out in blocks of at most ``block`` vectors (so that what is broadcast is
+    bounded), and each block meets every row once, as products of matrices with a partial top-k
+    in each batch. Ties go by id; scores are compared to 12 digits. Null vectors and those of
+    length 0 find nothing and are not found.
+
+    filters: a column map<string,string> of the queries; a row must equal all its values in the
+    columns named (list columns must hold them); null values and maps filter nothing.
     """
-    numbered = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).where("v is not null").withColumn("nv", norm(F.col("v")))
-    count = numbered.count()
-    blocks = max(1, -(-count // block))
-    packed = numbered.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))).groupBy("b").agg(F.collect_list(F.struct("q", "v", "nv")).alias("qs"))
-    packed = F.broadcast(packed) if count <= BROADCAST_QUERIES else packed
-    rows = point_table.select(F.col(id_col).alias("p"), F.col(vector_col).alias("w")).where("w is not null").withColumn("nw", norm(F.col("w"))).where("nw > 0")
-    met = rows.join(packed).select("p", F.explode(F.transform("qs", lambda x: F.struct(x["q"].alias("q"), F.when(x["nv"] > 0, dot(F.col("w"), x["v"]) / (F.col("nw") * x["nv"])).alias("score")))).alias("x"))
-    scored = met.select("x.q", "p", "x.score").where("score is not null")
+    own = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"), *([F.col(filters).alias("f")] if filters else [])).where("v is not null")
+    own = cut(own.withColumn("b", F.xxhash64("q")))
+    blocks = max(1, -(-own.count() // block))
+    named = sorted({r["k"] for r in own.select(F.explode(F.map_keys("f")).alias("k")).distinct().collect()} & set(point_table.columns)) if filters else []
+    lists = {c: point_table.schema[c].dataType.simpleString().startswith("array") for c in named}
+    rows = point_table.select(F.col(id_col).alias("p"), F.col(vector_col).alias("w"), *[F.col(c).cast("array<string>" if lists[c] else "string").alias(f"f_{c}") for c in named]).where("w is not null")
+    kinds = {n: df.schema[n].dataType.simpleString() for df, n in ((own, "q"), (rows, "p"))}
+    context = queries.sparkSession.sparkContext
+    out = None
+    for number in range(blocks):
+        asked = own.where(F.pmod("b", F.lit(blocks)) == number).toArrow()
+        if not asked.num_rows:
+            continue
+        wanted = {}
+        for c in named:
+            values = [dict(x or []).get(c) for x in asked.column("f").to_pylist()]
+            codes = {x: i for i, x in enumerate(sorted({x for x in values if x is not None}))}
+            wanted[c] = (codes, np.array([codes.get(x, -1) for x in values]))
+        sent = context.broadcast((asked.column("q").combine_chunks(), _matrix(asked.column("v").combine_chunks()).astype(np.float32), wanted))
+        found = rows.mapInArrow(_best_of(sent, top_k, lists), f"q {kinds['q']}, p {kinds['p']}, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = rows.select(F.lit(None).cast(kinds["q"]).alias("q"), "p", F.lit(0.0).alias("score")).limit(0)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "p"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select(F.col("q").alias(query_id), "rank", F.col("p").alias(id_col), "score")
+    return out.withColumn("rank", rank).where(F.col("rank") <= top_k).select(F.col("q").alias(query_id), "rank", F.col("p").alias(id_col), "score")
+
+
+def _best_of(sent, top_k: int, lists: dict[str, bool]):
+    def run(batches):
+        ids, vectors, wanted = sent.value
+        asked, good = _unit(vectors.astype(np.float64))
+        step = max(1, SCORES // len(asked))
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch, sort_keys=[("p", "ascending")]))
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                own, fine = _unit(_matrix(some.column("w")))
+                score = np.round(asked @ own.T, 12)
+                score[~good] = -np.inf
+                score[:, ~fine] = -np.inf
+                for c, (codes, value) in wanted.items():
+                    said = some.column(f"f_{c}").to_pylist()
+                    holds = np.zeros((len(codes) + 1, len(said)), bool)
+                    holds[-1] = True
+                    for row, x in enumerate(said):
+                        for y in (x or []) if lists[c] else [x]:
+                            if y in codes:
+                                holds[codes[y], row] = True
+                    score[~holds[value]] = -np.inf
+                if some.num_rows > top_k:
+                    least = np.partition(score, -top_k, axis=1)[:, -top_k]
+                    q, p = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                    # Of ties at the end the lowest ids are kept.
+                    order = np.lexsort((p, -score[q, p], q))
+                    q, p = q[order], p[order]
+                    first = np.searchsorted(q, q)
+                    keep = np.arange(len(q)) - first < top_k
+                    q, p = q[keep], p[keep]
+                else:
+                    q, p = np.nonzero(score > -np.inf)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), some.column("p").take(pa.array(p)), pa.array(score[q, p])], ["q", "p", "score"])
+
+    return run
+
+
+def retrieve(questions: DataFrame, point_table: DataFrame, top_k: int = 5, dimension: int = 1536, id_col: str = "chunk_id", vector_col: str = "vector") -> DataFrame:
+    """query_id, rank, the id column, score of the ``top_k`` points nearest to each question.
+
+    questions: query_id, query and, where wanted, document_id, access_tier and filters
+    (map<string,string>, which override the two). Blank and null questions find nothing, empty and
+    null filter values filter nothing. Points of another dimension are an error.
+    """
+    own = questions.withColumn("said", strip(F.coalesce("query", F.lit("")))).where("said <> ''")
+    named = [c for c in ("document_id", "access_tier") if c in questions.columns]
+    extra = F.map_entries(F.coalesce("filters", F.create_map().cast("map<string,string>"))) if "filters" in questions.columns else F.array().cast("array<struct<key:string,value:string>>")
+    plain = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in named]).cast("array<struct<key:string,value:string>>")
+    left = F.filter(plain, lambda x: ~F.exists(F.col("extra"), lambda y: y["key"] == x["key"]))
+    set_ones = F.filter(F.concat(left, "extra"), lambda x: x["value"].isNotNull() & (x["value"] != ""))
+    asked = own.withColumn("extra", extra).select("query_id", "said", F.map_from_entries(set_ones).alias("f"))
+    vec = hash_embeddings(asked, "query_id", "said", dimension).withColumnRenamed("vector", "v").join(asked.select("query_id", "f"), "query_id")
+    return search_batch(vec, "query_id", "v", check_dimension(point_table, vector_col, dimension), id_col, vector_col, top_k, filters="f")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -29,26 +30,32 @@ class Graph:
     points: DataFrame
 
 
-def ingest(docs: DataFrame, lexicon: DataFrame | None = None, settings: Settings | None = None, rules=ENTITY_RULES, cues=RELATION_CUES, extractor=None, dimension: int | None = None, store: Store | None = None) -> Graph:
+def ingest(docs: DataFrame, lexicon: DataFrame | None = None, settings: Settings | None = None, rules=ENTITY_RULES, cues=RELATION_CUES, extractor=None, entity_model=None, relation_model=None, dimension: int | None = None, store: Store | None = None) -> Graph:
     """Tables of parsed documents (see ``sources.markdown``).
 
     With a store each table is written as soon as it is made, and the next ones read it; without
     one, all tables are parts of one lazy plan, for small inputs.
 
     extractor: replaces the entity rules by a function of the chunks that gives the columns of
-    ``extraction.extract_entities``.
+    ``extraction.extract_entities``; if it raises, the rules are used. entity_model, relation_model: see
+    ``extraction``.
     """
     s = settings or get_settings()
     lex = lexicon if lexicon is not None else default_lexicon(docs.sparkSession)
     keep = store.write if store else lambda name, df: df
     docs = keep("documents", docs)
     chunks = keep("chunks", chunking.chunk_documents(docs, s))
-    found = extractor(chunks) if extractor else extraction.extract_entities(chunks, rules)
+    found = extraction.extract_entities(chunks, rules, entity_model)
+    if extractor:
+        try:
+            found = extractor(chunks)
+        except Exception as error:
+            warnings.warn(f"entity extractor failed, rules are used: {error}", stacklevel=2)
     # Mentions are ordered by document, chunk and place.
     seq = F.concat_ws("#", "document_id", "chunk_id", F.format_string("%09d", "pos"))
     mentions = keep("entity_mentions", found.withColumn("mention_seq", seq))
     entities = keep("entities", resolution.canonical_entities(mentions, lex))
-    raw = extraction.extract_relations(chunks, rules, cues)
+    raw = extraction.extract_relations(chunks, rules, cues, model=relation_model)
     raw = raw.withColumn("rel_seq", F.concat_ws("#", "chunk_id", F.format_string("%09d", "pos")))
     relationships = keep("relationships", resolution.resolve_relations(raw, lex, entities))
     edges = keep("edges", graph.edges(relationships.withColumn("rel_seq", F.col("first_seq")), accumulate=False))
@@ -76,21 +83,10 @@ def summary(g: Graph) -> DataFrame:
 
 
 def _vector_list(plans: DataFrame, g: Graph, dimension: int) -> DataFrame:
-    """(query_id, chunk_id, rank, score) of the plans' questions, within each plan's top_k.
-
-    Plans of equal filters share one search, of the points that the filters leave.
-    """
-    own = plans.select("query_id", "query", F.array_sort(F.map_entries(F.coalesce("filters", F.create_map().cast("map<string,string>")))).alias("filters"))
+    """(query_id, chunk_id, rank, score) of the plans' questions under their filters, within each
+    plan's top_k. Blank questions are asked by no plan."""
     widest = max(p[0] for p in questions.INTENT_PLAN.values())
-    best = None
-    # Bounded by the values that questions can ask for; one of no filters stands for no plans.
-    for entries in [r["filters"] for r in own.select("filters").distinct().collect()] or [[]]:
-        wanted = F.array(*[F.struct(F.lit(e["key"]).alias("key"), F.lit(e["value"]).alias("value")) for e in entries])
-        asked = own.where(F.col("filters") == wanted if entries else F.size("filters") == 0)
-        vec = vectors.hash_embeddings(asked.select("query_id", "query"), "query_id", "query", dimension).withColumnRenamed("vector", "v")
-        left = vectors.filtered(g.points, {e["key"]: e["value"] for e in entries})
-        found = vectors.search_batch(vec, "query_id", "v", left, "chunk_id", "vector", widest)
-        best = found if best is None else best.unionByName(found)
+    best = vectors.retrieve(plans.select("query_id", "query", "filters"), g.points, widest, dimension)
     return best.join(plans.select("query_id", "top_k"), "query_id").where(F.col("rank") <= F.col("top_k")).drop("top_k")
 
 

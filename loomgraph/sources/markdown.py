@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import LINE_END, strip, title_words
+from loomgraph.session import cut
 
 FRONT = r"(?s)^---[\s\p{Z}]*\n(.*?)\n---[\s\p{Z}]*\n"
 HEADING = r"^(#{1,6})[\s\p{Z}]+(.+)$"
@@ -123,7 +124,16 @@ def parse_documents(raw: DataFrame) -> DataFrame:
 
 
 def load_directory(spark: SparkSession, directory: str, pattern: str = "*.md") -> DataFrame:
-    """Parsed documents with ``doc_seq``, their rank by path (a window over paths only)."""
+    """Parsed documents with ``doc_seq``, their rank by path.
+
+    Paths alone are sorted, in ranges: a row's rank is its place in its range after the rows of
+    the ranges before (one count for each range).
+    """
     docs = parse_documents(read_raw(spark, directory, pattern))
-    order = docs.select("file_path").withColumn("doc_seq", F.row_number().over(Window.orderBy("file_path")))
+    ranged = cut(read_raw(spark, directory, pattern).select("file_path").repartitionByRange("file_path").withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("file_path"))
+    order = ranged.withColumn("place", place).join(F.broadcast(ahead), "range").select("file_path", (F.col("place") + F.col("ahead")).cast("int").alias("doc_seq"))
     return docs.join(order, "file_path")
