@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph import oracles
 from loomgraph.functions import text
 from loomgraph.functions.text import quote
 from loomgraph.operators import chunking, extraction, fusion, graph, orphans, questions, resolution, traversal, vectors
+from loomgraph.plans import pipeline
+from loomgraph.session import Scratch, cut, table
 from loomgraph.sources import markdown
-from loomgraph.session import table
+from loomgraph.sources.store import Store
+from loomgraph.streaming.ingest import chunk_stream, mentions_per_window, upsert_stream
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +30,14 @@ def p1_found(spark, d):
     )
 
 
+def _composite(match):
+    return lambda spark, d: orphans.composite_orphans(table(spark, d, "citations"), table(spark, d, "chunks"), match)
+
+
+for _match in orphans.MATCHES:
+    QUERIES[f"p1_composite_{_match}"] = _composite(_match)
+
+
 @query
 def p1_report(spark, d):
     return orphans.orphan_report(p1_found(spark, d))
@@ -140,7 +152,7 @@ def entity_lookup(spark, d):
 @query
 def chunk_lookup(spark, d):
     wanted = table(spark, d, "citations").select("chunk_id").dropna().distinct()
-    return table(spark, d, "chunks").dropDuplicates(["chunk_id"]).join(wanted, "chunk_id", "left_semi").select("chunk_id", "document_id", F.length("text").alias("chars"))
+    return table(spark, d, "chunks").select("chunk_id", "document_id", F.length("text").alias("chars")).join(wanted, "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
 
 
 @query
@@ -181,7 +193,8 @@ def graph_evidence_chunks(spark, d):
 
 @query
 def mentions_link(spark, d):
-    return graph.link_mentions(table(spark, d, "chunks").dropDuplicates(["chunk_id"]), table(spark, d, "lexicon"))
+    # Links are made distinct by the operator.
+    return graph.link_mentions(table(spark, d, "chunks"), table(spark, d, "lexicon"))
 
 
 def _weights_sql(weight: str) -> str:
@@ -317,20 +330,23 @@ def _alternation(names):
     return "|".join(quote(n) for n in names)
 
 
-def _lexicon_rules(spark, d):
+def _lexicon_rules(spark, d, aliases=True):
     """Extraction rules from the curated entities (a fixed table of 40 rows)."""
-    rows = table(spark, d, "lexicon").select("type", "canonical_name").orderBy("canonical_id").limit(1001).collect()
+    rows = table(spark, d, "lexicon").select("type", "canonical_name", "aliases").orderBy("canonical_id").limit(1001).collect()
     if len(rows) > 1000:
         raise ValueError("more than 1,000 curated entities; use link_mentions instead of literal patterns")
-    kinds = list(dict.fromkeys(r["type"] for r in rows))
-    return tuple((rf"\b(?:{_alternation([r['canonical_name'] for r in rows if r['type'] == k])})\b", k, "curated entity") for k in kinds)
+    names: dict[str, set] = {}
+    for r in rows:
+        names.setdefault(r["type"], set()).update(n for n in [r["canonical_name"], *((r["aliases"] or []) if aliases else [])] if n and n.strip())
+    return tuple((rf"\b(?:{_alternation(sorted(ns, key=lambda n: (-len(n), n)))})\b", k, "curated entity") for k, ns in names.items())
 
 
 @query
 def text_word_stats(spark, d):
-    c = table(spark, d, "chunks").where("text is not null").dropDuplicates(["chunk_id"])
+    c = table(spark, d, "chunks").where("text is not null")
     stats = chunking.enriched(F.col("text"))
-    return c.select("chunk_id", *[stats[k].alias(k) for k in ("char_count", "word_count", "estimated_tokens")])
+    # Numbers are made distinct, not texts.
+    return c.select("chunk_id", *[stats[k].alias(k) for k in ("char_count", "word_count", "estimated_tokens")]).dropDuplicates(["chunk_id"])
 
 
 @query
@@ -347,9 +363,9 @@ def access_tier_norm(spark, d):
 
 @query
 def entity_hints(spark, d):
-    patterns = tuple(r[0] for r in _lexicon_rules(spark, d))
-    c = table(spark, d, "chunks").where("text is not null").dropDuplicates(["chunk_id"])
-    return c.select("chunk_id", F.array_join(chunking.entity_hints(F.col("text"), patterns), "|").alias("hints"))
+    patterns = tuple(r[0] for r in _lexicon_rules(spark, d, aliases=False))
+    c = table(spark, d, "chunks").where("text is not null")
+    return c.select("chunk_id", F.array_join(chunking.entity_hints(F.col("text"), patterns), "|").alias("hints")).dropDuplicates(["chunk_id"])
 
 
 def _documents(spark, d):
@@ -385,14 +401,27 @@ def frontmatter_parse(spark, d):
 
 @query
 def entity_mentions_extracted(spark, d):
-    c = table(spark, d, "chunks").dropDuplicates(["chunk_id"])
-    return extraction.extract_entities(c, _lexicon_rules(spark, d)).select("chunk_id", "pos", "id", "name", "type", "description")
+    found = extraction.extract_entities(table(spark, d, "chunks"), _lexicon_rules(spark, d))
+    return found.select("chunk_id", "pos", "id", "name", "type", "description").dropDuplicates(["chunk_id", "pos"])
 
 
 @query
 def relation_mentions_extracted(spark, d):
-    c = table(spark, d, "chunks").dropDuplicates(["chunk_id"])
-    return extraction.extract_relations(c, _lexicon_rules(spark, d)).select("chunk_id", "pos", "id", "type", F.col("evidence")[0]["text"].alias("sentence"))
+    return extraction.extract_relations(table(spark, d, "chunks"), _lexicon_rules(spark, d)).select("chunk_id", "pos", "id", "type", F.col("evidence")[0]["text"].alias("sentence"))
+
+
+@query
+def relations_of_facts(spark, d):
+    """Relations in texts that say the facts of a query, three to a sentence, under every cue."""
+    f = table(spark, d, "graph_facts").where("query_id is not null").dropDuplicates(["fact_seq"])
+    link = F.element_at(F.array(*[F.lit(x) for x in oracles.LINKS]), (F.col("fact_seq") % len(oracles.LINKS) + 1).cast("int"))
+    told = F.concat(F.coalesce("source_name", F.lit("it")), F.lit(" "), link, F.lit(" "), F.coalesce("target_name", F.lit("it")))
+    # Bounded by the facts of a query.
+    said = f.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("fact_rank", "fact_seq", told.alias("told"), "source_name", "target_name"))).alias("fs"))
+    pieces = F.transform("fs", lambda x, i: F.concat(x["told"], F.when(i % 3 == 2, ". ").otherwise(" and ")))
+    names = F.array_distinct(F.filter(F.flatten(F.transform("fs", lambda x: F.array(x["source_name"], x["target_name"]))), lambda n: text.strip(n) != ""))
+    c = said.select(F.col("query_id").alias("chunk_id"), F.lit("").alias("document_id"), F.array_join(pieces, "").alias("text"), names.alias("names"))
+    return extraction.extract_relations(c, names=F.col("names")).select("chunk_id", "pos", "id", "type", F.col("evidence")[0]["text"].alias("sentence"))
 
 
 # ---- vectors -------------------------------------------------------------------------------
@@ -442,22 +471,41 @@ def point_uuid5(spark, d):
     return table(spark, d, "chunks").select("chunk_id").distinct().select("chunk_id", vectors.point_id(F.col("chunk_id")).alias("point_id"))
 
 
+def _points(spark, d):
+    """Points of all chunks, with vectors of the production dimension."""
+    c = table(spark, d, "chunks").dropDuplicates(["chunk_id"])
+    return vectors.points(c, vectors.hash_embeddings(c.select("chunk_id", "text"), "chunk_id", "text"))
+
+
+def _asked(spark, d):
+    """The titles of a twentieth of the documents as questions."""
+    return table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"), "department", "access_tier")
+
+
 @query
 def semantic_search(spark, d):
-    """The five chunks nearest to each of three questions, by hash embeddings."""
-    c = table(spark, d, "chunks").dropDuplicates(["chunk_id"])
-    q = spark.createDataFrame([(0, "Which patch level was escalated?"), (1, "Who renewed the licence grant?"), (2, "")], "query_id int, query string")
-    w = vectors.hash_embeddings(c.select("chunk_id", "text"), "chunk_id", "text", 256)
-    v = vectors.hash_embeddings(q, "query_id", "query", 256).withColumnRenamed("vector", "v")
-    return vectors.search_batch(v, "query_id", "v", w, "chunk_id", "vector", 5).select("query_id", "rank", "chunk_id", F.round("score", 5).alias("score"))
+    """The five chunks nearest to the title of each document whose id is divisible by 20."""
+    out = vectors.retrieve(_asked(spark, d).select("query_id", "query"), _points(spark, d))
+    return out.select("query_id", "rank", "chunk_id", F.round("score", 5).alias("score"))
+
+
+@query
+def semantic_search_filtered(spark, d):
+    """The same within the tier and department of the document, where these are known."""
+    q = _asked(spark, d)
+    extra = F.create_map(F.lit("department"), F.col("department"))
+    out = vectors.retrieve(q.select("query_id", "query", chunking.access_tier(F.col("access_tier")).alias("access_tier"), extra.alias("filters")), _points(spark, d))
+    return out.select("query_id", "rank", "chunk_id", F.round("score", 5).alias("score"))
 
 
 @query
 def vector_points(spark, d):
-    """Payloads of the points of all chunks."""
-    c = table(spark, d, "chunks").dropDuplicates(["chunk_id"])
-    unit = c.select("chunk_id", F.array(F.lit(1.0)).alias("vector"))
-    return vectors.points(c, unit).drop("vector", "text", "entity_hints")
+    """Payloads of the points of all chunks, and length and norm of their vectors."""
+    p = vectors.check_dimension(_points(spark, d), "vector", 1536)
+    return p.select(
+        "point_id", "chunk_id", "document_id", F.md5("text").alias("text_md5"), "index", "title", "department", "version", "section_title", "section_path", "access_tier",
+        F.array_join("entity_hints", "|").alias("hints"), F.size("vector").alias("dimension"), F.round(vectors.norm(F.col("vector")), 4).alias("norm"),
+    )
 
 
 @query
@@ -483,9 +531,20 @@ def _questions(spark, d):
 
 @query
 def classify_intents(spark, d):
-    q = _questions(spark, d)
-    n = F.size(F.filter(F.array(F.col("query").contains("Gateway"), F.col("query").contains("Ledger")), lambda x: x))
-    return q.select("query_id", "query", n.alias("entities"), questions.intent(F.col("query"), n).alias("intent"), questions.strategy(questions.intent(F.col("query"), n), n).alias("strategy"))
+    linked = questions.link_entities(_questions(spark, d), questions.phrase_table(table(spark, d, "lexicon")))
+    n = F.size("linked")
+    own = questions.intent(F.col("query"), n)
+    return linked.select("query_id", "query", n.alias("entities"), own.alias("intent"), questions.strategy(own, n).alias("strategy"))
+
+
+@query
+def entity_knowledge(spark, d):
+    """Lookup of names and ids among the lexicon, the standard entities and those of the graph."""
+    stored = graph.latest(table(spark, d, "entities").drop("metadata"), ["canonical_id"], ["ingested_at"])
+    base = questions.knowledge_base(table(spark, d, "lexicon"), stored)
+    asked = table(spark, d, "graph_facts").select(F.col("source_name").alias("identifier"))
+    asked = asked.unionByName(table(spark, d, "lexicon").select(F.upper("canonical_id").alias("identifier"))).unionByName(table(spark, d, "entities").select(F.col("canonical_id").alias("identifier")))
+    return questions.canonical_lookup(asked, base)
 
 
 @query
@@ -503,6 +562,55 @@ def plan_questions(spark, d):
     )
 
 
+# ---- store, stream and pipeline ------------------------------------------------------------
+
+
+def _own_store(spark):
+    """A store in a folder of its own under the shared checkpoint folder."""
+    return Store(spark, Scratch(spark).root)
+
+
+@query
+def store_upsert(spark, d):
+    """Documents after they were delivered in three batches, each key once; the store is cleared."""
+    docs = table(spark, d, "loaded_documents").drop("metadata")
+    store = _own_store(spark)
+    for n in range(3):
+        store.upsert("documents", docs.where(F.col("doc_seq") % 3 == n), ["document_id"], ["ingested_at", "doc_seq"])
+    store.assert_unique("documents", ["document_id"])
+    out = cut(store.read("documents").select("document_id", "doc_seq", "title", "version", "ingested_at"))
+    store.clear()
+    return out
+
+
+@query
+def stream_upsert(spark, d):
+    """Chunks in their last state, upserted from a file stream that is run to its end."""
+    schema = table(spark, d, "chunks").select("chunk_id", "document_id", "ingested_at", "deleted_at").schema
+    store = _own_store(spark)
+    stream = chunk_stream(spark, f"{d}/chunk[s].parquet", schema)
+    upsert_stream(stream, store, "chunks", ["chunk_id"], ["ingested_at"], f"{store.root}/checkpoint").awaitTermination()
+    out = cut(store.read("chunks").select("chunk_id", "document_id", "ingested_at"))
+    store.clear()
+    return out
+
+
+@query
+def chunks_per_day(spark, d):
+    return mentions_per_window(table(spark, d, "chunks").select("ingested_at"), "ingested_at")
+
+
+@query
+def pipeline_summary(spark, d):
+    """An ingest of all documents: what was stored of documents, chunks and points."""
+    store = _own_store(spark)
+    lex = table(spark, d, "lexicon")
+    g = pipeline.ingest(_documents(spark, d), lex, rules=_lexicon_rules(spark, d), store=store)
+    out = cut(pipeline.summary(g).select("documents_count", "chunks_count", "points_count"))
+    store.clear()
+    return out
+
+
 # ---- extensions ----------------------------------------------------------------------------
 
 
@@ -631,21 +739,42 @@ ORACLE["graph_communities"] = (
     + " SELECT * FROM l2"
 )
 
-
-def _any_sql(patterns: tuple[str, ...]) -> str:
-    return "regexp_matches(low, '" + "|".join(patterns) + "')"
-
-
-ORACLE["classify_intents"] = rf"""
-WITH f AS (SELECT query_id, arg_min(struct_pack(s := source_name, t := target_name, r := relation), (fact_rank, fact_seq)) AS x FROM graph_facts GROUP BY 1),
-q AS (SELECT query_id, CASE lower(coalesce(x.r, 'compare')) WHEN 'uses' THEN 'Compare the service ' WHEN 'affects' THEN 'What is the impact of ' WHEN 'part_of' THEN 'List all products of '
-  WHEN 'supports' THEN 'Describe ' ELSE 'How much storage links ' END || coalesce(x.s, 'it') || ' and ' || coalesce(x.t, 'it') || ' on the platform?' AS query FROM f),
-n AS (SELECT *, lower(trim(query)) AS low, (contains(query, 'Gateway')::INT + contains(query, 'Ledger')::INT) AS entities FROM q),
-i AS (SELECT *, CASE WHEN low = '' THEN 'NO_ANSWER'
-  WHEN entities = 0 AND NOT list_has_any(regexp_extract_all(low, '[a-z0-9_-]+'), {list(questions.DOMAIN_WORDS)!r}) THEN 'NO_ANSWER'
-  WHEN {_any_sql(questions.COMPARISON)} OR (entities >= 2 AND regexp_matches(low, '\b(?:or|versus|difference)\b')) THEN 'COMPARISON'
-  WHEN {_any_sql(questions.GLOBAL)} THEN 'GLOBAL' WHEN {_any_sql(questions.MULTI_HOP)} THEN 'MULTI_HOP' WHEN {_any_sql(questions.FACT)} THEN 'DIRECT_FACT'
-  WHEN {_any_sql(questions.RELATIONSHIP)} OR entities >= 2 THEN 'RELATIONSHIP' WHEN {_any_sql(questions.ENTITY_LOOKUP)} OR entities = 1 THEN 'ENTITY_LOOKUP' ELSE 'DIRECT_FACT' END AS intent FROM n)
-SELECT query_id, query, entities, intent, CASE WHEN intent = 'GLOBAL' THEN 'global' WHEN intent IN ('MULTI_HOP', 'RELATIONSHIP') THEN 'multi_hop' WHEN intent IN ('COMPARISON', 'ENTITY_LOOKUP') THEN 'hybrid'
-  WHEN intent = 'DIRECT_FACT' AND entities > 0 THEN 'hybrid' ELSE 'vector' END AS strategy FROM i
-"""
+ORACLE["store_upsert"] = """SELECT document_id, doc_seq, title, version, ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ingested_at DESC, doc_seq DESC) AS n
+ FROM loaded_documents WHERE document_id IS NOT NULL) WHERE n = 1"""
+ORACLE["stream_upsert"] = "SELECT chunk_id, arg_max(document_id, ingested_at) AS document_id, max(ingested_at) AS ingested_at FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1"
+ORACLE["chunks_per_day"] = """SELECT date_trunc('day', ingested_at)::TIMESTAMP AS "start", date_trunc('day', ingested_at)::TIMESTAMP + INTERVAL 1 DAY AS "end", count(*) AS rows FROM chunks WHERE ingested_at IS NOT NULL GROUP BY ALL"""
+ORACLE["pipeline_summary"] = f"""SELECT (SELECT count(DISTINCT document_id) FROM loaded_documents) AS documents_count, count(*) AS chunks_count, count(*) AS points_count FROM ({oracles.CHUNK_DOCUMENTS})"""
+ORACLE["section_parse"] = oracles.SECTION_PARSE
+ORACLE["chunk_documents"] = oracles.CHUNK_DOCUMENTS
+ORACLE["entity_mentions_extracted"] = oracles.ENTITY_MENTIONS
+ORACLE["relation_mentions_extracted"] = oracles.RELATION_MENTIONS
+ORACLE["relations_of_facts"] = oracles.RELATIONS_OF_FACTS
+ORACLE["link_questions"] = oracles.LINK_QUESTIONS
+ORACLE["classify_intents"] = oracles.CLASSIFY_INTENTS
+ORACLE["plan_questions"] = oracles.PLAN_QUESTIONS
+ORACLE["entity_knowledge"] = oracles.ENTITY_KNOWLEDGE
+for _match in orphans.MATCHES:
+    ORACLE[f"p1_composite_{_match}"] = oracles.composite(_match)
+ORACLE["vector_points"] = rf"""
+WITH u AS ({ORACLE["point_uuid5"]}), c AS (SELECT chunk_id, any_value(document_id) AS document_id, any_value(text) AS text, any_value(index) AS index, any_value(metadata) AS m FROM chunks GROUP BY 1)
+SELECT point_id, c.chunk_id, document_id, md5(text) AS text_md5, index, coalesce(m.title, '') AS title, coalesce(m.department, 'General') AS department, coalesce(m.version, '1.0') AS version,
+ coalesce(m.section_title, '') AS section_title, coalesce(m.section_path, '') AS section_path, coalesce(m.access_tier, 'Internal') AS access_tier,
+ coalesce(array_to_string(m.entity_hints, '|'), '') AS hints, 1536::INT AS dimension, 1.0::DOUBLE AS norm FROM c JOIN u USING (chunk_id)"""
+
+
+def _search_sql(condition: str) -> str:
+    """Hash embeddings of chunks and titles in sparse form, and the five best scores."""
+    titles = HASH_SQL.replace("WITH c AS (SELECT chunk_id, any_value(text) AS text FROM chunks GROUP BY 1)", "WITH c AS (SELECT doc_id AS chunk_id, title AS text FROM asked)")
+    q = rf"""asked AS (SELECT doc_id, title, department, CASE lower(trim(access_tier)) WHEN 'public' THEN 'Public' WHEN 'confidential' THEN 'Confidential' WHEN 'restricted' THEN 'Restricted' ELSE 'Internal' END AS tier
+  FROM documents WHERE doc_id % 20 = 0 AND regexp_replace(coalesce(title, ''), '^{WS}+', '') <> '')"""
+    return rf"""WITH {q}, chunk_w AS ({HASH_SQL} SELECT chunk_id, idx, weight FROM w WHERE weight <> 0), query_w AS ({titles} SELECT chunk_id AS query_id, idx, weight FROM w WHERE weight <> 0),
+nc AS (SELECT chunk_id, sqrt(sum(weight::DOUBLE * weight)) AS n FROM chunk_w GROUP BY 1), nq AS (SELECT query_id, sqrt(sum(weight::DOUBLE * weight)) AS n FROM query_w GROUP BY 1),
+meta AS (SELECT chunk_id, coalesce(any_value(metadata).department, 'General') AS department, coalesce(any_value(metadata).access_tier, 'Internal') AS tier FROM chunks GROUP BY 1),
+dots AS (SELECT query_id, chunk_id, sum(a.weight::DOUBLE * b.weight) AS s FROM query_w a JOIN chunk_w b USING (idx) GROUP BY ALL),
+scored AS (SELECT nq.query_id, nc.chunk_id, coalesce(s, 0) / (nq.n * nc.n) AS score FROM nq JOIN asked ON asked.doc_id = nq.query_id JOIN meta ON {condition} JOIN nc ON nc.chunk_id = meta.chunk_id
+  LEFT JOIN dots ON dots.query_id = nq.query_id AND dots.chunk_id = nc.chunk_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank, chunk_id, round(score, 5) AS score FROM scored QUALIFY rank <= 5"""
+
+
+ORACLE["semantic_search"] = _search_sql("true")
+ORACLE["semantic_search_filtered"] = _search_sql("meta.tier = asked.tier AND (asked.department IS NULL OR asked.department = '' OR meta.department = asked.department)")
