@@ -364,3 +364,21 @@ def encode_corpus(
         .applyInArrow(read_off, f"id {id_type}, out {out_type}")
         .select(F.col("id").alias(id_col), F.col("out").alias("n_ids" if lengths_only else "ids"))
     )
+
+
+def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", tokenizer: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """``id_col`` and ``text`` of (``id_col``, ids): the bytes of the ids laid end to end, as UTF-8."""
+    _, byte_ids, table = merges(tokenizer, folder)
+    held: dict[int, bytes] = {int(t): bytes([b]) for b, t in enumerate(byte_ids)}
+    for a, b, c in table:
+        held[c] = held[a] + held[b]
+    sent = encoded.sparkSession.sparkContext.broadcast(held)
+    id_type = encoded.schema[id_col].dataType.simpleString()
+
+    def rows(batches):
+        get = sent.value.__getitem__
+        for batch in batches:
+            texts = [b"".join(map(get, ids or ())).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(texts, pa.string())], [id_col, "text"])
+
+    return encoded.select(id_col, "ids").mapInArrow(rows, f"`{id_col}` {id_type}, text string")

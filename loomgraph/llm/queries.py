@@ -36,6 +36,24 @@ def p6_ids(spark, d):
     return bpe.encode_corpus(table(spark, d, "documents"))
 
 
+@query
+def p5_report(spark, d):
+    """The pieces of each oversized text put together again."""
+    return splitting.pieces_report(table(spark, d, "loaded_documents"), table(spark, d, "chunks"))
+
+
+@query
+def p6_decoded(spark, d):
+    """The texts read back from their ids."""
+    return bpe.decode_corpus(p6_ids(spark, d)).select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
+
+
+ORACLE["p5_report"] = r"""
+WITH body AS (SELECT DISTINCT 'document' AS item_kind, document_id AS item_key, regexp_replace(content, '^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$', '', 'g') AS body, content AS raw, 4000 AS most FROM loaded_documents
+  UNION SELECT 'chunk', chunk_id, regexp_replace(text, '^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$', '', 'g'), text, 600 FROM chunks)
+SELECT item_kind, item_key, md5(body) AS body_md5, 0::BIGINT AS over, 0::BIGINT AS far FROM body WHERE length(body) > most
+"""
+ORACLE["p6_decoded"] = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, coalesce(length(text), 0)::INT AS chars FROM documents"
 ORACLE["p4_found"] = r"""
 WITH RECURSIVE links AS (
   SELECT lower(trim(left_id, E' \t\n\r')) AS a, lower(trim(right_id, E' \t\n\r')) AS b FROM entity_matches WHERE is_match

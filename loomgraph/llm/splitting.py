@@ -29,6 +29,8 @@ BOUNDARIES = (
     re.compile(r"[.!?…。！？][\"'”’)\]]*\s+(?=\S)"),
     re.compile(r"\s+(?=\S)"),
 )
+#: Characters of pieces that are given out at once.
+BATCH_CHARS = 32 << 20
 #: How far from the midpoint a cut may lie, as a share of the stretch.
 REACH = 0.25
 
@@ -107,21 +109,30 @@ def split_oversized(items: DataFrame, keys: list[str], text_col: str, limit: int
     kinds = [large.schema[f"k{i}"].dataType.simpleString() for i in range(len(keys))]
 
     def cut_batches(batches):
+        names = [f"k{i}" for i in range(len(keys))] + ["piece", "start", "core_start", "end", "text"]
+
+        def packed(batch, rows, cols):
+            at = pa.array(rows, pa.int64())
+            own = [batch.column(f"k{i}").take(at) for i in range(len(keys))]
+            return pa.RecordBatch.from_arrays(own + [pa.array(c, pa.int32()) for c in cols[:4]] + [pa.array(cols[4], pa.string())], names)
+
         for batch in batches:
             rows: list[int] = []
             cols: list[list] = [[], [], [], [], []]
-            for row, text in enumerate(batch.column("body").to_pylist()):
+            size = 0
+            for row in range(batch.num_rows):
+                text = batch.column("body")[row].as_py()
                 for n, (start, core, end) in enumerate(bisect_text(text, limit, overlap)):
                     rows.append(row)
                     for c, v in zip(cols, (n, start, core, end, text[start:end])):
                         c.append(v)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(f"k{i}").take(at) for i in range(len(keys))]
-                + [pa.array(c, pa.int32()) for c in cols[:4]]
-                + [pa.array(cols[4], pa.string())],
-                [f"k{i}" for i in range(len(keys))] + ["piece", "start", "core_start", "end", "text"],
-            )
+                    size += end - start
+                    # Far below the 2 GB that a batch of strings can hold.
+                    if size > BATCH_CHARS:
+                        yield packed(batch, rows, cols)
+                        rows, cols, size = [], [[], [], [], [], []], 0
+            if rows:
+                yield packed(batch, rows, cols)
 
     shape = ", ".join(f"k{i} {t}" for i, t in enumerate(kinds))
     out = large.mapInArrow(cut_batches, f"{shape}, piece int, start int, core_start int, end int, text string")
@@ -149,3 +160,22 @@ def oversized_pieces(loaded_documents: DataFrame, chunks: DataFrame) -> DataFram
 def oversized_items(loaded_documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """item_kind, item_key of each item that had to be cut."""
     return oversized_pieces(loaded_documents, chunks).where("piece = 1").select("item_kind", "item_key").distinct()
+
+
+def pieces_report(loaded_documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What must hold of the pieces of each oversized text: item_kind, item_key, body_md5 (of the cores laid
+    end to end), over (pieces above the limit) and far (overlaps above the bound)."""
+    docs = loaded_documents.select(F.lit("document").alias("item_kind"), F.col("document_id").alias("item_key"), F.col("content").alias("body"))
+    small = chunks.select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_key"), F.col("text").alias("body"))
+    out = None
+    for items, limit, overlap in ((docs, DOCUMENT_LIMIT, DOCUMENT_OVERLAP), (small, CHUNK_LIMIT, CHUNK_OVERLAP)):
+        own = items.withColumn("h", F.md5("body"))
+        pieces = split_oversized(own, ["item_kind", "item_key", "h"], "body", limit, overlap).dropDuplicates(["item_kind", "item_key", "h", "piece"])
+        core = F.substring("text", F.col("core_start") - F.col("start") + 1, F.col("end") - F.col("core_start"))
+        # Bounded by one text.
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", core.alias("core")))), lambda x: x["core"]), "")
+        one = pieces.groupBy("item_kind", "item_key", "h").agg(
+            F.md5(joined).alias("body_md5"), F.count(F.when(F.length("text") > limit, 1)).alias("over"), F.count(F.when(F.col("core_start") - F.col("start") > overlap, 1)).alias("far")
+        )
+        out = one if out is None else out.unionByName(one)
+    return out.drop("h")
