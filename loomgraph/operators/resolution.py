@@ -187,21 +187,33 @@ def relation_id(source: Column, kind: Column, target: Column) -> Column:
     return F.concat(F.lit("rel:"), part(source), F.lit(":"), F.lower(kind), F.lit(":"), part(target))
 
 
-def merge_evidence(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Evidence of groups of relations, in order: all of the first relation's, then each later
-    one whose chunk the group does not have yet. rows: keys, rel_seq, evidence."""
+def evidence_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Evidence of groups of relations, one row for each piece: keys, rel_seq, n, e, in the order of
+    (rel_seq, n): all of the first relation's, then each later one whose chunk the group does not
+    have yet. rows: keys, rel_seq, evidence.
+
+    No group is ever gathered, so an edge with a third of all evidence is spread over tasks.
+    """
     items = rows.select(*keys, "rel_seq", F.posexplode("evidence").alias("n", "e"))
-    first = rows.groupBy(*keys).agg(F.min("rel_seq").alias("first_seq"))
     lead = items.groupBy(*keys, F.col("e.chunk_id").alias("chunk")).agg(F.min(F.struct("rel_seq", "n", "e")).alias("x"))
-    # Chunks named twice by the first relation itself stay.
-    twice = items.join(first, keys).where("rel_seq = first_seq").select(*keys, F.struct("rel_seq", "n", "e").alias("x"))
-    every = lead.select(*keys, "x").unionByName(twice).distinct()
+    # Chunks named twice by the first relation itself stay. The join's key holds the relation, so
+    # it is no hot one.
+    first = rows.groupBy(*keys).agg(F.min("rel_seq").alias("rel_seq"))
+    twice = items.join(first, [*keys, "rel_seq"], "left_semi").select(*keys, F.struct("rel_seq", "n", "e").alias("x"))
+    return lead.select(*keys, "x").unionByName(twice).distinct().select(*keys, "x.rel_seq", "x.n", "x.e")
+
+
+def merge_evidence(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The same as one list for each group, as the records of the graph hold it. Lists must fit a
+    row: beyond some 100,000 pieces to an edge keep ``evidence_rows`` as a table."""
+    every = evidence_rows(rows, keys).select(*keys, F.struct("rel_seq", "n", "e").alias("x"))
     return every.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("evidence"))
 
 
-def resolve_relations(relations: DataFrame, lexicon: DataFrame, entities: DataFrame) -> DataFrame:
+def resolve_relations(relations: DataFrame, lexicon: DataFrame, entities: DataFrame, evidence: str = "list") -> DataFrame:
     """Merged relations between canonical entities: id, source_id, target_id, type, description,
-    weight, evidence, first_seq.
+    weight, evidence, first_seq. evidence "count": their number as n_evidence instead of the list, for
+    edges of any size.
 
     Self-loops are dropped. Relations of one id are merged in the order of rel_seq: description of
     the first, its weight plus 0.5 for each further one, evidence by chunk. Null endpoints or
@@ -214,14 +226,20 @@ def resolve_relations(relations: DataFrame, lexicon: DataFrame, entities: DataFr
         F.count(F.lit(1)).alias("n"),
         F.min("rel_seq").alias("first_seq"),
     )
-    out = head.join(merge_evidence(r.select("id", "rel_seq", "evidence"), ["id"]), "id", "left")
-    return out.select(
+    own = r.select("id", "rel_seq", "evidence")
+    if evidence == "count":
+        told = evidence_rows(own, ["id"]).groupBy("id").agg(F.count(F.lit(1)).alias("evidence"))
+        shown = F.coalesce("evidence", F.lit(0)).cast("int").alias("n_evidence")
+    else:
+        told = merge_evidence(own, ["id"])
+        shown = F.coalesce("evidence", F.array().cast(relations.schema["evidence"].dataType)).alias("evidence")
+    return head.join(told, "id", "left").select(
         "id",
         "h.source_id",
         "h.target_id",
         "h.type",
         "h.description",
         (F.col("h.weight") + 0.5 * (F.col("n") - 1)).alias("weight"),
-        F.coalesce("evidence", F.array().cast(relations.schema["evidence"].dataType)).alias("evidence"),
+        shown,
         "first_seq",
     )

@@ -90,9 +90,8 @@ def _neighbours(spark, d):
 
 
 def _paths(spark, d, max_hops, max_paths):
-    """Paths of every lexicon entity."""
-    lex = table(spark, d, "lexicon")
-    seeds = lex.select(F.col("canonical_id").alias("seed"), "canonical_id", "canonical_name")
+    """Paths of every entity, stored or curated."""
+    seeds = _entities(spark, d).select(F.col("canonical_id").alias("seed"), "canonical_id", "canonical_name")
     return traversal.find_paths(seeds, traversal.outgoing(_neighbours(spark, d)), max_hops, max_paths)
 
 
@@ -121,6 +120,14 @@ def graph_edges(spark, d):
     )
 
 
+@query
+def graph_edge_evidence(spark, d):
+    """The evidence of edges as a table, one row for each piece."""
+    keys = ["source_id", "target_id", "type"]
+    rows = resolution.evidence_rows(_relations(spark, d).dropna(subset=keys).select(*keys, "rel_seq", "evidence"), keys)
+    return rows.select(*keys, "rel_seq", "n", F.col("e.chunk_id").alias("chunk_id"))
+
+
 @query
 def graph_edges_idempotent(spark, d):
     twice = _relations(spark, d)
@@ -230,11 +237,11 @@ hops AS (SELECT *, list_filter(chunk_ids, lambda c: c IS NOT NULL AND c <> '') A
 
 
 def _paths_sql(max_hops: int, max_paths: int) -> str:
-    """Paths of lexicon entities; ``uniq`` lists keep the first place of each value."""
+    """Paths of all entities; ``uniq`` lists keep the first place of each value."""
     uniq = "list_filter({0}, lambda c, i: list_position({0}, c) = i)"
     return EDGES_SQL + f""",
 walk AS (
-  SELECT canonical_id AS seed, canonical_id AS at, [canonical_name] AS entities, []::VARCHAR[] AS rels, []::INT[] AS ords, []::VARCHAR[] AS ev FROM lexicon
+  SELECT canonical_id AS seed, canonical_id AS at, [coalesce(nullif(canonical_name, ''), canonical_id)] AS entities, []::VARCHAR[] AS rels, []::INT[] AS ords, []::VARCHAR[] AS ev FROM ents
   UNION ALL
   SELECT w.seed, h.target_id, list_append(w.entities, h.target_name), list_append(w.rels, h.relation), list_append(w.ords, h.ordinal), list_concat(w.ev, h.ev)
   FROM walk w JOIN hops h ON h.node_id = w.at
@@ -254,6 +261,7 @@ ORACLE["graph_documents"] = """SELECT document_id, title, department, CASE lower
  FROM loaded_documents WHERE document_id IS NOT NULL) WHERE n = 1"""
 ORACLE["graph_part_of_chunks"] = "SELECT DISTINCT chunk_id, document_id FROM chunks WHERE document_id IN (SELECT document_id FROM loaded_documents)"
 ORACLE["graph_edges"] = EDGES_SQL + " SELECT source_id, target_id, type, weight, edge_seq, array_to_string(list_transform(chunk_ids, lambda c: coalesce(c, '-')), '|') AS chunks FROM edges"
+ORACLE["graph_edge_evidence"] = EDGES_SQL + " SELECT source_id, target_id, type, rel_seq, (n - 1)::INT AS n, e.chunk_id AS chunk_id FROM picked"
 ORACLE["graph_edges_idempotent"] = "WITH" + _weights_sql("round(arg_min(weight, rel_seq) + 0.5 * (count(*) - 1), 6)") + " SELECT source_id, target_id, type, weight FROM heads"
 ORACLE["graph_stub_entities"] = EDGES_SQL + " SELECT * FROM stubs"
 ORACLE["graph_neighbors_capped"] = EDGES_SQL + " SELECT node_id, ordinal, direction, source_id, source_name, relation, target_id, target_name FROM neighbors"
@@ -319,8 +327,8 @@ def entity_resolve(spark, d):
 @query
 def relations_resolve(spark, d):
     stored = graph.latest(table(spark, d, "entities").drop("metadata"), ["canonical_id"], ["ingested_at"])
-    out = resolution.resolve_relations(_relations(spark, d), table(spark, d, "lexicon"), stored)
-    return out.select("id", "source_id", "target_id", "type", F.round("weight", 6).alias("weight"), "first_seq", F.size("evidence").alias("n_evidence"))
+    out = resolution.resolve_relations(_relations(spark, d), table(spark, d, "lexicon"), stored, evidence="count")
+    return out.select("id", "source_id", "target_id", "type", F.round("weight", 6).alias("weight"), "first_seq", "n_evidence")
 
 
 # ---- text and chunks -----------------------------------------------------------------------
