@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import key
-from loomgraph.operators.skew import salted_join
+from loomgraph.operators.skew import hot_codes, salted_join
 from loomgraph.session import Scratch, cut
 
 #: A frontier is broadcast up to this many rows, and joined by shuffle beyond it.
@@ -71,11 +71,11 @@ def connected_groups(pairs: DataFrame, left: str = "a", right: str = "b", hub_sh
     return out
 
 
-def _join(left: DataFrame, right: DataFrame, a: str, b: str, how: str, rows: int) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, a: str, b: str, how: str, rows: int, hot: list[int] | None = None) -> DataFrame:
     """``left`` (of at most ``rows`` rows) joined with ``right`` (one row for a key); hot keys are salted."""
     if rows < HOT_ROWS:
         return left.join(right, F.col(a) == F.col(b), how)
-    return salted_join(left, right, [(a, b)], how, hot_rows=HOT_ROWS)
+    return salted_join(left, right, [(a, b)], how, hot_rows=HOT_ROWS, hot=hot)
 
 
 def _reach(scratch: Scratch, edges: DataFrame, hub: str, max_hops: int, total: int) -> tuple[DataFrame, bool]:
@@ -102,7 +102,9 @@ def _relabel(scratch: Scratch, edges: DataFrame, labels: DataFrame, total: int)
     """Edges between the labels of their ends, without loops."""
     x = labels.select(F.col("id").alias("xa"), F.col("label").alias("la"))
     y = labels.select(F.col("id").alias("yb"), F.col("label").alias("lb"))
-    moved = _join(_join(edges, x, "a", "xa", "inner", total), y, "b", "yb", "inner", total).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    # Edges stand in both directions, so both of their ends have the same hot ids.
+    hot = hot_codes(edges, F.xxhash64("a"), 0.01, HOT_ROWS) if total >= HOT_ROWS else None
+    moved = _join(_join(edges, x, "a", "xa", "inner", total, hot), y, "b", "yb", "inner", total, hot).select(F.col("la").alias("a"), F.col("lb").alias("b"))
     return scratch.put(moved.where(F.col("a") != F.col("b")).distinct())
 
 

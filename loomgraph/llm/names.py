@@ -491,10 +491,11 @@ def found_mentions(entity_mentions: DataFrame, entities: DataFrame) -> DataFrame
     known = cut(recorded.join(_tokenized(recorded.select("k").distinct(), "k", "known"), "k"))
 
     spoken = tokens.select("s", "tokens", F.explode("tokens").alias("t")).withColumn("word", _skeleton("t")).select("s", "tokens", "word").distinct()
-    matches = radius_join(spoken, posts)
+    matches = cut(radius_join(spoken, posts).select("w", "v"))
     # Words of many records or many strings are salted.
-    heard = salted_join(spoken, matches.select("w", "v"), [("word", "w")], "inner").select("s", "tokens", "v").distinct()
-    pairs = cut(salted_join(heard, posts, [("v", "word")], "inner").select("s", "tokens", "rid", "core").distinct())
+    heard = cut(salted_join(spoken.select("s", "word"), matches, [("word", "w")], "inner").select("s", "v").distinct())
+    met = salted_join(heard, posts, [("v", "word")], "inner").select("s", "rid", "core").distinct()
+    pairs = cut(met.join(tokens, "s").select("s", "tokens", "rid", "core"))
     learnt = _learn(pairs, known.join(cores, "rid").select(F.col("known").alias("tokens"), "rid", "core"), common)
     model = entities.sparkSession.sparkContext.broadcast(learnt)
 
@@ -509,8 +510,9 @@ def found_mentions(entity_mentions: DataFrame, entities: DataFrame) -> DataFrame
     whole = lambda c: F.array_join(F.transform(c, lambda t: F.translate(F.regexp_replace(t, "rn", "m"), "l", "i")), "")
     uttered = tokens.withColumn("word", whole("tokens")).where("word <> ''")
     written = known.withColumn("v", whole("known")).where("v <> ''")
-    near = radius_join(uttered, written.withColumnRenamed("v", "word"), pivots=WHOLE_PIVOTS).select("w", F.col("v").alias("v2"))
-    alike = salted_join(salted_join(uttered, near, [("word", "w")], "inner").select("s", "tokens", "v2"), written, [("v2", "v")], "inner").select("s", "tokens", "rid", "known", "most").distinct()
+    near = cut(radius_join(uttered, written.withColumnRenamed("v", "word"), pivots=WHOLE_PIVOTS).select("w", F.col("v").alias("v2")))
+    echoed = cut(salted_join(uttered.select("s", "word"), near, [("word", "w")], "inner").select("s", "v2").distinct())
+    alike = salted_join(echoed, written, [("v2", "v")], "inner").select("s", "rid", "known", "most").distinct().join(tokens, "s")
 
     def compared(batches):
         for batch in batches:
