@@ -274,3 +274,102 @@ def retrieve(questions: DataFrame, point_table: DataFrame, top_k: int = 5, dimen
     asked = own.withColumn("extra", extra).select("query_id", "said", F.map_from_entries(set_ones).alias("f"))
     vec = hash_embeddings(asked, "query_id", "said", dimension).withColumnRenamed("vector", "v").join(asked.select("query_id", "f"), "query_id")
     return search_batch(vec, "query_id", "v", check_dimension(point_table, vector_col, dimension), id_col, vector_col, top_k, filters="f")
+
+
+# ---- inverted-list index -------------------------------------------------------------------
+
+#: Rows that the centroids are fitted on at most; every row is indexed.
+INDEX_SAMPLE = 20_000
+#: Queries of a list that meet a block of its rows at once.
+QUERY_BLOCK = 20_000
+
+
+def fit_lists(point_table: DataFrame, id_col: str, vector_col: str, lists: int = 64, sample: int = INDEX_SAMPLE, rounds: int = 12) -> np.ndarray:
+    """Centroids (unit vectors) of at most ``lists`` lists: spherical k-means on the at most ``sample``
+    rows of the least hash of their id. A table without vectors has none."""
+    rows = point_table.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("p"), F.col(vector_col).alias("w"))
+    chosen = rows.orderBy(F.xxhash64("p"), "p").limit(sample).select("w").toArrow()
+    if not chosen.num_rows:
+        return np.empty((0, 0))
+    own, fine = _unit(_matrix(chosen.column("w").combine_chunks()))
+    own = own[fine]
+    if not len(own):
+        return np.empty((0, 0))
+    centroids = own[np.linspace(0, len(own) - 1, min(lists, len(own))).astype(int)]
+    for _ in range(rounds):
+        nearest = (own @ centroids.T).argmax(1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, nearest, own)
+        size = np.sqrt((sums * sums).sum(1))
+        centroids = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-12)[:, None], centroids)
+    return centroids
+
+
+def _nearest(df: DataFrame, vector_col: str, centroids: np.ndarray, probes: int) -> DataFrame:
+    """``df`` with ``list``, one row for each of the ``probes`` nearest centroids."""
+    sent = df.sparkSession.sparkContext.broadcast(centroids)
+    shape = df.limit(0).selectExpr("*", "CAST(0 AS INT) AS list").schema
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                some = batch.slice(at, 2_000)
+                own, fine = _unit(_matrix(some.column(vector_col)))
+                near = np.argsort(-(own[fine] @ sent.value.T), axis=1, kind="stable")[:, :probes]
+                row = np.repeat(np.flatnonzero(fine), near.shape[1])
+                yield pa.RecordBatch.from_arrays([*some.take(pa.array(row)).columns, pa.array(near.ravel(), pa.int32())], [*some.schema.names, "list"])
+
+    return df.where(F.col(vector_col).isNotNull()).mapInArrow(run, shape)
+
+
+def build_index(point_table: DataFrame, id_col: str, vector_col: str, centroids: np.ndarray, rows_per_block: int = 50_000) -> DataFrame:
+    """The index: (p, w, list, block) of every row with a vector of some length. A list of more rows falls
+    into blocks by a hash of the id, so that no task holds a whole hot list."""
+    placed = cut(_nearest(point_table.select(F.col(id_col).alias("p"), F.col(vector_col).alias("w")), "w", centroids, 1))
+    blocks = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("blocks"))
+    # One row for each list.
+    return placed.join(F.broadcast(blocks), "list").select("p", "w", "list", F.pmod(F.xxhash64("p"), "blocks").cast("int").alias("block"), "blocks")
+
+
+def search_index(queries: DataFrame, query_id: str, query_vector: str, index: DataFrame, centroids: np.ndarray, id_col: str, top_k: int = 5, probes: int = 8) -> DataFrame:
+    """query_id, rank, the id column, score: the ``top_k`` rows of the ``probes`` lists nearest to each query.
+
+    Approximate: what lies in other lists is missed; with as many probes as lists it equals
+    ``search_batch``, the exact way. Queries and rows meet by list and block, so a query reads
+    probes / lists of all rows.
+    """
+    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
+    kinds = {"q": asked.schema["q"].dataType.simpleString(), "p": index.schema["p"].dataType.simpleString()}
+    near = _nearest(asked, "v", centroids, probes) if len(centroids) else asked.limit(0).selectExpr("*", "CAST(0 AS INT) AS list")
+    near = cut(near)
+    # Both sides of a list fall into blocks, and each block of queries meets each block of rows.
+    asks = near.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qblocks"))
+    sizes = index.select("list", "blocks").distinct().join(asks, "list")
+    wanted = near.join(F.broadcast(sizes), "list").select("q", "v", "list", F.pmod(F.xxhash64("q"), "qblocks").cast("int").alias("qblock"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    held = index.join(F.broadcast(asks), "list").select("p", "w", "list", "block", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)).alias("qblock"))
+
+    def meet(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        none = pa.table({"q": asked.column("q").slice(0, 0), "p": rows.column("p").slice(0, 0), "score": pa.array([], pa.float64())})
+        if not asked.num_rows or not rows.num_rows:
+            return none
+        rows = rows.sort_by("p")
+        own, fine = _unit(_matrix(rows.column("w").combine_chunks()))
+        out = [none]
+        step = max(1, SCORES // rows.num_rows)
+        for at in range(0, asked.num_rows, step):
+            some = asked.slice(at, step)
+            unit, good = _unit(_matrix(some.column("v").combine_chunks()))
+            score = np.round(unit @ own.T, 12)
+            score[~good] = -np.inf
+            score[:, ~fine] = -np.inf
+            best = np.argsort(-score, axis=1, kind="stable")[:, :top_k]
+            q = np.repeat(np.arange(some.num_rows), best.shape[1])
+            p = best.ravel()
+            keep = score[q, p] > -np.inf
+            out.append(pa.table({"q": some.column("q").take(pa.array(q[keep])), "p": rows.column("p").take(pa.array(p[keep])), "score": score[q, p][keep]}))
+        return pa.concat_tables(out)
+
+    keys = ["list", "block", "qblock"]
+    found = wanted.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, f"q {kinds['q']}, p {kinds['p']}, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "p"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top_k).select(F.col("q").alias(query_id), "rank", F.col("p").alias(id_col), "score")

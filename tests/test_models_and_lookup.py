@@ -107,6 +107,24 @@ def test_search_batch_equals_brute_force(spark):
     assert vectors.search_batch(df.limit(0), "id", "v", df.withColumnRenamed("id", "p"), "p", "v").count() == 0
 
 
+def test_index_with_all_lists_is_exact(spark):
+    import random
+
+    own = random.Random(5)
+    rows = [(i, [own.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(90)] + [(90, None), (91, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "id int, v array<float>")
+    points = df.withColumnRenamed("id", "p")
+    centroids = vectors.fit_lists(points, "p", "v", 6)
+    index = vectors.build_index(points, "p", "v", centroids, rows_per_block=7)
+    exact = {tuple(r) for r in vectors.search_batch(df, "id", "v", points, "p", "v", 5).collect()}
+    assert {tuple(r) for r in vectors.search_index(df, "id", "v", index, centroids, "p", 5, probes=6).collect()} == exact
+    some = {tuple(r)[:3:2] for r in vectors.search_index(df, "id", "v", index, centroids, "p", 5, probes=3).collect()}
+    assert some and len({p for _, p in some}) <= 90
+    assert index.count() == sum(1 for _, v in rows if v and any(v))
+    none = vectors.fit_lists(points.limit(0), "p", "v")
+    assert vectors.search_index(df, "id", "v", vectors.build_index(points.limit(0), "p", "v", none), none, "p").count() == 0
+
+
 def test_composite_references(spark):
     refs = spark.createDataFrame([(1, "d1", "c1"), (2, "d1", "c9"), (3, None, "c1"), (4, None, "c9"), (5, " ", ""), (6, "D1 ", "c2"), (6, "D1 ", "c2")], "cit_seq int, document_id string, chunk_id string")
     chunks = spark.createDataFrame([("d1", "c1", 1), ("d2", "c2", 2)], "document_id string, chunk_id string, cit_seq int")
