@@ -15,13 +15,15 @@ from loomgraph.operators.skew import salted_join
 from loomgraph.session import cut, planned_bytes
 
 BROADCAST_BYTES = 32 << 20
-#: Up to this many endpoints (counted, two short strings each) are broadcast.
+#: Up to this many rows (counted, short strings each) are broadcast.
 BROADCAST_IDS = 200_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if the planner's size of it allows one."""
-    return F.broadcast(df) if planned_bytes(df) <= BROADCAST_BYTES else df
+    """``df``, a table of short rows, with a broadcast hint if it is counted to be small."""
+    if planned_bytes(df) > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
 def _tail(cid: Column) -> Column:

@@ -34,7 +34,8 @@ def salted_join(
     The keys of ``left`` are counted at once, in a job of its own, unless their hot codes are given; without
     hot ones this is a plain join. So ``left`` should be cheap to compute, or cut before.
     The rows of ``right`` under a hot key are copied to each salt, so ``right`` should have
-    few rows for a key. Null keys match nothing.
+    few rows for a key. Null keys match nothing. Repeated rows of a hot key that are alike in all
+    columns share a salt.
     """
     same = None
     for x, y in on:
@@ -46,7 +47,11 @@ def salted_join(
     if not hot:
         return left.join(right, cond, how)
     code_r = F.xxhash64(*[F.col(b) for _, b in on])
-    a = left.withColumn("__salt", F.when(code_l.isin(hot), F.floor(F.rand(17) * salts).cast("int")).otherwise(0))
+    # A row's salt is a hash of the row, so that a task run again deals its rows out alike. Rows
+    # of nothing but the key have no such hash.
+    rest = [F.col(f"`{c}`") for c, t in left.dtypes if "map<" not in t and c not in {x for x, _ in on}]
+    salt = F.pmod(F.xxhash64(*rest), F.lit(salts)) if rest else F.floor(F.rand(17) * salts)
+    a = left.withColumn("__salt", F.when(code_l.isin(hot), salt.cast("int")).otherwise(0))
     each = F.when(code_r.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     b = right.withColumn("__psalt", F.explode(each))
     return a.join(b, cond & (F.col("__salt") == F.col("__psalt")), how).drop("__salt", "__psalt")
