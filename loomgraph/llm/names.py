@@ -242,17 +242,20 @@ def _meeter(radius: int):
 
     def meet(own, asked):
         (v, mv, lv), (w, mw, lw) = own, asked
-        for at in range(0, len(w), SLAB):
-            close = np.bitwise_count(mw[at : at + SLAB, None] ^ mv[None, :]) <= PAIRS_CHANGED * radius
-            close &= np.abs(lw[at : at + SLAB, None] - lv[None, :]) <= radius
-            i, j = np.nonzero(close)
-            if len(i):
-                a, b = [w[at + x] for x in i.tolist()], [v[x] for x in j.tolist()]
-                d = pair_distances(a, b)
-                hit = np.flatnonzero((d <= radius) & (d > 0))
-                yield pa.RecordBatch.from_arrays([pa.array([a[x] for x in hit], pa.string()), pa.array([b[x] for x in hit], pa.string()), pa.array(d[hit], pa.int32())], ["w", "v", "d"])
+        sizes, first = np.unique(lw, return_index=True)
+        for size, lo, hi in zip(sizes.tolist(), first, [*first[1:], len(w)]):
+            # Lengths are distances from the empty name: a pivot that costs nothing.
+            a, b = np.searchsorted(lv, [size - radius, size + radius + 1])
+            for at in range(lo, hi if a < b else lo, SLAB):
+                i, j = np.nonzero(np.bitwise_count(mw[at : min(at + SLAB, hi), None] ^ mv[None, a:b]) <= PAIRS_CHANGED * radius)
+                if len(i):
+                    left, right = [w[at + x] for x in i.tolist()], [v[a + x] for x in j.tolist()]
+                    d = pair_distances(left, right)
+                    hit = np.flatnonzero((d <= radius) & (d > 0))
+                    yield pa.RecordBatch.from_arrays([pa.array([left[x] for x in hit], pa.string()), pa.array([right[x] for x in hit], pa.string()), pa.array(d[hit], pa.int32())], ["w", "v", "d"])
 
     def described(words):
+        words = sorted(words, key=len)
         return words, pair_masks(words), np.fromiter(map(len, words), np.int16, len(words))
 
     def rows(batches):
