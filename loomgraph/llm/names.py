@@ -42,6 +42,8 @@ RADIUS, PIVOTS, WHOLE_PIVOTS, SAMPLE = 1, 16, 6, 1024
 MIN_LETTERS = 5
 #: Names of records in one block of a ring, and names of mentions that meet it at once.
 BLOCK, SLAB = 4096, 256
+#: Pairs that go to the metric together.
+PAIRS_AT_ONCE = 20_000
 #: Pairs of adjacent letters that one edit adds or takes at most (a swap: three each).
 PAIRS_CHANGED = 6
 #: A word of more than this share of the records (and of ``COMMON_LEAST``) is common: it tells little alone.
@@ -240,7 +242,8 @@ def _placer(pivots: list[str], known: set | None, radius: int):
 def _meeter(radius: int):
     """Sorted rows (cell, ring, block, side, word, part) -> (w, v, d): all of one block meet."""
 
-    def meet(own, asked):
+    def meet(own, asked, left, right):
+        """Pairs that the metric has to decide."""
         (v, mv, lv), (w, mw, lw) = own, asked
         sizes, first = np.unique(lw, return_index=True)
         for size, lo, hi in zip(sizes.tolist(), first, [*first[1:], len(w)]):
@@ -248,11 +251,13 @@ def _meeter(radius: int):
             a, b = np.searchsorted(lv, [size - radius, size + radius + 1])
             for at in range(lo, hi if a < b else lo, SLAB):
                 i, j = np.nonzero(np.bitwise_count(mw[at : min(at + SLAB, hi), None] ^ mv[None, a:b]) <= PAIRS_CHANGED * radius)
-                if len(i):
-                    left, right = [w[at + x] for x in i.tolist()], [v[a + x] for x in j.tolist()]
-                    d = pair_distances(left, right)
-                    hit = np.flatnonzero((d <= radius) & (d > 0))
-                    yield pa.RecordBatch.from_arrays([pa.array([left[x] for x in hit], pa.string()), pa.array([right[x] for x in hit], pa.string()), pa.array(d[hit], pa.int32())], ["w", "v", "d"])
+                left.extend(w[at + x] for x in i.tolist())
+                right.extend(v[a + x] for x in j.tolist())
+
+    def decided(left, right):
+        d = pair_distances(left, right)
+        hit = np.flatnonzero((d <= radius) & (d > 0))
+        return pa.RecordBatch.from_arrays([pa.array([left[x] for x in hit], pa.string()), pa.array([right[x] for x in hit], pa.string()), pa.array(d[hit], pa.int32())], ["w", "v", "d"])
 
     def described(words):
         words = sorted(words, key=len)
@@ -260,6 +265,8 @@ def _meeter(radius: int):
 
     def rows(batches):
         at, own, words = None, None, []
+        left: list[str] = []
+        right: list[str] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -275,7 +282,13 @@ def _meeter(radius: int):
                     own = None
                 elif words:
                     own = own or described(words)
-                    yield from meet(own, described(said[lo:hi]))
+                    meet(own, described(said[lo:hi]), left, right)
+                    # The metric is paid by the call rather than by the pair.
+                    if len(left) > PAIRS_AT_ONCE:
+                        yield decided(left, right)
+                        left, right = [], []
+        if left:
+            yield decided(left, right)
 
     return rows
 
