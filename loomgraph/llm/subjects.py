@@ -6,8 +6,8 @@ text the mean of its words, and every subject has a logistic output of its own o
 * Training reads at most ``MAX_LABELLED`` labelled documents (those of the least hash of their
   id; a documented bound, so the model's cost does not grow with the corpus). They are packed
   into blocks once; in each round every block gives the gradient of its documents under
-  the current parameters, the gradients are added up over all blocks, and one Adam step
-  follows. Only gradients travel, blocks x parameters, a bound that no data changes.
+  the current parameters, the gradients are added up over the blocks of each task and then over all
+  tasks, and one Adam step follows. Only gradients travel, tasks x parameters, a bound that no data changes.
 * Scoring reads every document, whole. As outputs are linear in the mean, each distinct word of
   a batch is scored once; sentences are means of their words' scores. A document is on the
   subjects that take up more than ``SHARE`` of its sentences.
@@ -250,14 +250,17 @@ def train(documents: DataFrame, subject_labels: DataFrame, names: list[str], lim
         meta = ";".join(f"{k},{v.dtype.str},{'x'.join(map(str, shapes[k]))}" for k, v in block.items())
         return pa.table({"block": table.column("block").slice(0, 1), "meta": [meta], "data": pa.array([b"".join(v.tobytes() for v in block.values())], pa.binary())})
 
-    blocks = cut(keyed.groupBy("block").applyInArrow(build, "block int, meta string, data binary"))
     context = documents.sparkSession.sparkContext
+    tasks = min(BLOCKS, context.defaultParallelism)
+    blocks = cut(keyed.groupBy("block").applyInArrow(build, "block int, meta string, data binary").repartitionByRange(tasks, "block"))
     params = start(len(names))
     rule = Adam(params)
     for _ in range(rounds):
         sent = context.broadcast(params)
 
         def slopes(batches, sent=sent):
+            # A task adds up its own blocks, so that one sum of each task travels.
+            first, count, total = 0, 0, None
             for batch in batches:
                 for number, meta, data in zip(*(batch.column(c).to_pylist() for c in ("block", "meta", "data"))):
                     block, at = {}, 0
@@ -268,11 +271,13 @@ def train(documents: DataFrame, subject_labels: DataFrame, names: list[str], lim
                         block[name] = np.frombuffer(data, kind, count=int(np.prod(dims)), offset=at).reshape(dims)
                         at += size
                     _, n, grads = gradient(block, sent.value)
-                    flat = np.concatenate([grads[k].ravel() for k in ("E", "W", "b")]).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([number], pa.int32()), pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())],
-                        ["block", "n", "grads"],
-                    )
+                    flat = np.concatenate([grads[k].ravel() for k in ("E", "W", "b")]).astype(np.float64)
+                    first, count, total = (number, n, flat) if total is None else (first, count + n, total + flat)
+            if total is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([first], pa.int32()), pa.array([count], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())],
+                    ["block", "n", "grads"],
+                )
 
         rows = blocks.mapInArrow(slopes, "block int, n long, grads binary").collect()
         count = sum(r["n"] for r in rows)
@@ -281,6 +286,7 @@ def train(documents: DataFrame, subject_labels: DataFrame, names: list[str], lim
             break
         rows.sort(key=lambda r: r["block"])
         total = sum(np.frombuffer(r["grads"], np.float32).astype(np.float64) for r in rows) / count
+        del rows
         grads, at = {}, 0
         for k in ("E", "W", "b"):
             grads[k] = total[at : at + params[k].size].reshape(params[k].shape).astype(np.float32)
