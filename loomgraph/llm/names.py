@@ -10,8 +10,8 @@ Damerau and Levenshtein with unrestricted transpositions, a true metric; the rad
   is within d + 2 x radius, and there to the rings that differ by at most the radius: by
   the triangle inequality this reaches all its partners;
 * in a ring all names of mentions meet all names of records, in blocks, so that no ring is ever
-  collected: pairs of letters that only one of two names has are counted first (an edit changes
-  six at most), and the metric decides. More pivots mean fewer meetings, never other rows.
+  collected: letters and pairs of letters that only one of two names has are counted first (an edit
+  changes two and six at most), and the metric decides. More pivots mean fewer meetings, never other rows.
 
 Meetings lead to candidate records of a mention's strings, and a string names a record if each of its
 words fits a word of the record: equal, within the radius, as initial, as beginning, or as a
@@ -46,6 +46,8 @@ BLOCK, SLAB = 4096, 256
 PAIRS_AT_ONCE = 20_000
 #: Pairs of adjacent letters that one edit adds or takes at most (a swap: three each).
 PAIRS_CHANGED = 6
+#: Letters that one edit adds or takes at most.
+LETTERS_CHANGED = 2
 #: A word of more than this share of the records (and of ``COMMON_LEAST``) is common: it tells little alone.
 COMMON_SHARE, COMMON_LEAST = 0.003, 5
 #: Learnt words: least number of records, least share of all counts (so that at most 1 / share words
@@ -175,15 +177,18 @@ def pair_distances(left: list[str], right: list[str]) -> np.ndarray:
     return d[na + 1, nb + 1, at]
 
 
-def pair_masks(words: list[str]) -> np.ndarray:
-    """The pairs of adjacent letters that each name has, hashed into 64 bits."""
-    out = np.zeros(len(words), np.uint64)
+def masks(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The letters and the pairs of adjacent letters that each name has, hashed into 64 bits each."""
+    letters, pairs = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
     for i, w in enumerate(words):
-        mask = 0
-        for x, y in zip(w, w[1:]):
-            mask |= 1 << ((ord(x) * 31 + ord(y)) & 63)
-        out[i] = mask
-    return out
+        codes = [ord(c) for c in w]
+        one = two = 0
+        for x in codes:
+            one |= 1 << (x & 63)
+        for x, y in zip(codes, codes[1:]):
+            two |= 1 << ((x * 31 + y) & 63)
+        letters[i], pairs[i] = one, two
+    return letters, pairs
 
 
 def radius_join(left: DataFrame, right: DataFrame, col: str = "word", pivots: int = PIVOTS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -244,13 +249,16 @@ def _meeter(radius: int):
 
     def meet(own, asked, left, right):
         """Pairs that the metric has to decide."""
-        (v, mv, lv), (w, mw, lw) = own, asked
+        (v, (ov, mv), lv), (w, (ow, mw), lw) = own, asked
         sizes, first = np.unique(lw, return_index=True)
         for size, lo, hi in zip(sizes.tolist(), first, [*first[1:], len(w)]):
             # Lengths are distances from the empty name: a pivot that costs nothing.
             a, b = np.searchsorted(lv, [size - radius, size + radius + 1])
             for at in range(lo, hi if a < b else lo, SLAB):
-                i, j = np.nonzero(np.bitwise_count(mw[at : min(at + SLAB, hi), None] ^ mv[None, a:b]) <= PAIRS_CHANGED * radius)
+                upto = min(at + SLAB, hi)
+                close = np.bitwise_count(mw[at:upto, None] ^ mv[None, a:b]) <= PAIRS_CHANGED * radius
+                close &= np.bitwise_count(ow[at:upto, None] ^ ov[None, a:b]) <= LETTERS_CHANGED * radius
+                i, j = np.nonzero(close)
                 left.extend(w[at + x] for x in i.tolist())
                 right.extend(v[a + x] for x in j.tolist())
 
@@ -261,7 +269,7 @@ def _meeter(radius: int):
 
     def described(words):
         words = sorted(words, key=len)
-        return words, pair_masks(words), np.fromiter(map(len, words), np.int16, len(words))
+        return words, masks(words), np.fromiter(map(len, words), np.int16, len(words))
 
     def rows(batches):
         at, own, words = None, None, []
