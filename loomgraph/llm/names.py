@@ -385,9 +385,9 @@ def fits(tokens: list[str], words: list[str], learnt: Learnt) -> tuple[float, li
                 left.remove(t)
                 for w in joined:
                     take(w, 0.95)
-    # Two letters that are initials of what is left, or of one word where no other is; at the end
-    # of a name even where they spell a title or legal form.
-    for t in [*left, *tokens[-1:]]:
+    # Two letters that are initials of what is left, or of one word where no other is; at either
+    # end of a name even where they spell a title or legal form.
+    for t in [*left, *dict.fromkeys(x for x in (*tokens[:1], *tokens[-1:]) if x not in left)]:
         if len(t) == 2 and missing and t[0] == missing[0][0] and (len(missing) == 1 or t[1] == missing[1][0]):
             left = [x for x in left if x is not t]
             for w in missing[:2]:
