@@ -40,6 +40,8 @@ from loomgraph.session import cut
 RADIUS, PIVOTS, WHOLE_PIVOTS, SAMPLE = 1, 16, 6, 1024
 #: Shorter words are only matched exactly.
 MIN_LETTERS = 5
+#: Longer names meet by their ends instead of by cells, as distances cost the product of the lengths.
+LONGEST = 100
 #: Names of records in one block of a ring, and names of mentions that meet it at once.
 BLOCK, SLAB = 4096, 256
 #: Pairs that go to the metric together.
@@ -200,7 +202,8 @@ def radius_join(left: DataFrame, right: DataFrame, col: str = "word", pivots: in
     ours = left.select(F.col(col).alias("w")).dropna().distinct()
     theirs = right.select(F.col(col).alias("v")).dropna().distinct()
     equal = ours.join(theirs, F.col("w") == F.col("v")).select("w", "v", F.lit(0).alias("d"))
-    long = theirs.where(F.length("v") >= MIN_LETTERS)
+    equal = equal.unionByName(_long_names(ours, theirs, radius))
+    long = theirs.where((F.length("v") >= MIN_LETTERS) & (F.length("v") <= LONGEST))
     sample = [r["v"] for r in long.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()]
     chosen = choose_pivots(sample, pivots)
     if not chosen:
@@ -212,7 +215,7 @@ def radius_join(left: DataFrame, right: DataFrame, col: str = "word", pivots: in
     rings = base.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"))
     blocks = {(r["cell"], r["ring"]): -(-r["n"] // block) for r in rings.collect()}
     table = left.sparkSession.createDataFrame([(*k, n) for k, n in blocks.items()], "cell int, ring int, blocks int")
-    near = ours.where(F.length("w") >= MIN_LETTERS).repartition(tasks, F.xxhash64("w")).mapInArrow(_placer(chosen, set(blocks), radius), "word string, cell int, ring int")
+    near = ours.where((F.length("w") >= MIN_LETTERS) & (F.length("w") <= LONGEST)).repartition(tasks, F.xxhash64("w")).mapInArrow(_placer(chosen, set(blocks), radius), "word string, cell int, ring int")
     own = base.join(F.broadcast(table), ["cell", "ring"]).select("cell", "ring", F.pmod(F.xxhash64("word"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "word")
     asked = near.join(F.broadcast(table), ["cell", "ring"]).select("cell", "ring", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "word")
     # Names of mentions of one block are spread over tasks as well; its names of records are bounded.
@@ -223,6 +226,22 @@ def radius_join(left: DataFrame, right: DataFrame, col: str = "word", pivots: in
     return equal.unionByName(met)
 
 
+def _long_names(ours: DataFrame, theirs: DataFrame, radius: int) -> DataFrame:
+    """The same for pairs with a name beyond ``LONGEST`` letters: an edit leaves the first or the last 40
+    letters as they are, so partners share one of these."""
+    if radius != 1:
+        raise ValueError("names are joined within a radius of 1")
+    ends = lambda df, c: df.where(F.length(c) >= LONGEST).select(c, F.explode(F.array(F.substring(c, 1, 40), F.concat(F.lit("\n"), F.expr(f"right({c}, 40)")))).alias("end"))
+    met = ends(ours, "w").join(ends(theirs, "v"), "end").where((F.col("w") != F.col("v")) & (F.greatest(F.length("w"), F.length("v")) > LONGEST)).select("w", "v").distinct()
+
+    def decided(batches):
+        for batch in batches:
+            keep = [_within_one(w, v) for w, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return met.mapInArrow(decided, "w string, v string").withColumn("d", F.lit(1))
+
+
 def _placer(pivots: list[str], known: set | None, radius: int):
     """Rows (word, cell, ring): of the nearest cell, or of all known rings within reach."""
 

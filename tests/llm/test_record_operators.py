@@ -245,3 +245,15 @@ def test_recorded_spellings_count(spark):
         ("RSG", None), ("Services Group", "o4"),
     ]
     linked(spark, records, said)
+
+
+def test_empty_and_odd_tables(spark):
+    said = spark.createDataFrame([(1, "Anna Lee", None, "x"), (2, None, [None, " "], "x"), (3, "李 小龍", ["李小龍"], "x"), (4, "ab" * 2500, [], "x"), (5, "ab" * 2500 + "c", [], "x")], "mention_seq long, name string, aliases array<string>, rid string")
+    ents = spark.createDataFrame([("p", "Anna Lee", "OTHER"), (None, "Anna Lee", "OTHER"), ("q", "李小龍", "other"), ("r", "...", "OTHER"), ("s", "ab" * 2500, "OTHER")], "canonical_id string, canonical_name string, primary_type string")
+    assert names.found_mentions(said.limit(0), ents).count() == 0 and names.found_mentions(said, ents.limit(0)).count() == 0
+    got = {r.mention_seq: r.canonical_id for r in names.found_mentions(said, ents).collect()}
+    assert got[1] == "p" and got[4] == got[5] == "s" and 2 not in got
+    chunks = spark.createDataFrame([("a", None), ("b", ""), (None, "two words here"), ("c", "two words here")], "chunk_id string, text string")
+    rel = spark.createDataFrame([(1, None), (2, [(None,)])], "rel_seq long, evidence array<struct<text:string>>")
+    assert neardup.similar_pairs(chunks, rel).count() == 0 and neardup.similar_pairs(chunks.limit(0), rel.limit(0)).count() == 0
+    assert [tuple(r) for r in neardup.similar_classes(chunks, rel).collect()] == [("chunk", "c", "c", 1, 0)]
