@@ -74,12 +74,13 @@ def nodes(entities: DataFrame, graph_edges: DataFrame) -> DataFrame:
     return own.unionByName(stub_entities(graph_edges, entities))
 
 
-def neighbours(graph_edges: DataFrame, graph_nodes: DataFrame, limit: int = 50) -> DataFrame:
+def neighbours(graph_edges: DataFrame, graph_nodes: DataFrame, limit: int = 50, incoming: bool = True) -> DataFrame:
     """Up to ``limit`` neighbours of each entity, outgoing before incoming: node_id, ordinal,
     direction, source_id, source_name, relation, target_id, target_name, description, evidence.
 
     Structural edges do not count. Order: first edge to the other end, then the edge itself. The
-    cap is part of the operator; ranks are pruned inside partitions before the shuffle.
+    cap is part of the operator; ranks are pruned inside partitions before the shuffle. Without ``incoming``
+    the outgoing ones alone, in the same places.
     """
     e = graph_edges.where(~F.col("type").isin(*STRUCTURAL))
     pair = Window.partitionBy("source_id", "target_id")
@@ -88,7 +89,7 @@ def neighbours(graph_edges: DataFrame, graph_nodes: DataFrame, limit: int = 50)
     inc = e.withColumn("node_id", F.col("target_id")).withColumn("direction", F.lit("INCOMING"))
     # OUTGOING sorts after INCOMING, hence the descending order.
     rank = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("direction"), "pair_seq", "edge_seq"))
-    kept = out.unionByName(inc).withColumn("ordinal", rank).where(F.col("ordinal") <= limit)
+    kept = (out.unionByName(inc) if incoming else out).withColumn("ordinal", rank).where(F.col("ordinal") <= limit)
     s = graph_nodes.select(F.col("canonical_id").alias("source_id"), F.col("canonical_name").alias("source_name"))
     t = graph_nodes.select(F.col("canonical_id").alias("target_id"), F.col("canonical_name").alias("target_name"))
     named = kept.join(s, "source_id", "left").join(t, "target_id", "left")

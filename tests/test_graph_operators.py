@@ -60,6 +60,50 @@ def test_names_block_paths(spark):
     assert [r.entities for r in rows] == [["Same", "B"]]
 
 
+HOPS = "hop_from string, hop_ord int, hop_rel string, hop_to string, hop_name string, hop_ev array<string>"
+
+
+def walks(starts, hops, max_hops, max_paths):
+    """seed -> its first paths as (ordinals, entities), one by one."""
+    out, level = {}, [(s, at, (), (name,)) for s, at, name in starts]
+    for _ in range(max_hops):
+        level = [(s, h[3], o + (h[1],), e + (h[4],)) for s, at, o, e in level for h in hops if h[0] == at and h[4] not in e and h[3] not in e]
+        for s, _at, o, e in level:
+            out.setdefault(s, []).append((o, e))
+    return {s: sorted(x, key=lambda p: (len(p[0]), p[0]))[:max_paths] for s, x in out.items()}
+
+
+@pytest.mark.parametrize("max_hops,max_paths", [(1, 3), (3, 12), (3, 45), (4, 90), (5, 1000)])
+def test_paths_equal_all_walks_in_order(spark, max_hops, max_paths):
+    # Hubs, several edges between two nodes, a name of two nodes, a name that is an id, a loop.
+    name = {5: "N4", 6: "n1"}
+    ends = {0: [1, 1, 1, 2, 3, 4, 5, 6, 7], 1: [0, 0, 1, 2, 3, 5, 8], 2: [0, 1], 3: [1], 4: [0, 8], 5: [2], 6: [0, 1, 4], 8: [9], 9: [0]}
+    hops = [(f"n{a}", i + 1, f"R{i + 1}", f"n{b}", name.get(b, f"N{b}"), [f"c{a}", f"c{b}"]) for a, bs in ends.items() for i, b in enumerate(bs)]
+    starts = [(f"s{i}", f"n{i}", name.get(i, f"N{i}")) for i in range(10)]
+    # A seed and a hop that are there twice, under two names.
+    starts.append(("s3", "n3", "Twice"))
+    hops.append(("n3", 1, "R1", "n1", "Other", []))
+    frames = spark.createDataFrame(starts, "seed string, canonical_id string, canonical_name string"), spark.createDataFrame(hops, HOPS)
+    rows = traversal.find_paths(*frames, max_hops, max_paths).orderBy("seed", "path_rank").collect()
+    want = walks(starts, hops, max_hops, max_paths)
+    assert {(r.seed, r.path_rank) for r in rows} == {(s, i + 1) for s, x in want.items() for i in range(len(x))} and len(rows) == sum(map(len, want.values()))
+    assert [(r.seed, r.relationships) for r in rows] == [(s, [f"R{o}" for o in p[0]]) for s in sorted(want) for p in want[s]]
+    known = {s: set(p[1] for p in x) for s, x in walks(starts, hops, max_hops, 10**6).items()}
+    assert all(tuple(r.entities) in known[r.seed] for r in rows)
+    if max_paths == 1000:
+        assert {s: sorted(p[1] for p in x) for s, x in want.items()} == {s: sorted(tuple(r.entities) for r in rows if r.seed == s) for s in want}
+
+
+def test_paths_beyond_the_first_are_not_stored(spark, tmp_path):
+    # 14 nodes that all know each other have 24,024 walks of three hops, of which 434 are asked for.
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    hops = [(f"n{a}", b + 1, "R", f"n{b}", f"Name {b}", ["chunk"]) for a in range(14) for b in range(14) if a != b]
+    start = spark.createDataFrame([(f"s{i}", f"n{i}", f"Name {i}") for i in range(14)], "seed string, canonical_id string, canonical_name string")
+    rows = traversal.find_paths(start, spark.createDataFrame(hops, HOPS), 3, 200).collect()
+    assert len(rows) == 14 * 200 and sum(r.length == 3 for r in rows) == 14 * (200 - 13 - 13 * 12)
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()) < 500_000
+
+
 def test_neighbours_are_capped_in_order(spark):
     rows = [(i, "hub", f"t{i % 60}", f"R{i // 60}", "", 1.0, []) for i in range(70)] + [(99, "x", "hub", "USES", "", 1.0, [])]
     e = graph.edges(spark.createDataFrame(rows, EDGE))
