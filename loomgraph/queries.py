@@ -91,11 +91,12 @@ def _neighbours(spark, d):
 
 def _paths(spark, d, max_hops, max_paths):
     """Paths of every entity, stored or curated."""
-    known = _entities(spark, d)
+    scratch = Scratch(spark)
+    known = scratch.put(_entities(spark, d).select("canonical_id", "canonical_name", "primary_type"))
     seeds = known.select(F.col("canonical_id").alias("seed"), "canonical_id", "canonical_name")
     # Of evidence, paths tell the chunks; its texts are not moved.
     told = table(spark, d, "relationships").select("rel_seq", "source_id", "target_id", "type", F.lit("").alias("description"), "weight", F.transform("evidence.chunk_id", lambda c: F.struct(c.alias("chunk_id"))).alias("evidence"))
-    e = Scratch(spark).put(graph.edges(told.dropDuplicates(["rel_seq"])).select("source_id", "target_id", "type", "edge_seq", "description", "evidence"))
+    e = scratch.put(graph.edges(told.dropDuplicates(["rel_seq"])).select("source_id", "target_id", "type", "edge_seq", "description", "evidence"))
     return traversal.find_paths(seeds, traversal.outgoing(graph.neighbours(e, graph.nodes(known, e), incoming=False)), max_hops, max_paths)
 
 
