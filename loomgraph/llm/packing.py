@@ -8,9 +8,9 @@ takes the documents of a range that are still open and the gaps of all container
 * **Range sort and successor sweep.** Slots and documents stand in falling order of size, slots
   first. A document wants its successor, the smallest slot that holds it; of equal claims the
   larger document goes first. That is the matching of brackets: slots open, documents close.
-  Counts by size give the depth at each size (running sums and minima over at most 2 x capacity
-  rows, one for each size), ranks within a size give every slot and document its own depth, and
-  at one depth slots and documents take turns. So all conflicts are settled by rank, in
+  Counts by size and salted bucket give the depth before each (running sums and minima in one
+  task, over a row for each), ranks within a bucket give every slot and document its own depth,
+  and at one depth slots and documents take turns. So all conflicts are settled by rank, in
   one shuffle by depth, and no document waits for another's placement.
 * **Update.** Gaps are reduced by what they took, and the superstep is repeated until next to
   nothing fits; then containers are opened for what is left.
@@ -18,6 +18,9 @@ takes the documents of a range that are still open and the gaps of all container
 Everything is a table: nothing but three sums of each superstep comes to the driver. Equal
 sizes are ranked in salted buckets, so a size shared by a third of all documents is spread over
 tasks, and at one depth there are at most two rows for each size.
+
+The driver keeps threads and plans for every shuffle of a superstep, whatever the input, so a
+superstep has few of them.
 """
 
 from __future__ import annotations
@@ -61,24 +64,19 @@ def superstep(items: DataFrame, gaps: DataFrame, low: int, high: int, buckets: i
     both = opened.select(none.alias("id"), F.lit(None).cast("int").alias("start"), "size", "b", "container").withColumn("open", F.lit(True)).unionByName(
         items.select("id", "start", "size", "b", F.lit(None).cast("bigint").alias("container")).withColumn("open", F.lit(False))
     )
-    cells = both.groupBy("size", "open", "b").agg(F.count(F.lit(1)).alias("c"))
-    # At most ``high`` rows: the depth before and after the slots of each size.
-    counts = cells.groupBy("size").agg(F.sum(F.when(F.col("open"), F.col("c")).otherwise(0)).alias("s"), F.sum(F.when(F.col("open"), 0).otherwise(F.col("c"))).alias("i"))
-    down = Window.orderBy(F.desc("size"))
-    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("d", F.sum(F.col("s") - F.col("i")).over(so_far))
-    run = run.withColumn("after", F.col("d") - F.least(F.lit(0), F.min("d").over(so_far)))
-    levels = run.select("size", F.coalesce(F.lag("after").over(down), F.lit(0)).alias("before"), "s")
-    ahead = F.coalesce(F.sum("c").over(Window.partitionBy("size", "open").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = F.when(F.col("open"), F.col("before") + F.col("ahead")).otherwise(F.col("before") + F.col("s") - 1 - F.col("ahead"))
-    places = cells.withColumn("ahead", ahead).join(F.broadcast(levels), "size").select("size", "open", "b", base.alias("base"))
-    rank = F.row_number().over(Window.partitionBy("size", "open", "b").orderBy("id", "start", "container")) - 1
+    # The depth before each cell, in order: slots before documents of their size.
+    down = Window.orderBy(F.desc("size"), F.desc("open"), "b")
+    step = F.when(F.col("open"), F.col("c")).otherwise(-F.col("c"))
+    cells = both.groupBy("size", "open", "b").agg(F.count(F.lit(1)).alias("c")).withColumn("d", F.sum(step).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    lowest = F.least(F.lit(0), F.min("d").over(down.rowsBetween(Window.unboundedPreceding, -1)))
+    places = cells.select("size", "open", "b", (F.col("d") - step - lowest).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("size", "open", "b").orderBy("id", "start", "container"))
     deep = both.withColumn("r", rank).join(places, ["size", "open", "b"])
-    deep = deep.withColumn("depth", F.when(F.col("open"), F.col("base") + F.col("r")).otherwise(F.col("base") - F.col("r")))
-    turn = Window.partitionBy("depth").orderBy(F.desc("size"), F.desc("open"))
-    met = deep.where("depth >= 0").withColumn("taken", F.lag("container").over(turn)).where("not open")
-    left = deep.where("depth < 0").withColumn("taken", F.lit(None).cast("bigint"))
-    return met.unionByName(left).select("id", "start", "size", "b", F.col("taken").alias("container"))
+    deep = deep.withColumn("depth", F.when(F.col("open"), F.col("before") + F.col("r") - 1).otherwise(F.col("before") - F.col("r")))
+    # Below 0 there are no slots, and documents of many sizes and buckets.
+    turn = Window.partitionBy("depth", F.when(F.col("depth") < 0, F.col("b"))).orderBy(F.desc("size"), F.desc("open"))
+    met = deep.withColumn("taken", F.lag("container").over(turn)).where("not open")
+    return met.select("id", "start", "size", "b", F.col("taken").alias("container"))
 
 
 def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY) -> DataFrame:
@@ -92,34 +90,30 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
     scratch = Scratch(spark)
     own = scratch.put(items.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col).cast("int"), F.lit(0)).alias("n")))
     rest = F.col("n") % capacity
-    buckets = max(16, own.count() // BUCKET_ROWS)
-    parts = own.where(rest > 0).select("id", (F.col("n") - rest).alias("start"), rest.alias("size"), F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("b"))
     ranges = size_ranges(capacity)
-    in_range = [F.sum(((F.col("size") > low) & (F.col("size") <= high)).cast("long")) for low, high in ranges]
-    numbers = parts.agg(*in_range).first()
+    in_range = [F.when((rest > low) & (rest <= high), rest) for low, high in ranges]
+    rows, *known = own.agg(F.count(F.lit(1)), *[f(x) for x in in_range for f in (F.count, F.sum)]).first()
+    buckets = max(16, rows // BUCKET_ROWS)
+    parts = own.where(rest > 0).select("id", (F.col("n") - rest).alias("start"), rest.alias("size"), F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("b"))
     put: list[DataFrame] = []
     used = 0
     gaps: DataFrame | None = None
-    for number, (low, high) in zip(numbers, ranges):
-        left = number or 0
+    for left, total, (low, high) in zip(known[::2], known[1::2], ranges):
         open_items = parts.where((F.col("size") > low) & (F.col("size") <= high))
-        total = None
         fresh = False
         while left:
             if gaps is None or fresh:
-                if total is None:
-                    total = open_items.agg(F.sum("size")).first()[0]
                 # What is left fits for certain, or, where containers take many, by its sum.
                 need = -(-total // capacity) if low == 0 else -(-left // (capacity // high))
                 new = spark.range(used, used + need).select(F.col("id").alias("container"), F.lit(capacity).alias("gap"))
                 gaps = new if gaps is None else gaps.unionByName(new)
                 used += need
             out = scratch.put(superstep(open_items, gaps, low, high, buckets))
-            taken = out.where("container is not null").groupBy("container").agg(F.sum("size").alias("taken"))
             placed, total, rest_n = out.agg(F.count("container"), F.sum(F.when(F.col("container").isNull(), F.col("size"))), F.count(F.when(F.col("container").isNull(), 1))).first()
             if placed:
-                put.append(out.where("container is not null"))
-                less = gaps.join(taken, "container", "left").select("container", (F.col("gap") - F.coalesce("taken", F.lit(0))).cast("int").alias("gap"))
+                put.append(out)
+                taken = out.where("container is not null").select("container", (-F.col("size")).alias("gap"))
+                less = gaps.unionByName(taken).groupBy("container").agg(F.sum("gap").cast("int").alias("gap"))
                 gaps = scratch.put(less.where("gap > 0"), gaps)
             fresh = placed < max(1, LEAST_SHARE * left)
             open_items, left = out.where("container is null").drop("container"), rest_n
@@ -144,8 +138,8 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
     )
     none = own.where("n = 0").select(F.lit(None).cast("bigint").alias("container"), "id", F.lit(0).alias("start"), F.lit(0).alias("end"))
     out = whole.unionByName(none)
-    for rows in put:
-        out = out.unionByName(rows.select(*columns))
+    if put:
+        out = out.unionByName(scratch.all(put).where("container is not null").select(*columns))
     out = cut(out)
     scratch.drop()
     return out.withColumnRenamed("id", id_col)

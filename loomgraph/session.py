@@ -86,6 +86,10 @@ class Scratch:
                 self._delete(old._scratch_path)
         return out
 
+    def all(self, tables: list[DataFrame]) -> DataFrame:
+        """Tables of one schema as one table, read in one scan."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[t._scratch_path for t in tables])
+
     def drop(self) -> None:
         """Delete all tables; nothing that is still to be computed may read one."""
         self._delete(self.root)

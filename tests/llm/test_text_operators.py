@@ -86,6 +86,27 @@ def test_pack_covers_every_item_once(spark):
     assert packing.pack(spark.createDataFrame([], "id int, n int"), "id", "n", 10).count() == 0
 
 
+def test_superstep_matches_brackets_in_few_shuffles(spark):
+    own = random.Random(8)
+    items = [(i, 0, own.randint(26, 50), i % 5) for i in range(300)]
+    gaps = [(c, own.randint(1, 100)) for c in range(150)]
+    out = packing.superstep(spark.createDataFrame(items, "id int, start int, size int, b int"), spark.createDataFrame(gaps, "container bigint, gap int"), 25, 50, 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 7
+    opened = [s for _, g in gaps for s in [50] * (g // 50) + [g % 50] * (g % 50 > 25)]
+    stack, taken = [], 0
+    for size, slot in sorted([(s, True) for s in opened] + [(n, False) for _, _, n, _ in items], reverse=True):
+        if slot:
+            stack.append(size)
+        elif stack:
+            taken += stack.pop()
+    rows = out.toPandas()
+    placed = rows[rows.container.notna()]
+    used = placed.groupby("container")["size"].sum()
+    assert sorted(rows.id) == list(range(300)) and len(placed) == len(opened) - len(stack)
+    assert all(used[c] <= dict(gaps)[c] for c in used.index) and taken == sum(opened) - sum(stack)
+
+
 def test_pieces_restore_the_text():
     own = random.Random(4)
     parts = ["word ", "Sentence one. ", "\n", "\n\n", "\n# Head\n", "é̂", "x" * 50, "👍🏽", "\r\n\r\n", "- item\n"]
