@@ -19,7 +19,7 @@ Everything is a table: nothing but three sums of each superstep comes to the dri
 sizes are ranked in salted buckets, so a size shared by a third of all documents is spread over
 tasks, and at one depth there are at most two rows for each size.
 
-The driver keeps threads and plans for every shuffle of a superstep, whatever the input, so a
+Every shuffle of a superstep costs the driver memory to plan it, whatever the input, so a
 superstep has few of them.
 """
 
